@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import langid, packing, toxicity
 from .simhash import near_duplicates
 
 
@@ -18,8 +19,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores and offending spans of all documents."""
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed in sequences of 2048 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    found = (op1_simhash, op7_toxicity, op8_packing, op10_language)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
