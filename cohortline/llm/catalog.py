@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, toxicity
+from . import langid, lm, packing, quality, toxicity, warc
 from .simhash import near_duplicates
 
 
@@ -19,6 +19,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality votes for all documents."""
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, read back and assembled."""
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores and offending spans of all documents."""
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -29,13 +39,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by a model of nine tenths of them."""
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents."""
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op7_toxicity, op8_packing, op10_language)
+    found = (op1_simhash, op5_quality, op6_warc, op7_toxicity, op8_packing, op9_lm_scores, op10_language)
     return {f.__name__: f for f in found}
 
 
