@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lm, packing, quality, toxicity, warc
+from . import decontaminate, langid, lm, packing, quality, toxicity, warc
 from .simhash import near_duplicates
 
 
@@ -19,6 +19,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, and which."""
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality votes for all documents."""
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -50,9 +55,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op5_quality, op6_warc, op7_toxicity, op8_packing, op9_lm_scores, op10_language)
+    found = (op1_simhash, op2_decontamination, op5_quality, op6_warc, op7_toxicity, op8_packing, op9_lm_scores, op10_language)
     return {f.__name__: f for f in found}
 
 
+def _grams(key: str, table: str) -> str:
+    """SQL for the distinct five-word shingles of a table's texts."""
+    return f"""
+select distinct {key}, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g
+from (select {key}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w from {table})"""
+
+
+OP2_SQL = f"""
+with dg as ({_grams("doc_id", "documents")}), ig as ({_grams("item_id", "benchmark")}),
+n as (select item_id, count(*) as shingles from ig group by item_id)
+select doc_id, item_id, count(*) as shared, shingles, count(*)::double / shingles as containment
+from dg join ig using (g) join n using (item_id)
+group by doc_id, item_id, shingles having count(*) >= ceil(shingles * 0.8 - 1e-9)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": OP2_SQL}

@@ -18,6 +18,8 @@ BITS = 64
 CHUNK = 1 << 16
 #: Fingerprints of one block value that one task compares with each other.
 BUCKET = 8192
+#: Ids that are broadcast at most.
+MOST_IDS = 500_000
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -182,3 +184,20 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: in
     return marked.join(label.repartition("component_id", F.hash("fp")), "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those whose component (``near_duplicates``) has a smaller id; columns stay as they are.
+
+    The ids to drop are broadcast if they are few and joined by a shuffle if not.  Of rows that share an
+    id one stays; rows with a null id all stay.
+    """
+    found = cut(near_duplicates(docs, distance, width, seed, id_col, text_col))
+    gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
+    repeated = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again")))
+    side = F.broadcast(gone) if gone.count() <= MOST_IDS else gone
+    kept = docs.join(side, F.col(id_col) == F.col("_gone"), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col])
+    return kept.join(repeated, F.col(id_col) == F.col("_again"), "left_anti").unionByName(once)
