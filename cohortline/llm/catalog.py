@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, lm, packing, quality, toxicity, warc
+from . import decontaminate, langid, lm, packing, quality, tokencount, topk, toxicity, warc
 from .simhash import near_duplicates
 
 
@@ -24,6 +24,17 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for the text of every document whose id is divisible by 50."""
+    docs = read(spark, sf_dir, "documents")
+    return topk.search(docs, docs.where("doc_id % 50 = 0"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, before and after private words are masked."""
+    return tokencount.count(read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality votes for all documents."""
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -55,7 +66,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_decontamination, op5_quality, op6_warc, op7_toxicity, op8_packing, op9_lm_scores, op10_language)
+    found = (op1_simhash, op2_decontamination, op3_topk, op4_token_counts, op5_quality, op6_warc, op7_toxicity, op8_packing, op9_lm_scores, op10_language)
     return {f.__name__: f for f in found}
 
 
@@ -76,5 +87,18 @@ group by doc_id, item_id, shingles having count(*) >= ceil(shingles * 0.8 - 1e-9
 """
 
 
+OP3_SQL = r"""
+with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as t from documents),
+tf as (select doc_id, t, count(*) as tf from w group by doc_id, t),
+size as (select d.doc_id, coalesce(sum(tf), 0) as size from documents d left join tf using (doc_id) group by d.doc_id),
+total as (select count(*) as n, avg(size) as mean from size),
+idf as (select t, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf, total group by t, n),
+s as (select q.doc_id as query_id, tf.doc_id, round(sum(idf * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * size.size / total.mean))), 6) as score
+  from tf q join tf using (t) join idf using (t) join size on size.doc_id = tf.doc_id, total where q.doc_id % 50 = 0 group by all)
+select query_id, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank, doc_id, score
+from s qualify rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op3_topk": OP3_SQL, "op2_decontamination": OP2_SQL}
