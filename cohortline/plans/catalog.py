@@ -70,7 +70,7 @@ FILTERS: dict[str, tuple[FilterSpec, str]] = {
     "years": (FilterSpec(years=(1996, 1998)), "year in (1996, 1998)"),
     "curated_years": (FilterSpec(years=(1998, 1999, 2000), curated_only=True), "year in (1998, 1999)"),
     "region": (FilterSpec(regions=("EUROPE", "ASIA")), "admin_region in ('EUROPE', 'ASIA')"),
-    "mrc": (FilterSpec(mrcs=("FRANCE", "CANADA")), "mrc in ('FRANCE', 'CANADA')"),
+    "mrc": (FilterSpec(mrcs=("NATION_3", "NATION_8")), "mrc in ('NATION_3', 'NATION_8')"),
     "municipality": (FilterSpec(municipalities=("1", "2", "3", "17")), "municipality in ('1', '2', '3', '17')"),
     "class": (FilterSpec(classes=("BUILDING", "MACHINERY")), "vehicle_class in ('BUILDING', 'MACHINERY')"),
     "type": (FilterSpec(types=("PROMO", "SMALL")), "vehicle_type in ('PROMO', 'SMALL')"),
@@ -113,7 +113,7 @@ add("licence_coverage", licence_chart(NONE, Metric("coverage", "age_group")), sq
 add("l_type_age_gender", licence_chart(FilterSpec(licence_types=("RÉGULIER",), age_groups=("16-19", "35-44"), genders=("F",))), sql_licence("count(*)", "licence_type = 'RÉGULIER' and age_group in ('16-19', '35-44') and gender = 'F'"))
 add("l_experience_any", licence_chart(FilterSpec(experience=("Absente", "2 à 5 ans"))), sql_licence("count(*)", " or ".join(f"{c} in ('Absente', '2 à 5 ans')" for c in ("exp_1234", "exp_5", "exp_6abce", "exp_global"))))
 add("l_class_flags", licence_chart(FilterSpec(licence_classes=("5", "6D", "Probationary"))), sql_licence("count(*)", "driver_5 or driver_6d or probationary"))
-add("l_region_mrc", licence_chart(FilterSpec(regions=("EUROPE",), mrcs=("FRANCE",))), sql_licence("count(*)", "admin_region = 'EUROPE' and mrc = 'FRANCE'"))
+add("l_region_mrc", licence_chart(FilterSpec(regions=("EUROPE",), mrcs=("NATION_8", "NATION_1"))), sql_licence("count(*)", "admin_region = 'EUROPE' and mrc in ('NATION_8', 'NATION_1')"))
 
 # ---- series
 _R = FilterSpec(years=(1994, 1995, 1997, 2000), fuels=("R",))
@@ -391,7 +391,7 @@ add("alnum_by_class", lambda s, d: profile.alphanumeric_by_class(star.registrati
 add("year_model_hist", lambda s, d: profile.year_histogram(R("year", "model_year")(s, d), 100, 30), f"with {REG} select year, model_year, count(*) as n from reg group by all having n > 100 order by n desc, year, model_year nulls first limit 30")
 add("model_year_range", lambda s, d: profile.model_year_range(R("year", "make", "model", "model_year")(s, d)), f"with {REG} select make, model, min(model_year) as low, max(model_year) as high, count(distinct model_year) as distinct_years, count(*) as n from reg group by all")
 add("age_distribution", lambda s, d: profile.age_distribution(R("year", "model_year")(s, d)), f"with {REG} select year - model_year as age, count(*) as n, round(count(*)::double * 100 / (select count(model_year) from reg)::double, 2) as share from reg where model_year is not null group by 1 having age between -1 and 10")
-add("first_last_seen", lambda s, d: profile.first_last_seen(_few(s, d), 1998), f"with {REG} select make, model, min(year) as first_year, max(year) as last_year, count(*) as n from reg group by all having first_year >= 1998")
+add("first_last_seen", lambda s, d: profile.first_last_seen(_few(s, d), 1995), f"with {REG} select make, model, min(year) as first_year, max(year) as last_year, count(*) as n from reg group by all having first_year >= 1995")
 add("model_evolution", lambda s, d: profile.model_evolution(R("year", "make", "model", "model_year")(s, d), "Brand#11"), f"with {REG} select model, year, model_year, count(*) as n from reg where make = 'Brand#11' group by all")
 add("future_model_years", lambda s, d: profile.future_model_years(R("year", "model_year")(s, d)), f"with {REG} select year, model_year, count(*) as n from reg where model_year > year group by all")
 add("class_list_per_pair", lambda s, d: profile.classes_of_pairs(R("year", "make", "model", "vehicle_class")(s, d)), f"with {REG} select make, model, string_agg(distinct vehicle_class, ',' order by vehicle_class) as classes, min(year) as from_year, max(year) as to_year from reg group by all")
