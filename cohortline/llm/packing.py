@@ -59,7 +59,7 @@ class Encoder:
     def learn(self, chunks: Iterable[bytes]) -> None:
         """Remembers the ids of these chunks too."""
         parts = {c: self.cut(c) for c in chunks}
-        self.passing += [c for c in parts if len(c) > LONGEST]
+        self.passing += [x for c, pair in parts.items() if len(c) > LONGEST for x in (c, *pair)]
         todo = []
         for c in {x for pair in parts.values() for x in pair}.difference(self.known):
             if b"<|" in c or len(c) > LONGEST:
