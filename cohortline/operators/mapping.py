@@ -161,3 +161,26 @@ def delete(mapping: DataFrame, make: str, model: str, model_year: int | None = N
     hit = (F.col("uncurated_make") == make) & (F.col("uncurated_model") == model)
     hit = hit if whole_pair else hit & F.col("model_year").eqNullSafe(F.lit(model_year))
     return mapping.where(~F.coalesce(hit, F.lit(False)))
+
+
+def with_counts(pairs: DataFrame, facts: DataFrame, config: Years) -> DataFrame:
+    """New mapping rows with what they cover: the rows of their pair (and model year, if they have one) in uncurated years, and those years."""
+    whole = uncurated_pairs(facts, config).select(F.col("make").alias("uncurated_make"), F.col("model").alias("uncurated_model"), "n")
+    yearly = pair_model_years(facts, config).select(F.col("make").alias("uncurated_make"), F.col("model").alias("uncurated_model"), "model_year", F.col("n").alias("of_year"))
+    joined = pairs.join(whole, ["uncurated_make", "uncurated_model"], "left").join(yearly, ["uncurated_make", "uncurated_model", "model_year"], "left")
+    n = F.when(F.col("model_year").isNull(), F.col("n")).otherwise(F.col("of_year"))
+    return joined.withColumns({"record_count": F.coalesce(n, F.lit(0)).cast("bigint"), "year_start": F.lit(min(config.uncurated)), "year_end": F.lit(max(config.uncurated))}).drop("n", "of_year")
+
+
+def display_info(mapping: DataFrame) -> DataFrame:
+    """What each pair is mapped to and whether type and fuels are assigned: one row per pair."""
+    fields = mapping.groupBy("uncurated_make", "uncurated_model").agg(
+        F.min(F.struct("canonical_make", "canonical_model")).alias("to"), F.max("record_count").alias("record_count"),
+        F.max(F.col("vehicle_type").isNotNull()).alias("has_type"), F.count("model_year").alias("model_years"), F.count_if(F.col("model_year").isNotNull() & F.col("fuel_type").isNotNull()).alias("with_fuel"),
+    )
+    return fields.select("uncurated_make", "uncurated_model", "to.canonical_make", "to.canonical_model", "record_count", "has_type", "model_years", "with_fuel")
+
+
+def pairs_of_type(mapping: DataFrame, vehicle_type: str) -> DataFrame:
+    """Pairs that are mapped to a vehicle type."""
+    return mapping.where(F.col("vehicle_type") == vehicle_type).select("uncurated_make", "uncurated_model").distinct()

@@ -133,3 +133,16 @@ def correct(facts: DataFrame, corrections: DataFrame) -> DataFrame:
     c = corrections.groupBy(F.upper("from_make").alias("_make"), F.upper("from_model").alias("_model")).agg(F.min(F.struct("to_make", "to_model")).alias("_to"))
     joined = facts.join(c, (F.upper("make") == F.col("_make")) & (F.upper("model") == F.col("_model")), "left")
     return joined.withColumns({"make": F.coalesce("_to.to_make", "make"), "model": F.coalesce("_to.to_model", "model")}).drop("_make", "_model", "_to")
+
+
+def parse_answer(text: Column) -> Column:
+    """``(kind, correct, confidence)`` from a model's answer in words: a classification if it names one, else by its phrases."""
+    low = F.lower(text)
+    named = F.contains(low, F.lit("classification:"))
+    has = lambda pattern: low.rlike(f"(?s){pattern}")
+    by_name = F.when(has("spellingvariant|classification:.*spelling"), "spelling").when(has("truncationvariant|classification:.*truncation"), "truncation").when(has("newmodel|classification:.*new.*model"), "new").otherwise("uncertain")
+    by_words = F.when(has("new model|genuinely new|genuinely different"), "new").when(has("spelling") & has("variant"), "spelling").when(has("truncation|schema"), "truncation").otherwise("uncertain")
+    kind = F.when(named, by_name).otherwise(by_words)
+    number = F.regexp_extract(low, r"confidence:?\s*([0-9]*\.?[0-9]+)", 1).try_cast("double")
+    confidence = F.coalesce(F.when(number > 1, number / 100).otherwise(number), F.lit(0.7))
+    return F.struct(kind.alias("kind"), kind.isin("spelling", "truncation").alias("correct"), confidence.alias("confidence"))

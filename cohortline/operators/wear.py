@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -39,6 +40,15 @@ class Wear:
             if not valid(weights):
                 raise ValueError(f"the shares of {key} do not make 100")
 
+    def to_json(self) -> str:
+        return json.dumps({"by_axles": {str(k): list(w) for k, w in self.by_axles}, "by_type": {k: list(w) for k, w in self.by_type}}, indent=2, sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> Wear:
+        """A saved configuration; its shares are checked, and coefficients are computed from them."""
+        said = json.loads(text)
+        return cls(tuple((int(k), tuple(w)) for k, w in said["by_axles"].items()), tuple((k, tuple(w)) for k, w in said["by_type"].items()))
+
     def coefficient(self) -> Column:
         most = max(k for k, _ in self.by_axles)
         arms = [(F.col("max_axles") >= k if k == most else F.col("max_axles") == k, coefficient(w)) for k, w in sorted(self.by_axles)]

@@ -184,6 +184,9 @@ add("auto_regularize_triplets", lambda s, d: mp.auto_triplets(R("year", "make",
 add("make_rollup", lambda s, d: mp.make_rollup(M(s, d)), f"with {MAP} select uncurated_make, canonical_make, cast(sum(record_count) as bigint) as n from map group by all")
 add("make_conflicts", lambda s, d: mp.make_conflicts(M(s, d).unionByName(M(s, d).where("uncurated_make = 'Brand#12'").withColumn("canonical_make", F.lit("Brand#55")))), f"with {MAP}, m as (select uncurated_make, canonical_make from map union all select uncurated_make, 'Brand#55' from map where uncurated_make = 'Brand#12') select uncurated_make, count(distinct canonical_make) as n from m group by 1 having n > 1")
 add("mapping_type_usage", lambda s, d: mp.type_usage(M(s, d)), f"with {MAP} select vehicle_type, count(*) as n from map where vehicle_type is not null group by 1")
+add("mapping_display", lambda s, d: mp.display_info(M(s, d)), f"with {MAP} select uncurated_make, uncurated_model, min(canonical_make) as canonical_make, min(canonical_model) as canonical_model, max(record_count) as record_count, bool_or(vehicle_type is not null) as has_type, count(model_year) as model_years, count(*) filter (model_year is not null and fuel_type is not null) as with_fuel from map group by all")
+add("mapping_pairs_of_type", lambda s, d: mp.pairs_of_type(M(s, d), "PROMO"), f"with {MAP} select distinct uncurated_make, uncurated_model from map where vehicle_type = 'PROMO'")
+add("mapping_with_counts", lambda s, d: mp.with_counts(M(s, d).select("uncurated_make", "uncurated_model", "model_year"), R("year", "make", "model", "model_year")(s, d), YEARS).where("model_year is not null"), f"with {MAP} select uncurated_make, uncurated_model, model_year, record_count, 2000 as year_start, 2001 as year_end from map where model_year is not null")
 _few = R("year", "make", "model")
 
 
@@ -395,7 +398,7 @@ add("first_last_seen", lambda s, d: profile.first_last_seen(_few(s, d), 1995), f
 add("model_evolution", lambda s, d: profile.model_evolution(R("year", "make", "model", "model_year")(s, d), "Brand#11"), f"with {REG} select model, year, model_year, count(*) as n from reg where make = 'Brand#11' group by all")
 add("future_model_years", lambda s, d: profile.future_model_years(R("year", "model_year")(s, d)), f"with {REG} select year, model_year, count(*) as n from reg where model_year > year group by all")
 add("class_list_per_pair", lambda s, d: profile.classes_of_pairs(R("year", "make", "model", "vehicle_class")(s, d)), f"with {REG} select make, model, string_agg(distinct vehicle_class, ',' order by vehicle_class) as classes, min(year) as from_year, max(year) as to_year from reg group by all")
-add("minus_known", lambda s, d: _few(s, d).where("year >= 2000").select("make", "model").distinct().exceptAll(_few(s, d).where("year < 1997").select("make", "model").distinct()), f"with {REG} select distinct make, model from reg where year >= 2000 except select make, model from reg where year < 1997")
+add("minus_known", lambda s, d: (lambda f: f.where("year >= 2000").select("make", "model_year").subtract(f.where("year < 1997").select("make", "model_year")).where("model_year is not null"))(R("year", "make", "model_year")(s, d).distinct()), f"with {REG} select distinct make, model_year from reg where year >= 2000 and model_year is not null except select make, model_year from reg where year < 1997")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -70,3 +70,12 @@ def test_normal_make_map(spark):
     assert one(spark, "hond", sim.normal_make) == "HONDA"
     assert [one(spark, x, sim.motorcycle_model) for x in ("CBR600", "AB123", "CIVIC")] == [True, True, False]
     assert [one(spark, x, sim.passenger_model) for x in ("CIVIC", "X-5", "??")] == [True, True, False]
+
+
+def test_saved_wear_and_answers(spark):
+    assert Wear.from_json(Wear().to_json()).to_json() == Wear().to_json()
+    from cohortline.operators.resolve import parse_answer
+
+    cases = {"Classification: SpellingVariant. Confidence: 0.9": ("spelling", True, 0.9), "classification: new model, confidence 85": ("new", False, 0.85), "This is a truncation": ("truncation", True, 0.7), "a genuinely new one": ("new", False, 0.7), "hm": ("uncertain", False, 0.7)}
+    for text, want in cases.items():
+        assert tuple(one(spark, text, parse_answer)) == want

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortline.functions.codes import LICENCES, REGISTRATIONS
-from cohortline.sources import readers, sinks, store
+from cohortline.functions.codes import Years
+from cohortline.plans import cache
+from cohortline.sources import imports, readers, sinks, store
 from cohortline.streaming import incremental
 
 HEAD = ",".join(readers.VEHICLE_COLUMNS)
@@ -136,3 +138,46 @@ def test_streams(spark, tmp_path):
     assert {(r.year, r.sequence, r.make) for r in spark.read.parquet(str(tmp_path / "up")).collect()} == {(2020, "1", "A"), (2020, "2", "C"), (2020, "3", "D")}
     timed = rows.withColumn("t", F.current_timestamp())
     assert incremental.running_counts(timed, "t", "1 hour", "10 minutes", "make").isStreaming
+
+
+def test_import_of_several_years(spark, tmp_path):
+    old = ",".join(readers.vehicle_columns(2016))
+    a = put(tmp_path / "v_2020.csv", "\n".join([HEAD, *ROWS, ROWS[0]]))
+    b = put(tmp_path / "v_2016.csv", old + '\n2016,2016_1,PAU,AU,KIA,RIO,2015,1000,4,1400,,BLE,"Québec (03)",,1')
+    table, log = str(tmp_path / "t"), str(tmp_path / "log")
+    done = imports.import_files(spark, [a, b], table, log)
+    assert [(r.year, r.stored, r.dropped) for r in done] == [(2016, 1, 0), (2020, 2, 1)]
+    imports.import_files(spark, [a], table, log)
+    assert {(r.year, r["count"]) for r in spark.read.parquet(table).groupBy("year").count().collect()} == {(2016, 1), (2020, 2)}
+    assert sorted(r.status for r in spark.read.parquet(log).collect()) == ["partial", "partial", "success"]
+    with pytest.raises(readers.SourceError):
+        imports.year_of("/2020/none.csv")
+
+
+def test_later_files_to_the_yearly_layout(spark, tmp_path):
+    raw = spark.createDataFrame([("202301", "KIA", "Laval (13)")], "`Année civile / mois` string, Marque string, `Région admin (code)` string")
+    rows = readers.normalise(imports.later_layout(raw), spark.createDataFrame([], "name string, code string"), F.col("make"))
+    imports.write_yearly(rows, str(tmp_path / "o"))
+    text = [r.value for r in spark.read.text(str(tmp_path / "o")).collect()]
+    assert text[0].startswith('"AN","NOSEQ_VEH"') or text[0].startswith("AN,NOSEQ_VEH")
+    assert '"2023","2023_0000000001"' in text[1] and "Laval (13)" in text[1]
+
+
+def test_families_and_kept_results(spark, tmp_path):
+    path = str(tmp_path / "p")
+    facts = spark.createDataFrame([(2020, "1")], "year int, sequence string")
+    store.export_package(spark, {"registrations": facts, "licences": facts.limit(0)}, path)
+    assert imports.families(spark, path) == {"registrations"}
+    made = []
+
+    def make():
+        made.append(1)
+        return facts
+
+    key = cache.key_of(Years(), "hierarchy")
+    assert key != cache.key_of(Years((2011,), (2023,)), "hierarchy")
+    for _ in range(2):
+        assert cache.kept(spark, str(tmp_path / "c"), key, make).count() == 1
+    cache.forget(spark, str(tmp_path / "c"), key)
+    cache.kept(spark, str(tmp_path / "c"), key, make)
+    assert len(made) == 2
