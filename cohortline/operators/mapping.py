@@ -29,14 +29,24 @@ def nested_hierarchy(facts: DataFrame, config: Years) -> DataFrame:
     return years.join(types, same).select("y.make", "y.model", "model_years", "types")
 
 
+def _when(years: tuple[int, ...], value: Column | None = None) -> Column:
+    inside = F.col("year").isin(*years)
+    return inside if value is None else F.when(inside, value)
+
+
+def pair_counts(facts: DataFrame, config: Years) -> DataFrame:
+    """Of each pair: first and last uncurated year, rows of uncurated and of curated years, in one scan."""
+    rows = facts.where("make is not null and model is not null").where(_when(config.curated + config.uncurated))
+    year = _when(config.uncurated, F.col("year"))
+    return rows.groupBy(*PAIR).agg(F.min(year).alias("from_year"), F.max(year).alias("to_year"), F.count(year).alias("n"), F.count_if(_when(config.curated)).alias("curated")).where("n > 0")
+
+
 def uncurated_pairs(facts: DataFrame, config: Years) -> DataFrame:
     """Pairs of uncurated years: first and last year, rows, share of all such rows in percent, and whether curated years have the pair."""
-    curated, uncurated = split_years(facts, config)
-    pairs = uncurated.where("make is not null and model is not null").groupBy(*PAIR).agg(F.min("year").alias("from_year"), F.max("year").alias("to_year"), F.count(F.lit(1)).alias("n"))
-    known = curated.select(*PAIR).distinct().withColumn("is_exact_match", F.lit(True))
+    pairs = pair_counts(facts, config)
     total = pairs.agg(F.sum("n").alias("total"))
-    joined = pairs.join(known, PAIR, "left").crossJoin(total)  # one row: the total
-    return joined.select(*PAIR, "from_year", "to_year", "n", (F.col("n").cast("double") / F.col("total").cast("double") * 100).alias("share"), F.coalesce("is_exact_match", F.lit(False)).alias("is_exact_match"))
+    joined = pairs.crossJoin(total)  # one row: the total
+    return joined.select(*PAIR, "from_year", "to_year", "n", (F.col("n").cast("double") / F.col("total").cast("double") * 100).alias("share"), (F.col("curated") > 0).alias("is_exact_match"))
 
 
 def pair_model_years(facts: DataFrame, config: Years) -> DataFrame:
@@ -73,12 +83,13 @@ def status(facts: DataFrame, mapping: DataFrame, config: Years) -> DataFrame:
     Complete: a row without model year gives a type, there is a row with a model year, and each model
     year of the pair has one with a fuel (a pair without model years has none that lacks it).
     """
-    pairs = uncurated_pairs(facts, config).select(*PAIR)
+    _, uncurated = split_years(facts, config)
     m = mapping.select(F.col("uncurated_make").alias("make"), F.col("uncurated_model").alias("model"), "model_year", "vehicle_type", "fuel_type")
     of = m.groupBy(*PAIR).agg(F.max(F.col("model_year").isNull() & F.col("vehicle_type").isNotNull()).alias("typed"), F.count("model_year").alias("rows"))
     fuelled = m.where("model_year is not null and fuel_type is not null").select(*PAIR, "model_year").distinct().withColumn("has", F.lit(True))
-    years = pair_model_years(facts, config).join(fuelled, [*PAIR, "model_year"], "left").groupBy(*PAIR).agg(F.min(F.coalesce("has", F.lit(False))).alias("covered"))
-    joined = pairs.join(of, PAIR, "left").join(years, PAIR, "left")
+    years = uncurated.where("make is not null and model is not null").select(*PAIR, "model_year").distinct().join(fuelled, [*PAIR, "model_year"], "left")
+    covered = F.min(F.when(F.col("model_year").isNotNull(), F.coalesce("has", F.lit(False)))).alias("covered")
+    joined = years.groupBy(*PAIR).agg(covered).join(of, PAIR, "left")
     whole = F.col("typed") & (F.col("rows") > 0) & F.coalesce("covered", F.lit(True))
     return joined.select(*PAIR, F.when(whole, "complete").when(F.col("typed").isNotNull(), "partial").otherwise("unassigned").alias("status"))
 
@@ -101,26 +112,24 @@ def expand_pairs(mapping: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def auto_wildcards(facts: DataFrame, mapping: DataFrame, config: Years, preferred: tuple[str, ...]) -> DataFrame:
     """Rows ``(make, model, vehicle_type)`` for unmapped pairs that curated years have: their only type, or the first preferred one that they have."""
-    pairs = _unmapped_exact(facts, mapping, config)
-    curated, _ = split_years(facts, config)
-    types = curated.where("vehicle_type is not null").join(pairs, PAIR, "left_semi").groupBy(*PAIR).agg(F.collect_set("vehicle_type").alias("types"))
+    kinds = facts.where("make is not null and model is not null").groupBy(*PAIR).agg(F.count_if(_when(config.uncurated)).alias("n"), F.count_if(_when(config.curated)).alias("curated"), F.collect_set(_when(config.curated, F.col("vehicle_type"))).alias("types"))
     choice = F.when(F.size("types") == 1, F.get("types", F.lit(0)))
     for code in preferred:
         choice = choice.when(F.array_contains("types", code), F.lit(code))
-    return pairs.join(types, PAIR, "left").select(*PAIR, choice.alias("vehicle_type"))
+    return _unmapped(kinds.where("n > 0 and curated > 0"), mapping).select(*PAIR, choice.alias("vehicle_type"))
 
 
 def auto_triplets(facts: DataFrame, mapping: DataFrame, config: Years) -> DataFrame:
     """Rows ``(make, model, model_year, fuel_type)`` for the model years of such pairs that have one fuel only in curated years."""
-    pairs = _unmapped_exact(facts, mapping, config)
-    curated, _ = split_years(facts, config)
-    one = curated.where("fuel_type is not null and model_year is not null").join(pairs, PAIR, "left_semi").groupBy(*PAIR, "model_year").agg(F.min("fuel_type").alias("fuel_type"), F.max("fuel_type").alias("other")).where("fuel_type = other")
-    return pair_model_years(facts, config).join(one.drop("other"), [*PAIR, "model_year"]).select(*PAIR, "model_year", "fuel_type")
+    fuel = _when(config.curated, F.col("fuel_type"))
+    years = facts.where("make is not null and model is not null and model_year is not null").groupBy(*PAIR, "model_year").agg(F.count_if(_when(config.uncurated)).alias("n"), F.min(fuel).alias("fuel_type"), F.max(fuel).alias("other"))
+    return _unmapped(years.where("n > 0 and fuel_type = other"), mapping).select(*PAIR, "model_year", "fuel_type")
 
 
-def _unmapped_exact(facts: DataFrame, mapping: DataFrame, config: Years) -> DataFrame:
+def _unmapped(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Rows whose pair no mapping has."""
     mapped = mapping.select(F.col("uncurated_make").alias("make"), F.col("uncurated_model").alias("model"))
-    return uncurated_pairs(facts, config).where("is_exact_match").select(*PAIR).join(mapped, PAIR, "left_anti")
+    return pairs.join(mapped, PAIR, "left_anti")
 
 
 def make_rollup(mapping: DataFrame) -> DataFrame:
