@@ -13,17 +13,24 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 512
 #: ... and bytes of text, unless a single text is longer.
 SLICE_BYTES = 4_000_000
+#: Rows of a few numbers that one task writes to a checkpoint.
+ROWS_A_FILE = 250_000
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Computes ``df`` once and cuts its lineage with a reliable checkpoint.
 
+    Where it is known that there are at most ``most_rows`` rows, they are written in files of about
+    ``ROWS_A_FILE``, so that few rows do not make a file for each shuffle partition.
+
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is
     unset (tests on one machine) a temporary folder is set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    if most_rows is not None:
+        df = df.coalesce(max(4, -(-most_rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 
@@ -67,7 +74,8 @@ def components(edges: DataFrame) -> DataFrame:
     A hub is no bottleneck: minima are combined before the shuffle and AQE can split the joins,
     since both sides are exchanged for the join alone.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = cut(e.distinct(), e.count())
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -82,7 +90,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("y > x").join(near, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         low = lowest(large, "u", "v")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", "m")).distinct())
+        e = cut(small.union(low.select("u", "m")).distinct(), before[0])
         after = mark(e)
         if after == before:
             break

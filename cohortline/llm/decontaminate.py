@@ -62,8 +62,9 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, width:
     """``(id_col, same, item_col, shared, shingles)``: the documents that contain an item, row by row (``same``: hash of the text).
 
     A document's sketch for a size class is those of its shingles whose hash is not above the largest
-    in the class's sketches; they are looked up in the broadcast sketches while the text passes, and a
-    document that hits is verified at once, by searching its words for each shingle of the item.
+    in the class's sketches; as these are nested, one pass with the largest bound of all serves all
+    classes.  They are looked up in the broadcast sketches while the text passes, and a document that
+    hits is verified at once, by searching its words for each shingle of the item.
     Nothing is shuffled but the matches.  Sketches too large to broadcast are joined by a shuffle of hashes.
     """
     item, sketch = sketches(items, share, width, item_col, text_col)
@@ -103,7 +104,8 @@ def report(docs: DataFrame, items: DataFrame, share: float = SHARE, width: int =
 
 def keep_clean(docs: DataFrame, items: DataFrame, share: float = SHARE, width: int = WIDTH, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item, unchanged."""
-    leaks = cut(contaminated(docs, items, share, width, id_col, item_col, text_col).select(F.col(id_col).alias("_leak"), F.col("same").alias("_same")).distinct())
+    found = contaminated(docs, items, share, width, id_col, item_col, text_col)
+    leaks = cut(found.select(F.col(id_col).alias("leak"), "same").distinct())
     side = F.broadcast(leaks) if leaks.count() <= MOST_LEAKS else leaks
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_leak")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_same"))
-    return docs.join(side, same, "left_anti")
+    same = docs[id_col].cast("long").eqNullSafe(leaks["leak"]) & (F.xxhash64(docs[text_col].cast("string")) == leaks["same"])
+    return docs.join(side, same, "left_anti")  # columns by frame: docs may have any names

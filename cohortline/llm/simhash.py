@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: in
     first = marked.groupBy("fp").agg(F.min(id_col).alias("low"))
     found = components(links(first.select("fp"), distance))
     joined = first.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    joined = cut(joined)
+    joined = cut(joined, first.count())
     ids = joined.groupBy("component").agg(F.min("low").alias("component_id"))
     label = joined.join(ids.repartition("component_id", F.hash("component")), "component").select("fp", "component_id")
     return marked.join(label.repartition("component_id", F.hash("fp")), "fp").select(
@@ -193,11 +193,11 @@ def keep_first(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 4
     id one stays; rows with a null id all stay.
     """
     found = cut(near_duplicates(docs, distance, width, seed, id_col, text_col))
-    gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
-    repeated = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again")))
+    gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct())
+    again = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("again")))
     side = F.broadcast(gone) if gone.count() <= MOST_IDS else gone
-    kept = docs.join(side, F.col(id_col) == F.col("_gone"), "left_anti")
-    if repeated.isEmpty():
+    kept = docs.join(side, docs[id_col] == gone["gone"], "left_anti")  # columns by frame: docs may have any names
+    if again.isEmpty():
         return kept
-    once = kept.join(repeated, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, F.col(id_col) == F.col("_again"), "left_anti").unionByName(once)
+    same = docs[id_col] == again["again"]
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))

@@ -5,7 +5,7 @@ import pytest
 
 from cohortline.llm import catalog, decontaminate
 
-DOCS, ITEMS = "doc_id long, text string, item_id string, same int, w string, item int", "item_id long, text string, doc_id string, n int"
+DOCS, ITEMS = "doc_id long, text string, item_id string, same int, leak string, item int", "item_id long, text string, doc_id string, n int"
 
 
 def words(t):

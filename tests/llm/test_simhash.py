@@ -86,3 +86,12 @@ def test_components_of_a_long_path_and_a_hub(spark):
     hub = [(1, i) for i in range(200, 260)] + [(7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(path + hub, "a long, b long")).collect()}
     assert found == {i: 100 for i in range(100, 161)} | {1: 1} | {i: 1 for i in range(200, 260)}
+
+
+def test_kept_rows_with_clashing_names(spark):
+    schema = "doc_id long, text string, gone long, again long, component_id string, count int, fp int"
+    data = [(5, "a b", 5, 5, "x", 1, 1), (3, "A B", 3, 3, "x", 1, 1), (3, "A B", 3, 3, "x", 1, 1), (9, "other words here", 9, 9, None, None, None), (None, "a b", None, None, "x", 1, 1)]
+    df = spark.createDataFrame(data, schema)
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(map(str, df.where("doc_id = 9 or doc_id is null").union(df.where("doc_id = 3").limit(1)).collect()))
+    assert simhash.keep_first(df.limit(0)).count() == 0
