@@ -77,7 +77,7 @@ def read_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
 def fields(line: Column, sep: str) -> Column:
     """Fields of a line: a quote opens and closes, separators within quotes do not count, quotes go, outer spaces go."""
     even = f'{re.escape(sep)}(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    plain = F.transform(F.split(line, re.escape(sep), -1), F.trim)  # most lines have no quote
+    plain = F.transform(F.split(line, re.escape(sep), -1), lambda x: F.trim(x))  # most lines have no quote
     quoted = F.transform(F.split(line, even, -1), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
 

@@ -57,6 +57,12 @@ def test_licence_file(spark, tmp_path):
     assert (r.admin_region, r.licence_type, r.learner_123, r.driver_1234, r.probationary, r.exp_5, r.exp_6abce) == ("13", "RÉGULIER", True, True, True, "2 à 5 ans", None)
 
 
+def test_fields_keep_their_digits(spark):
+    lines = spark.createDataFrame([("1020,2020_10, x ,3",), ('1,"a,b",2,3',)], "value string")
+    got = [list(r[0]) for r in lines.select(readers.fields(F.col("value"), ",")).collect()]
+    assert got == [["1020", "2020_10", "x", "3"], ["1", "a,b", "2", "3"]]
+
+
 def test_windows_encoding_and_delimiter(spark, tmp_path):
     assert readers.decode("é".encode(), True) == "utf-8"
     assert readers.decode("é".encode("iso-8859-1"), True) == "iso-8859-1"
