@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 512
 #: ... and bytes of text, unless a single text is longer.
 SLICE_BYTES = 4_000_000
-#: Rows of a few numbers that one task writes to a checkpoint.
-ROWS_A_FILE = 250_000
+#: Rows of a few numbers that one task writes to a checkpoint, and tasks at least, if there are as many partitions.
+ROWS_A_FILE, LEAST_FILES = 250_000, 16
 
 
 def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
@@ -30,7 +30,7 @@ def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     if most_rows is not None:
-        df = df.coalesce(max(4, -(-most_rows // ROWS_A_FILE)))
+        df = df.coalesce(max(LEAST_FILES, -(-most_rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 
