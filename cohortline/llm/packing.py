@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +38,16 @@ class Encoder:
 
     def __init__(self, path: str, separator: str = "<|startoftext|>"):
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator, self.mark = separator, self.tokenizer.token_to_id(separator)
+        self.separator, self.mark = separator.encode(), self.tokenizer.token_to_id(separator)
+        # the same vocabulary and merges without normalising and patterns, for words that these leave as they are
+        with open(path, encoding="utf-8") as file:
+            bare = json.load(file)
+        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        bare |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+        suffix, ids = bare["model"]["end_of_word_suffix"], bare["model"]["vocab"]
+        self.last = np.zeros(max(ids.values()) + 1, bool)
+        self.last[[k for t, k in ids.items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.passing: list[bytes] = []
 
@@ -56,32 +68,55 @@ class Encoder:
             return chunk, b""
         return word, chunk[len(word) :]
 
+    @staticmethod
+    def simple(word: bytes) -> bool:
+        """Whether a word is lower-case Latin letters in composed form: one run of letters that nothing changes."""
+        if word.isalpha():
+            return True
+        text = word.decode()
+        return text.isalpha() and max(text) < "\u0250" and text == text.lower() and is_normalized("NFC", text)
+
     def learn(self, chunks: Iterable[bytes]) -> None:
         """Remembers the ids of these chunks too."""
-        parts = {c: self.cut(c) for c in chunks}
-        self.passing += [x for c, pair in parts.items() if len(c) > LONGEST for x in (c, *pair)]
-        todo = []
-        for c in {x for pair in parts.values() for x in pair}.difference(self.known):
-            if b"<|" in c or len(c) > LONGEST:
-                self.known[c] = self.plain(c.decode())
+        known, tailed, simple, other = self.known, [], set(), set()
+        for c in chunks:
+            if len(c) > LONGEST:
+                self.passing.append(c)
+            if c[-1] in TAIL:
+                word, tail = self.cut(c)
+                if tail:
+                    tailed.append((c, word, tail))
+                    if tail not in known:
+                        other.add(tail)
+                    if word in known:
+                        continue
+                    if len(word) > LONGEST:
+                        self.passing.append(word)
+                    c = word
+            (simple if self.simple(c) else other).add(c)
+        self._learn(list(simple), b"\n", self.bare)
+        whole = [c for c in other if b"<|" in c or len(c) > LONGEST]
+        known.update((c, self.plain(c.decode())) for c in whole)
+        self._learn(list(other.difference(whole)), self.separator, self.tokenizer)
+        known.update([(c, known[word] + known[tail]) for c, word, tail in tailed])
+
+    def _learn(self, chunks: list[bytes], separator: bytes, tokenizer: Tokenizer) -> None:
+        """Encodes chunks together and parts the ids at word ends or separators."""
+        for k in range(0, len(chunks), 2000):
+            part = chunks[k : k + 2000]
+            ids = np.array(tokenizer.encode_batch_fast([separator.join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            if tokenizer is self.bare:
+                ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+                starts = ends[:-1]
             else:
-                todo.append(c)
-        for k in range(0, len(todo), 2000):
-            part = todo[k : k + 2000]
-            text = self.separator.join([c.decode() for c in part])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
-            raw, at = ids.tobytes(), 0
-            for c, end in zip(part, ends.tolist(), strict=True):
-                self.known[c] = raw[at:end]
-                at = end + 4
-        for c, (word, tail) in parts.items():
-            if tail:
-                self.known[c] = self.known[word] + self.known[tail]
+                ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
+                starts = ends[:-1] + 4
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *starts.tolist()], ends.tolist(), strict=True)], strict=True))
 
     def encode(self, many: list[bytes]) -> Iterator[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED:  # the older half goes; what is frequent is soon back
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
         split = [t.lower().split() for t in many]  # A-Z only: the tokenizer lowers them too
         self.learn(set().union(*split).difference(self.known))
         get = self.known.__getitem__
