@@ -15,7 +15,7 @@ from .common import cut, fold, rows, texts
 
 #: Counts are kept as levels of a geometric scale; a level of an n-gram takes ``BITS`` bits, probed ``PROBES`` times.
 BASE, BITS, PROBES = 1.5, 8, 5
-#: The filter never has more bits than this (it then errs more), whatever the corpus: the bound of what is broadcast.
+#: Bits that are broadcast at once: a larger filter is read in several passes, a range of segments each.
 MOST_BITS = 1 << 31
 #: The exact word counts are broadcast up to so many words; beyond, they are joined.
 MOST_WORDS = 1 << 24
@@ -91,6 +91,7 @@ class Counts:
     distinct: int
     texts: int = 0
     weights: np.ndarray = field(default_factory=lambda: np.full(6, 0.3))
+    shards: list[tuple[int, int]] = field(default_factory=list)  # ranges of segments, where ``bits`` has none of them
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The highest level up to which the filter has each key: never less than the true one."""
@@ -129,16 +130,29 @@ class Counts:
         both[may] = MIDDLE[self.level(key)][at]
         return c, u, np.minimum(both, np.minimum(c, u))
 
+    def levels(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Levels of each token, of the one before and of both, as far as this part of the filter has them."""
+        known, at = np.unique(np.concatenate((word, before)), return_inverse=True)
+        single = self.level(mixed(known))[at]
+        key, at = np.unique(pairs(before, word), return_inverse=True)
+        return np.stack((single[: len(word)], single[len(word) :], self.level(key)[at])).astype(np.uint8)
+
+    def counted(self, before: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``estimates`` gives, from levels gathered over all parts."""
+        c, u, both = MIDDLE[levels]
+        u[before == START] = self.texts
+        return c, u, np.minimum(both, np.minimum(c, u))
+
     def probability(self, c: np.ndarray, u: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a token by itself, of the token after the one before, and the weight class of the latter."""
         alone = (c + 0.1) / (self.total + 0.1 * (self.distinct + 1))
         return alone, np.divide(both, u, out=np.zeros_like(u), where=u > 0), weight_class(u)
 
-    def score(self, many: list[bytes]) -> tuple[np.ndarray, ...]:
+    def score(self, many: list[bytes], levels: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score (both exact; zeros without the word counts) and the model's score of each text."""
         word, before, sizes = chain(many)
         of = np.repeat(np.arange(len(sizes)), sizes)
-        alone, after, kind = self.probability(*self.estimates(word, before))
+        alone, after, kind = self.probability(*(self.estimates(word, before) if levels is None else self.counted(before, levels)))
         w = self.weights[kind]
         model = np.bincount(of, np.log10(w * after + (1 - w) * alone), len(sizes))
         if self.words is None:
@@ -204,7 +218,7 @@ def count(train: DataFrame, most_bits: int, most_words: int) -> tuple[DataFrame,
         (word, word_n), (pair, pair_n) = found
         keys = np.concatenate((word, pair))
         level = np.searchsorted(LOWEST, np.concatenate((word_n, pair_n)), side="right")
-        bits = min(BITS * int(level.sum()), most_bits // segments) + 7 & ~7
+        bits = BITS * int(level.sum()) + 7 & ~7
         field_ = np.zeros(bits, bool)
         for k in range(1, int(level.max()) + 1):
             for at in probes(keys[level >= k], k, np.uint64(0), np.uint64(bits)):
@@ -216,26 +230,73 @@ def count(train: DataFrame, most_bits: int, most_words: int) -> tuple[DataFrame,
     made = cut(sent.groupBy("segment").applyInArrow(merge, "segment int, bits binary, words binary, times binary, distinct long, total long"))
     total, distinct = made.agg(F.sum("total"), F.sum("distinct")).first()
     exact = (distinct or 0) <= most_words
-    sizes, bits, words, times = np.zeros(segments + 1, np.uint64), {}, {}, {}
-    picked = made.select("segment", "bits", *(["words", "times"] if exact else []))
-    for r in picked.toLocalIterator():
-        bits[r.segment] = bytes(r.bits)
-        sizes[r.segment + 1] = len(bits[r.segment]) * 8
-        if exact:
-            words[r.segment], times[r.segment] = bytes(r.words), np.frombuffer(r.times, "<u8").clip(max=2**32 - 1).astype("<u4")
-    order = sorted(bits)
-    field_ = np.frombuffer(b"".join(bits.pop(k) for k in order), np.uint8)
+    each = {r.segment: r.n for r in made.select("segment", F.octet_length("bits").alias("n")).collect()}
+    shards: list[tuple[int, int]] = []
+    held = 0
+    for k in sorted(each):
+        if shards and held + each[k] * 8 <= most_bits:
+            shards[-1], held = (shards[-1][0], k + 1), held + each[k] * 8
+        else:
+            shards.append((k, k + 1))
+            held = each[k] * 8
+    words, times = {}, {}
+    for r in made.select("segment", "words", "times").toLocalIterator() if exact else ():
+        words[r.segment], times[r.segment] = bytes(r.words), np.frombuffer(r.times, "<u8").clip(max=2**32 - 1).astype("<u4")
+    order = sorted(words)
     known = np.frombuffer(b"".join(words[k] for k in order), "<u8") if exact else None
     n = (np.concatenate([times[k] for k in order]) if order else np.empty(0, np.uint32)) if exact else None
-    return made, Counts(shift, np.cumsum(sizes), field_, known, n, int(total or 0), int(distinct or 0), int(texts_))
+    counts = Counts(shift, np.zeros(segments + 1, np.uint64), np.empty(0, np.uint8), known, n, int(total or 0), int(distinct or 0), int(texts_))
+    if len(shards) > 1:
+        counts.shards = shards
+    elif shards:
+        counts.bounds, counts.bits = part(made, segments, *shards[0])
+    return made, counts
+
+
+def part(made: DataFrame, segments: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and bits of the filter's segments from ``low`` to ``high``; the others have no bits."""
+    sizes, bits = np.zeros(segments + 1, np.uint64), {}
+    for r in made.where(F.col("segment").between(low, high - 1)).select("segment", "bits").toLocalIterator():
+        bits[r.segment] = bytes(r.bits)
+        sizes[r.segment + 1] = len(bits[r.segment]) * 8
+    return np.cumsum(sizes), np.frombuffer(b"".join(bits.pop(k) for k in sorted(bits)), np.uint8)
+
 
+def gathered(marked: DataFrame, made: DataFrame, counts: Counts, sample: list[bytes]) -> tuple[DataFrame, np.ndarray]:
+    """``marked`` with the ``levels`` of its tokens and the levels of the sample's: a pass for each shard of the filter.
 
-def tune(counts: Counts, sample: list[bytes], steps: int = 20) -> np.ndarray:
+    Only one shard is held at a time; the rows are written after each pass, with three bytes a token.
+    """
+    word, before, _ = chain(sample)
+    own = np.zeros((3, len(word)), np.uint8)
+    schema = "id long, text string, held_out boolean, same long, levels binary"
+    marked = marked.withColumn("levels", F.lit(None).cast("binary"))
+    for low, high in counts.shards:
+        shard = Counts(counts.shift, *part(made, len(counts.bounds) - 1, low, high), None, None, 0, 0)
+        own = np.maximum(own, shard.levels(word, before))
+        sent = marked.sparkSession.sparkContext.broadcast(shard)
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in rows(batches):
+                word, before, sizes = chain(texts(b.column(1)))
+                found, ends = sent.value.levels(word, before), np.cumsum(sizes)
+                out = []
+                for old, i, j in zip(b.column(4).to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                    one = found[:, i:j]
+                    out.append((one if old is None else np.maximum(one, np.frombuffer(old, np.uint8).reshape(3, -1))).tobytes())
+                yield pa.record_batch([*b.columns[:4], pa.array(out, pa.binary())], names=b.schema.names)
+
+        marked = cut(marked.mapInArrow(run, schema))
+        sent.unpersist()
+    return marked, own
+
+
+def tune(counts: Counts, sample: list[bytes], steps: int = 20, levels: np.ndarray | None = None) -> np.ndarray:
     """Interpolation weights by expectation-maximisation with each token's own occurrence left out of the counts."""
     if not sample:
         return counts.weights
     word, before, _ = chain(sample)
-    c, u, both = counts.estimates(word, before)
+    c, u, both = counts.estimates(word, before) if levels is None else counts.counted(before, levels)
     alone, after, kind = counts.probability(np.maximum(c - 1, 0), u - 1, np.maximum(both - 1, 0))
     weights = np.full(6, 0.3)
     for _ in range(steps):
@@ -280,7 +341,8 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, most_bits: int = MOST
     add-0.1 smoothing of single tokens), ``score`` (log10 probability by the model).  A null text is
     empty: it has its end token only.  Repeated rows all come back; null ids are in fold 0; an empty table
     gives no rows; if nothing is left to learn from, every token is unknown; other columns are not
-    looked at.  The filter has at most ``most_bits`` bits; more than ``most_words`` words are not broadcast
+    looked at.  The filter grows with the corpus and errs alike at
+    every size; beyond ``most_bits`` bits it is read in passes over shards, with the same result.  More than ``most_words`` words are not broadcast
     but joined, with the same result.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (fold(F.col(id_col), folds) == held).alias("held_out"))
@@ -288,18 +350,21 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, most_bits: int = MOST
     made, counts = count(train, most_bits, most_words)
     rate = TUNING_ROWS / max(1, counts.texts)
     sample = train.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_003)) < rate * 1_000_003).select("text").toArrow()
-    counts.weights = tune(counts, sorted(texts(sample["text"])))
+    many = sorted(texts(sample["text"]))
+    exact = counts.words is not None
+    marked = picked.withColumn("same", F.lit(0).cast("long") if exact else F.xxhash64("text")).select("id", "text", "held_out", "same")
+    ready, own = gathered(marked, made, counts, many) if counts.shards else (marked, None)
+    counts.weights = tune(counts, many, levels=own)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     total = counts.total
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
-            n, known, base, model = sent.value.score(texts(b.column(1)))
+            levels = np.concatenate([np.frombuffer(x, np.uint8).reshape(3, -1) for x in b.column(4).to_pylist()], axis=1) if b.num_columns > 4 else None
+            n, known, base, model = sent.value.score(texts(b.column(1)), levels)
             yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(model)], names=["id", "held_out", "same", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    exact = counts.words is not None
-    marked = picked.withColumn("same", F.lit(0).cast("long") if exact else F.xxhash64("text"))
-    found = marked.select("id", "text", "held_out", "same").mapInArrow(run, "id long, held_out boolean, same long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = ready.mapInArrow(run, "id long, held_out boolean, same long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     if not exact:
         base = exact_base(marked, made, counts.total, counts.distinct).withColumnsRenamed({"id": "i", "same": "s"})
         found = found.drop("n_known", "base_score").join(base, F.col("id").eqNullSafe(F.col("i")) & (F.col("same") == F.col("s")))

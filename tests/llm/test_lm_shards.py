@@ -1,0 +1,13 @@
+import numpy as np
+
+from cohortline.llm import lm
+
+
+def test_filter_beyond_one_broadcast_scores_the_same(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm, "PER_SEGMENT", 4_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
+    _, counts = lm.count(docs.select("text"), 200_000, lm.MOST_WORDS)
+    assert len(counts.shards) > 1 and not len(counts.bits)
+    whole = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    parts = {r.doc_id: r.score for r in lm.score(docs, most_bits=200_000).collect()}
+    assert whole.keys() == parts.keys() and np.allclose([whole[k] for k in whole], [parts[k] for k in whole], rtol=1e-12)
