@@ -47,13 +47,13 @@ def fold(key: Column, n: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def rows(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def rows(batches: Iterable[pa.RecordBatch], text: str = "text", most_rows: int = SLICE_ROWS, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of bounded bytes, so that Python never holds a whole batch as objects."""
     for batch in batches:
         at, i = 0, batch.schema.get_field_index(text)
         while at < batch.num_rows:
-            n = min(SLICE_ROWS, batch.num_rows - at)
-            while n > 1 and batch.column(i).slice(at, n).nbytes > SLICE_BYTES:
+            n = min(most_rows, batch.num_rows - at)
+            while n > 1 and batch.column(i).slice(at, n).nbytes > most_bytes:
                 n //= 2
             yield batch.slice(at, n)
             at += n

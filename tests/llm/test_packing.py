@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -13,9 +14,11 @@ SCHEMA = "doc_id long, text string, piece string, length string, id int"
 ODD = ["<|endoftext|> a<|startoftext|>b it's 12 \x1c x\x1fy É́ İSTANBUL ΣΑΣ", "don't I'LL'VE a\x85b c d", "x" * 700 + " " + "y." * 300, "Word, word. WORD!!! a*** 3,5% … é! ™!", "", "  \n", None]
 
 
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+
+
 def whole(t):
-    tok = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    return np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+    return np.array([*TOKENIZER.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def check(rows, texts):
@@ -60,14 +63,51 @@ def test_cut_at_capacity(spark):
         assert sorted((r.length for r in rows), reverse=True) == lengths
 
 
+def encoded(encoder, many):
+    ids, ends = encoder.encode(pa.array(many, pa.string()))
+    return [x.tolist() for x in np.split(ids, ends)[:-1]]
+
+
 def test_remembering_does_not_change_ids(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     encoder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
     for _ in range(2):
-        assert [e + b"\0" * 4 for e in encoder.encode([(t or "").encode() for t in ODD])] == [whole(t).tobytes() for t in ODD]
+        assert encoded(encoder, ODD) == [whole(t).tolist() for t in ODD]
+    assert encoded(encoder, []) == []
     assert not any(len(c) > packing.LONGEST for c in encoder.known)
 
 
+def test_every_letter_before_punctuation():
+    encoder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    letters = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if c.isalpha()]
+    many = [f"{x}{c}{packing.TAIL[k % len(packing.TAIL)]}" for k, c in enumerate(letters) for x in ("", "H")]
+    for k in range(0, len(many), 20_000):
+        plain = encoder.tokenizer.encode_batch_fast(many[k : k + 20_000], add_special_tokens=False)
+        assert encoded(encoder, many[k : k + 20_000]) == [[*x.ids, 0] for x in plain]
+
+
+def test_letters_that_compose_or_decompose():
+    rng = random.Random(3)
+    pool = "aAbBhHjJtTwWyYİIiıſKÅ\u0331\u030c\u0308\u030a\u0307\u0301éÉßΣσς'<|>.,;:!?|*&%$#()- \xa0\u2003\t\u0958\u0959१2½①s"
+    many = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    many += ["BELEDİYESİ.", "J\u030c H\u0331.", "<|ENDOFTEXT|> <|endoftext|>x. A<|endoftext|>."]
+    encoder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    assert encoded(encoder, many) == [[*encoder.plain(t).tolist(), 0] for t in many]
+
+
+def test_fullest_bins_close_and_little_room_is_lost():
+    """Lengths as in the corpus: full pieces, long and short ones; one sequence in 2,000 lost at most."""
+    rng = np.random.default_rng(0)
+    lengths = np.minimum(rng.lognormal(6.6, 1.0, 300_000).astype(int) + 1, 2048)
+    packer = packing.Packer()
+    for k in range(0, len(lengths), packing.RUN):
+        for n in np.sort(lengths[k : k + packing.RUN])[::-1].tolist():
+            packer.place(n)
+            assert packer.count <= packing.OPEN_BINS
+    assert packer.made > packing.OPEN_BINS and packer.closed > 0
+    assert packer.made <= 1.0005 * lengths.sum() / 2048 + 1
+
+
 @pytest.mark.parametrize("bins", [1, 3, 1000])
 def test_best_fit_against_a_plain_one(bins):
     rng = random.Random(bins)
