@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fold, rows, texts
 
-#: Counts are kept as levels of a geometric scale; a level of an n-gram takes ``BITS`` bits, probed ``PROBES`` times.
+#: Pair counts are kept as levels of a geometric scale; a level of a pair takes ``BITS`` bits, probed ``PROBES`` times.
 BASE, BITS, PROBES = 1.5, 8, 5
-#: Bits that are broadcast at once: a larger filter is read in several passes, a range of segments each.
-MOST_BITS = 1 << 31
-#: The exact word counts are broadcast up to so many words; beyond, they are joined.
-MOST_WORDS = 1 << 24
+#: Bits of the filter and words with their counts that are broadcast at most; beyond, the probes are sent to the filter.
+MOST_BITS, MOST_WORDS = 1 << 31, 1 << 24
 #: Tokens counted at once, and those of a segment of the n-grams on average.
 FLUSH, PER_SEGMENT = 2_000_000, 1_000_000
-#: Training rows that the interpolation weights are fitted on (expected number).
-TUNING_ROWS = 400
+#: Bits of a segment's number that one exchange deals by, and tokens that a task deals again on average.
+DEALT, PER_TASK = 8, 32_000_000
+#: Classes of words by the logarithm of their count, for the weights of interpolation.
+CLASSES, LEAST, LARGEST = 21, 1e-3, 0.95
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_levels = np.ceil(BASE ** np.arange(0, 100)).clip(max=2**62).astype(np.int64)
-LOWEST = np.unique(_levels)  # the smallest count of each level
-MIDDLE = np.concatenate(([0.0], (LOWEST[:-1] + LOWEST[1:] - 1) / 2, [float(LOWEST[-1])]))
+LOWEST = np.unique(np.ceil(BASE ** np.arange(0, 100)).clip(max=2**62).astype(np.int64))  # the count of each level
+VALUE = np.concatenate(([0], LOWEST))
+_long = pa.list_(pa.int64())
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -70,302 +71,368 @@ def leveled(keys: np.ndarray, level: int) -> np.ndarray:
     return mixed(keys + np.uint64(level * 0xA24BAED4963EE407 % (1 << 64)))
 
 
-def probes(keys: np.ndarray, level: int, start: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+def probes(keys: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarray]:
     """Positions of the bits of (key, level) in its segment's part of the filter."""
     a = leveled(keys, level)
     b = mixed(a + np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
     for i in range(PROBES):
-        yield start + ((a + np.uint64(i) * b) % size)
+        yield (a + np.uint64(i) * b) % size
 
 
-@dataclass
-class Counts:
-    """What is broadcast: the filter, its segments' bounds, the exact word counts (if few enough) and totals."""
-
-    shift: int
-    bounds: np.ndarray
-    bits: np.ndarray
-    words: np.ndarray | None
-    times: np.ndarray | None
-    total: int
-    distinct: int
-    texts: int = 0
-    weights: np.ndarray = field(default_factory=lambda: np.full(6, 0.3))
-    shards: list[tuple[int, int]] = field(default_factory=list)  # ranges of segments, where ``bits`` has none of them
-
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """The highest level up to which the filter has each key: never less than the true one."""
-        out = np.zeros(len(keys), np.int64)
-        segment = (keys >> np.uint64(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(keys), np.int64)
-        start, size = self.bounds[segment], np.maximum(self.bounds[segment + 1] - self.bounds[segment], np.uint64(1))
-        left = np.flatnonzero(self.bounds[segment + 1] > self.bounds[segment])
-        for level in range(1, len(LOWEST) + 1):
-            for at in self._found(keys, left, level, start, size):
-                left = at
-            if not len(left):
-                break
-            out[left] = level
-        return out
-
-    def _found(self, keys: np.ndarray, left: np.ndarray, level: int, start: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+def quantised(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The level of each count: that below or above it, by a hash of the key, so that the mean of the levels' counts is the count."""
+    low = np.searchsorted(LOWEST, n, side="right")
+    below, above = VALUE[low], VALUE[np.minimum(low + 1, len(LOWEST))]
+    chance = (n - below) / np.maximum(above - below, 1)
+    return low + ((mixed(keys ^ END) >> np.uint64(11)) * 2.0**-53 < chance)
+
+
+def filter_of(keys: np.ndarray, level: np.ndarray, bits_a_level: int = BITS) -> bytes:
+    """A Bloom filter that holds each key at all levels up to its own."""
+    size = bits_a_level * int(level.sum()) + 7 & ~7
+    bits = np.zeros(size, bool)
+    for k in range(1, int(level.max(initial=0)) + 1):
+        for at in probes(keys[level >= k], k, np.uint64(size)):
+            bits[at] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def levels(keys: np.ndarray, start: np.ndarray, size: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The highest level up to which the filter, in the part ``start`` and ``size`` (in bits), has each key: never less than the true one."""
+    out = np.zeros(len(keys), np.int64)
+    left = np.flatnonzero(size > 0)
+    for level in range(1, len(LOWEST) + 1):
         a = leveled(keys[left], level)
         b = mixed(a + np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
-        start, size = start[left], size[left]
+        first, n = start[left], size[left]
         for i in range(PROBES):
-            at = start + (a + np.uint64(i) * b) % size
-            hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            left, a, b, start, size = left[hit], a[hit], b[hit], start[hit], size[hit]
-        yield left
-
-    def estimates(self, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Quantised counts of each token, of the one before and of both: a pair is no more frequent than its words."""
-        known, at = np.unique(np.concatenate((word, before)), return_inverse=True)
-        times = MIDDLE[self.level(mixed(known))]
-        times[known == START] = self.texts
-        times = times[at]
-        c, u = times[: len(word)], times[len(word) :]
-        both = np.zeros(len(word))
-        may = np.flatnonzero((c > 0) & (u > 0))
-        key, at = np.unique(pairs(before[may], word[may]), return_inverse=True)
-        both[may] = MIDDLE[self.level(key)][at]
-        return c, u, np.minimum(both, np.minimum(c, u))
-
-    def levels(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Levels of each token, of the one before and of both, as far as this part of the filter has them."""
-        known, at = np.unique(np.concatenate((word, before)), return_inverse=True)
-        single = self.level(mixed(known))[at]
-        key, at = np.unique(pairs(before, word), return_inverse=True)
-        return np.stack((single[: len(word)], single[len(word) :], self.level(key)[at])).astype(np.uint8)
-
-    def counted(self, before: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What ``estimates`` gives, from levels gathered over all parts."""
-        c, u, both = MIDDLE[levels]
-        u[before == START] = self.texts
-        return c, u, np.minimum(both, np.minimum(c, u))
+            at = first + (a + np.uint64(i) * b) % n
+            hit = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            left, a, b, first, n = left[hit], a[hit], b[hit], first[hit], n[hit]
+        if not len(left):
+            break
+        out[left] = level
+    return out
+
+
+def segment_of(keys: np.ndarray, power: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(len(keys), np.int64)
+
+
+def counts_of(keys: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The count of each key in sorted ``known``, 0 where it is not there."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, times[at], 0).astype(np.int64)
+
+
+@dataclass
+class Model:
+    """Totals and weights, and, where they are few enough to be broadcast, the words' counts and the filter."""
 
-    def probability(self, c: np.ndarray, u: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of a token by itself, of the token after the one before, and the weight class of the latter."""
+    total: int
+    distinct: int
+    texts: int
+    weights: np.ndarray
+    power: int
+    words: np.ndarray | None = None
+    times: np.ndarray | None = None
+    bounds: np.ndarray | None = None
+    bits: np.ndarray | None = None
+
+    def times_of(self, keys: np.ndarray) -> np.ndarray:
+        return counts_of(keys, self.words, self.times)
+
+    def value_of(self, keys: np.ndarray) -> np.ndarray:
+        segment = segment_of(keys, self.power)
+        start = self.bounds[segment]
+        return VALUE[levels(keys, start, self.bounds[segment + 1] - start, self.bits)]
+
+    def probability(self, c: np.ndarray, u: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a token by itself, and after the one before: a pair is no more frequent than its words.
+
+        The former makes 1 over all words and one unknown word.  The latter mixes it with ``both / u``,
+        which makes 1 over all words if no count is rounded, and on average if some are.
+        """
         alone = (c + 0.1) / (self.total + 0.1 * (self.distinct + 1))
-        return alone, np.divide(both, u, out=np.zeros_like(u), where=u > 0), weight_class(u)
+        after = np.divide(np.minimum(both, np.minimum(c, u)), u, out=np.zeros(len(u)), where=u > 0)
+        w = np.where(u > 0, self.weights[classes(u)], 0.0)
+        return alone, w * after + (1 - w) * alone
 
-    def score(self, many: list[bytes], levels: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """Tokens, known tokens, base score (both exact; zeros without the word counts) and the model's score of each text."""
+    def score(self, many: list[bytes], times_of: Callable[[np.ndarray], np.ndarray], value_of: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Tokens, known tokens, base score and the model's score of each text."""
         word, before, sizes = chain(many)
         of = np.repeat(np.arange(len(sizes)), sizes)
-        alone, after, kind = self.probability(*(self.estimates(word, before) if levels is None else self.counted(before, levels)))
-        w = self.weights[kind]
-        model = np.bincount(of, np.log10(w * after + (1 - w) * alone), len(sizes))
-        if self.words is None:
-            return sizes, np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), model
-        n = np.zeros(len(word), np.int64)
-        if len(self.words):
-            one, back = np.unique(mixed(word), return_inverse=True)
-            at = np.minimum(np.searchsorted(self.words, one), len(self.words) - 1)
-            n = np.where(self.words[at] == one, self.times[at], 0).astype(np.int64)[back]
-        base = np.bincount(of, np.log10((n + 0.1) / (self.total + 0.1 * (self.distinct + 1))), len(sizes))
-        return sizes, np.bincount(of, n > 0, len(sizes)).astype(np.int64), base, model
-
-
-def weight_class(u: np.ndarray) -> np.ndarray:
-    """Interpolation weights differ by the count of the token before: 0, 1, 2-3, 4-15, 16-255, more."""
-    return np.searchsorted([1, 2, 4, 16, 256], u, side="right")
-
-
-def count(train: DataFrame, most_bits: int, most_words: int) -> tuple[DataFrame, Counts]:
-    """Counts words and pairs of the rows ``text``: the exact word counts as blobs by segment, and the filter.
-
-    Each task sums its tokens in flushes of bounded size, cuts the sorted hashes in segments and sends
-    a row for each; the rows of a segment are merged in one task.  A segment holds about
-    ``PER_SEGMENT`` tokens however large the corpus is, as there are so many more segments.
+        one, at = np.unique(mixed(word), return_inverse=True)
+        c = times_of(one)[at]
+        u = np.empty_like(c)  # the count of the token before, and that of a text's start
+        u[1:] = c[:-1]
+        u[before == START] = self.texts
+        both = np.zeros(len(word), np.int64)
+        may = np.flatnonzero((c > 0) & (u > 0))
+        key, at = np.unique(pairs(before[may], word[may]), return_inverse=True)
+        both[may] = value_of(key)[at]
+        alone, mix = self.probability(c, u, both)
+        n = len(sizes)
+        return sizes, np.bincount(of, c > 0, n).astype(np.int64), np.bincount(of, np.log10(alone), n), np.bincount(of, np.log10(mix), n)
+
+
+def classes(u: np.ndarray) -> np.ndarray:
+    """The class of a count: 0 for 0 and 1, then one for each power of two."""
+    return np.clip(np.frexp(u)[1] - 1, 0, CLASSES - 1)
+
+
+def followed(before: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted pairs with their counts, and by class of the word before: tokens, and those whose pair comes once."""
+    order = np.argsort(key)
+    key, before = key[order], before[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    n = np.diff(np.append(first, len(key)))
+    words, times = np.unique(before, return_counts=True)
+    kind = classes(times)
+    single = before[first[n == 1]]
+    alone = np.bincount(kind[np.searchsorted(words, single)], minlength=CLASSES)
+    return key[first], n, np.bincount(kind, times, CLASSES).astype(np.int64), alone
+
+
+def weights(tokens_: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """By Good and Turing: of the tokens after words of a class, the share whose pair is seen again.
+
+    Words seen once, of which this tells nothing, and classes without words take the weight of the next class with any.
     """
-    size, texts_ = train.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    power = max(0, int(np.ceil(np.log2(max(1, (size or 0) / 6 / PER_SEGMENT)))))
-    segments, shift = 1 << power, 64 - power
+    out, last = np.full(CLASSES, np.nan), np.nan
+    for k in range(CLASSES - 1, -1, -1):
+        if tokens_[k] and k:
+            last = 1 - single[k] / tokens_[k]
+        out[k] = last
+    known = out[~np.isnan(out)]
+    return np.where(np.isnan(out), known[-1] if len(known) else 0.3, out).clip(LEAST, LARGEST)
+
+
+SENT = "segment int, kind int, keys binary, n binary"
+
+
+def blobs(kind: int, keys: np.ndarray, n: np.ndarray, power: int) -> pa.RecordBatch:
+    """Sorted keys and their counts, a row for each segment."""
+    edges = [0, *np.searchsorted(keys, np.arange(1, 1 << power, dtype=np.uint64) << np.uint64(64 - power)).tolist(), len(keys)] if power else [0, len(keys)]
+    some = [(i, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+    cast = n.astype("u1" if n.max(initial=0) < 256 else "<u8")
+    columns = ([i for i, _, _ in some], [kind] * len(some), [keys[a:b].tobytes() for _, a, b in some], [cast[a:b].tobytes() for _, a, b in some])
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["segment", "kind", "keys", "n"])
 
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def unpacked(keys: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(keys, "<u8"), np.frombuffer(n, "u1" if len(n) * 8 == len(keys) else "<u8").astype(np.int64)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and the sums of their counts."""
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+
+
+def gather(power: int) -> Callable:
+    """Counts the words and pairs of texts in flushes of bounded size; the row of kind 2 holds what ``weights`` needs."""
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]], number: int) -> Iterator[pa.RecordBatch]:
+        word, before = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield blobs(0, *np.unique(mixed(word), return_counts=True), power)
+        keys, n, after, single = followed(before, pairs(before, word))
+        yield blobs(1, keys, n, power)
+        any_ = number % (1 << power)  # any segment may hold these sums
+        yield pa.record_batch([pa.array([any_], pa.int32()), pa.array([2], pa.int32()), pa.array([after.astype("<i8").tobytes()], pa.binary()), pa.array([single.astype("<i8").tobytes()], pa.binary())], names=["segment", "kind", "keys", "n"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
+        n, number = 0, TaskContext.get().partitionId()
         for b in rows(batches):
             word, before, sizes = chain(texts(b.column(0)))
-            held.append((mixed(word), pairs(before, word)))
+            held.append((word, before))
             n += len(word)
             if n >= FLUSH:
-                yield from flush(held)
-                held, n = [], 0
+                yield from flush(held, number)
+                held, n, number = [], 0, number + 7919
+        if n:
+            yield from flush(held, number)
+
+    return run
+
+
+def deal(old: int, power: int) -> Callable:
+    """Deals rows of the segments of ``old`` bits, sorted by segment, anew by ``power`` bits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
+        segment, n = None, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                if parts:
+                    keys, c = summed(parts)
+                    own = blobs(kind, keys << np.uint64(old), c, power - old)  # the bits after those dealt by
+                    whole = np.array(own.column(0).to_pylist(), np.int64) + (segment << (power - old))
+                    back = pa.array([(np.frombuffer(x, "<u8") >> np.uint64(old) | np.uint64(segment << (64 - old))).tobytes() for x in own.column(2).to_pylist()], pa.binary())
+                    yield pa.record_batch([pa.array(whole, pa.int32()), own.column(1), back, own.column(3)], names=own.schema.names)
+                held[kind] = []
+
+        for b in batches:
+            for i in range(b.num_rows):
+                at, kind, keys, c = (x[i].as_py() for x in b.columns)
+                if kind == 2:
+                    yield pa.record_batch([pa.array([at << (power - old)], pa.int32()), pa.array([2], pa.int32()), pa.array([keys]), pa.array([c])], names=b.schema.names)
+                    continue
+                if n and (at != segment or n >= FLUSH):
+                    yield from flush()
+                    n = 0
+                segment, n = at, n + len(keys) // 8
+                held[kind].append(unpacked(keys, c))
         if n:
-            yield from flush(held)
-
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for kind in (0, 1):
-            keys, n = np.unique(np.concatenate([x[kind] for x in held]), return_counts=True)
-            ends = np.searchsorted(keys, np.arange(1, segments, dtype=np.uint64) << np.uint64(shift)) if segments > 1 else np.empty(0, np.int64)
-            edges = [0, *ends.tolist(), len(keys)]
-            some = [(i, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-            wide = n.max() > 255
-            cast = n.astype("<u4" if wide else "u1")
-            yield pa.record_batch([pa.array([i for i, _, _ in some], pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([keys[a:b].tobytes() for _, a, b in some], pa.binary()), pa.array([cast[a:b].tobytes() for _, a, b in some], pa.binary())], names=["segment", "kind", "keys", "n"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        kinds = table["kind"].to_numpy()
-        blobs, times = table["keys"].to_pylist(), table["n"].to_pylist()
-        found = []
-        for kind in (0, 1):
-            own = np.flatnonzero(kinds == kind)
-            keys = np.concatenate([np.frombuffer(blobs[i], "<u8") for i in own] or [np.empty(0, np.uint64)])
-            n = np.concatenate([np.frombuffer(times[i], "u1" if len(times[i]) * 8 == len(blobs[i]) else "<u4").astype(np.int64) for i in own] or [np.empty(0, np.int64)])
-            keys, at = np.unique(keys, return_inverse=True)
-            found.append((keys, np.bincount(at, n, len(keys)).astype(np.int64)))
-        (word, word_n), (pair, pair_n) = found
-        keys = np.concatenate((word, pair))
-        level = np.searchsorted(LOWEST, np.concatenate((word_n, pair_n)), side="right")
-        bits = BITS * int(level.sum()) + 7 & ~7
-        field_ = np.zeros(bits, bool)
-        for k in range(1, int(level.max()) + 1):
-            for at in probes(keys[level >= k], k, np.uint64(0), np.uint64(bits)):
-                field_[at] = True
-        return pa.table({"segment": table["segment"][:1], "bits": [np.packbits(field_, bitorder="little").tobytes()], "words": [word.tobytes()], "times": [word_n.astype("<u8").tobytes()], "distinct": [len(word)], "total": [int(word_n.sum())]}, schema=merged)
-
-    merged = pa.schema([("segment", pa.int32()), ("bits", pa.binary()), ("words", pa.binary()), ("times", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())])
-    sent = train.select("text").mapInArrow(gather, "segment int, kind int, keys binary, n binary")
-    made = cut(sent.groupBy("segment").applyInArrow(merge, "segment int, bits binary, words binary, times binary, distinct long, total long"))
-    total, distinct = made.agg(F.sum("total"), F.sum("distinct")).first()
-    exact = (distinct or 0) <= most_words
-    each = {r.segment: r.n for r in made.select("segment", F.octet_length("bits").alias("n")).collect()}
-    shards: list[tuple[int, int]] = []
-    held = 0
-    for k in sorted(each):
-        if shards and held + each[k] * 8 <= most_bits:
-            shards[-1], held = (shards[-1][0], k + 1), held + each[k] * 8
-        else:
-            shards.append((k, k + 1))
-            held = each[k] * 8
-    words, times = {}, {}
-    for r in made.select("segment", "words", "times").toLocalIterator() if exact else ():
-        words[r.segment], times[r.segment] = bytes(r.words), np.frombuffer(r.times, "<u8").clip(max=2**32 - 1).astype("<u4")
-    order = sorted(words)
-    known = np.frombuffer(b"".join(words[k] for k in order), "<u8") if exact else None
-    n = (np.concatenate([times[k] for k in order]) if order else np.empty(0, np.uint32)) if exact else None
-    counts = Counts(shift, np.zeros(segments + 1, np.uint64), np.empty(0, np.uint8), known, n, int(total or 0), int(distinct or 0), int(texts_))
-    if len(shards) > 1:
-        counts.shards = shards
-    elif shards:
-        counts.bounds, counts.bits = part(made, segments, *shards[0])
-    return made, counts
-
-
-def part(made: DataFrame, segments: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds and bits of the filter's segments from ``low`` to ``high``; the others have no bits."""
-    sizes, bits = np.zeros(segments + 1, np.uint64), {}
-    for r in made.where(F.col("segment").between(low, high - 1)).select("segment", "bits").toLocalIterator():
-        bits[r.segment] = bytes(r.bits)
-        sizes[r.segment + 1] = len(bits[r.segment]) * 8
-    return np.cumsum(sizes), np.frombuffer(b"".join(bits.pop(k) for k in sorted(bits)), np.uint8)
-
-
-def gathered(marked: DataFrame, made: DataFrame, counts: Counts, sample: list[bytes]) -> tuple[DataFrame, np.ndarray]:
-    """``marked`` with the ``levels`` of its tokens and the levels of the sample's: a pass for each shard of the filter.
-
-    Only one shard is held at a time; the rows are written after each pass, with three bytes a token.
+            yield from flush()
+
+    return run
+
+
+MADE = "segment int, bits binary, words binary, times binary, distinct long, total long, after array<long>, single array<long>"
+
+
+def merge(table: pa.Table, bits: int) -> pa.Table:
+    """One row for the rows of a segment: the filter of its pairs, its words' exact counts, and sums."""
+    kinds = table["kind"].to_numpy()
+    keys, n = table["keys"].to_pylist(), table["n"].to_pylist()
+    (word, times), (pair, pair_n) = (summed([unpacked(keys[i], n[i]) for i in np.flatnonzero(kinds == k)]) for k in (0, 1))
+    after, single = (sum((np.frombuffer(c[i], "<i8") for i in np.flatnonzero(kinds == 2)), np.zeros(CLASSES, np.int64)) for c in (keys, n))
+    row = (table["segment"][0].as_py(), filter_of(pair, quantised(pair, pair_n), bits), word.tobytes(), times.astype("<u8").tobytes(), len(word), int(times.sum()), after.tolist(), single.tolist())
+    kinds_ = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), _long, _long)
+    return pa.table([pa.array([x], t) for x, t in zip(row, kinds_, strict=True)], names=["segment", "bits", "words", "times", "distinct", "total", "after", "single"])
+
+
+def count(train: DataFrame, most_bits: int = MOST_BITS, most_words: int = MOST_WORDS, bits_a_level: int = BITS) -> tuple[DataFrame, Model]:
+    """Counts words and pairs of the rows ``text``: the merged segments, and the model (with all of them, if they are few enough).
+
+    Each task sums its tokens in flushes of bounded size, cuts the sorted hashes in at most ``2^DEALT``
+    segments and sends a row for each, so that the rows are in proportion to the tokens.  A segment
+    holds about ``PER_SEGMENT`` tokens however large the corpus is; where there are more than ``2^DEALT`` of
+    them, the rows are dealt again by the next bits, in as many exchanges as it takes, and summed at each.
     """
-    word, before, _ = chain(sample)
-    own = np.zeros((3, len(word)), np.uint8)
-    schema = "id long, text string, held_out boolean, same long, levels binary"
-    marked = marked.withColumn("levels", F.lit(None).cast("binary"))
-    for low, high in counts.shards:
-        shard = Counts(counts.shift, *part(made, len(counts.bounds) - 1, low, high), None, None, 0, 0)
-        own = np.maximum(own, shard.levels(word, before))
-        sent = marked.sparkSession.sparkContext.broadcast(shard)
-
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in rows(batches):
-                word, before, sizes = chain(texts(b.column(1)))
-                found, ends = sent.value.levels(word, before), np.cumsum(sizes)
-                out = []
-                for old, i, j in zip(b.column(4).to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-                    one = found[:, i:j]
-                    out.append((one if old is None else np.maximum(one, np.frombuffer(old, np.uint8).reshape(3, -1))).tobytes())
-                yield pa.record_batch([*b.columns[:4], pa.array(out, pa.binary())], names=b.schema.names)
-
-        marked = cut(marked.mapInArrow(run, schema))
-        sent.unpersist()
-    return marked, own
-
-
-def tune(counts: Counts, sample: list[bytes], steps: int = 20, levels: np.ndarray | None = None) -> np.ndarray:
-    """Interpolation weights by expectation-maximisation with each token's own occurrence left out of the counts."""
-    if not sample:
-        return counts.weights
-    word, before, _ = chain(sample)
-    c, u, both = counts.estimates(word, before) if levels is None else counts.counted(before, levels)
-    alone, after, kind = counts.probability(np.maximum(c - 1, 0), u - 1, np.maximum(both - 1, 0))
-    weights = np.full(6, 0.3)
-    for _ in range(steps):
-        own = weights[kind] * after
-        share = own / (own + (1 - weights[kind]) * alone)
-        n = np.bincount(kind, minlength=6)
-        weights = np.where(n > 0, np.bincount(kind, share, 6) / np.maximum(n, 1), weights)
-    return weights.clip(1e-3, 0.95)
-
-
-def exact_base(docs: DataFrame, made: DataFrame, total: int, distinct: int) -> DataFrame:
-    """``(id, same, n_known, base_score)`` by a join of words, for vocabularies too large to broadcast.
-
-    A row for each word of a document is joined with the word's count; equal rows are counted once.
+    size, texts_ = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    power = max(0, int(np.ceil(np.log2(max(1, size / 6 / PER_SEGMENT)))))
+    old = min(power, DEALT)
+    sent = train.select("text").mapInArrow(gather(old), SENT)
+    while old < power:
+        new = min(power, old + DEALT)
+        tasks = max(2, -(-size // (6 * PER_TASK)))
+        spread = F.pmod(F.xxhash64("keys"), F.lit(max(1, -(-tasks // (1 << old)))))  # a segment of very many rows is shared by tasks
+        sent = sent.repartition(tasks, "segment", spread).sortWithinPartitions("segment").mapInArrow(deal(old, new), SENT)
+        old = new
+    made = cut(sent.groupBy("segment").applyInArrow(lambda table: merge(table, bits_a_level), MADE))
+    sums = [F.sum(F.get(c, F.lit(k))) for c in ("after", "single") for k in range(CLASSES)]
+    total, distinct, bytes_, *seen = (x or 0 for x in made.agg(F.sum("total"), F.sum("distinct"), F.sum(F.octet_length("bits")), *sums).first())
+    model = Model(total, distinct, texts_, weights(np.array(seen[:CLASSES]), np.array(seen[CLASSES:])), power)
+    if distinct <= most_words and bytes_ * 8 <= most_bits:
+        words, times, bits = {}, {}, {}
+        for r in made.select("segment", "words", "times", "bits").toLocalIterator():
+            words[r.segment], times[r.segment], bits[r.segment] = bytes(r.words), bytes(r.times), bytes(r.bits)
+        order = sorted(words)
+        bounds = np.zeros((1 << power) + 1, np.uint64)
+        bounds[[k + 1 for k in order]] = [len(bits[k]) * 8 for k in order]
+        model.words, model.times = (np.frombuffer(b"".join(x.pop(k) for k in order), "<u8") for x in (words, times))
+        if model.times.max(initial=0) < 1 << 32:
+            model.times = model.times.astype("<u4")
+        model.bounds, model.bits = np.cumsum(bounds), np.frombuffer(b"".join(bits.pop(k) for k in order), np.uint8)
+    return made, model
+
+
+SCORED = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def scored(b: pa.RecordBatch, model: Model, times_of: Callable, value_of: Callable) -> pa.RecordBatch:
+    n, known, base, own = model.score(texts(b.column(1)), times_of, value_of)
+    return pa.record_batch([b.column(0), b.column(2), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.total)), pa.array(base), pa.array(own)], names=[x.split()[0] for x in SCORED.split(", ")])
+
+
+def routed(picked: DataFrame, made: DataFrame, model: Model) -> DataFrame:
+    """Scores rows by a model too large to be broadcast: the probes go to the segments and the counts come back.
+
+    Rows are cut in slices of bounded text.  A slice asks for each of its words and pairs once; a
+    segment answers what it has; the answers of a slice meet its texts.  All is in proportion to the
+    input, and results are those of the broadcast model.
     """
+    schema = "id long, text string, held_out boolean, slice long"
 
-    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for b in rows(batches):
-            for i, t in enumerate(texts(b.column(1))):
-                h, n = np.unique(mixed(chain([t])[0]), return_counts=True)
-                one = b.slice(i, 1)
-                yield pa.record_batch([pa.array(one.column(0).to_pylist() * len(h), pa.int64()), pa.array(one.column(2).to_pylist() * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n)], names=["id", "same", "h", "n"])
-
-    def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield pa.record_batch([pa.array(np.frombuffer(w, "<i8")), pa.array(np.frombuffer(n, "<i8"))], names=["h", "c"])
+            yield pa.record_batch([*b.columns, pa.array(np.full(b.num_rows, number))], names=["id", "text", "held_out", "slice"])
+            number += 1
 
-    vocabulary = made.select("words", "times").mapInArrow(known, "h long, c long")
-    rows_ = docs.select("id", "text", "same").dropDuplicates(["id", "same"]).mapInArrow(words, "id long, same long, h long, n long")
-    c = F.coalesce("c", F.lit(0))
-    each = F.log10((c + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
-    return rows_.join(vocabulary, "h", "left").groupBy("id", "same").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * each).alias("base_score"))
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows(batches):
+            for slice_ in np.unique(b.column(3).to_numpy()).tolist():
+                word, before, _ = chain(texts(b.column(1).filter(pa.array(b.column(3).to_numpy() == slice_))))
+                found = [np.unique(mixed(word)), np.unique(pairs(before, word))]
+                key = np.concatenate(found)
+                kind = np.repeat([0, 1], [len(x) for x in found])
+                yield pa.record_batch([pa.array(segment_of(key, model.power), pa.int32()), pa.array(np.full(len(key), slice_)), pa.array(kind, pa.int32()), pa.array(key.view(np.int64))], names=["segment", "slice", "kind", "key"])
+
+    names = ["slice", "kind", "key", "n"]
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        out = asked.select(names[:3])
+        key, kind = asked["key"].to_numpy().view(np.uint64), asked["kind"].to_numpy()
+        n = np.zeros(len(key), np.int64)
+        if own.num_rows:
+            one, two = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+            n[one] = counts_of(key[one], *(np.frombuffer(own[c][0].as_py(), "<u8") for c in ("words", "times")))
+            bits = np.frombuffer(own["bits"][0].as_py(), np.uint8)
+            n[two] = VALUE[levels(key[two], np.zeros(len(two), np.uint64), np.full(len(two), len(bits) * 8, np.uint64), bits)]
+        return out.append_column("n", pa.array(n)).filter(pa.array(n > 0))
+
+    def meet(texts_: pa.Table, got: pa.Table) -> pa.Table:
+        kind, key, n = (got[c].to_numpy() for c in names[1:])
+
+        def of(k: int) -> Callable:
+            order = np.flatnonzero(kind == k)
+            order = order[np.argsort(key[order].view(np.uint64))]
+            known, times = key[order].view(np.uint64), n[order]
+            new = np.concatenate(([True], known[1:] != known[:-1])) if len(known) else np.empty(0, bool)
+            return lambda keys: counts_of(keys, known[new], times[new])
+
+        if not texts_.num_rows:
+            return pa.table(scored(pa.record_batch([pa.array([], f.type) for f in texts_.schema], schema=texts_.schema), model, of(0), of(1)))
+        return pa.Table.from_batches([scored(b, model, of(0), of(1)) for b in texts_.combine_chunks().to_batches()])
+
+    parts = cut(picked.mapInArrow(sliced, schema))
+    asked = parts.mapInArrow(ask, "segment int, slice long, kind int, key long")
+    answers = asked.groupBy("segment").cogroup(made.select("segment", "words", "times", "bits").groupBy("segment")).applyInArrow(answer, "slice long, kind int, key long, n long")
+    return parts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(meet, SCORED)
 
 
 def score(docs: DataFrame, folds: int = 10, held: int = 0, most_bits: int = MOST_BITS, most_words: int = MOST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every row of ``docs`` by a model of the rows whose crc32 fold is not ``held``.
 
-    The model interpolates pairs of words with words.  Both counts, over all training rows, are levels of
-    a geometric scale in one Bloom filter: a count is read by probing level after level until one is
-    missing.  Rows: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score`` (exact, with
-    add-0.1 smoothing of single tokens), ``score`` (log10 probability by the model).  A null text is
-    empty: it has its end token only.  Repeated rows all come back; null ids are in fold 0; an empty table
-    gives no rows; if nothing is left to learn from, every token is unknown; other columns are not
-    looked at.  The filter grows with the corpus and errs alike at
-    every size; beyond ``most_bits`` bits it is read in passes over shards, with the same result.  More than ``most_words`` words are not broadcast
-    but joined, with the same result.
+    The model interpolates pairs of words with words.  Counts are those of all training rows: of words exact, of
+    pairs as levels of a geometric scale in one Bloom filter, read by probing level after level until one
+    is missing.  The weights follow from how often pairs come once.
+    Rows: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score`` (exact, with
+    add-0.1 smoothing of single tokens), ``score`` (log10 probability by the model, never above 0).  A
+    null text is empty: it has its end token only.  Repeated rows all come back; null ids are in fold 0; an
+    empty table gives no rows; if nothing is left to learn from, every token is unknown; other columns are not
+    looked at.  The filter has ``BITS`` bits a level at every size; a model of more than ``most_bits`` bits or
+    ``most_words`` words is not broadcast, but the probes are sent to it, with the same result.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (fold(F.col(id_col), folds) == held).alias("held_out"))
-    train = picked.where(~F.col("held_out"))
-    made, counts = count(train, most_bits, most_words)
-    rate = TUNING_ROWS / max(1, counts.texts)
-    sample = train.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_003)) < rate * 1_000_003).select("text").toArrow()
-    many = sorted(texts(sample["text"]))
-    exact = counts.words is not None
-    marked = picked.withColumn("same", F.lit(0).cast("long") if exact else F.xxhash64("text")).select("id", "text", "held_out", "same")
-    ready, own = gathered(marked, made, counts, many) if counts.shards else (marked, None)
-    counts.weights = tune(counts, many, levels=own)
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
-    total = counts.total
+    made, model = count(picked.where(~F.col("held_out")), most_bits, most_words)
+    if model.words is None:
+        found = routed(picked, made, model)
+    else:
+        sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows(batches):
-            levels = np.concatenate([np.frombuffer(x, np.uint8).reshape(3, -1) for x in b.column(4).to_pylist()], axis=1) if b.num_columns > 4 else None
-            n, known, base, model = sent.value.score(texts(b.column(1)), levels)
-            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(model)], names=["id", "held_out", "same", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    found = ready.mapInArrow(run, "id long, held_out boolean, same long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    if not exact:
-        base = exact_base(marked, made, counts.total, counts.distinct).withColumnsRenamed({"id": "i", "same": "s"})
-        found = found.drop("n_known", "base_score").join(base, F.col("id").eqNullSafe(F.col("i")) & (F.col("same") == F.col("s")))
-    return found.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in rows(batches):
+                yield scored(b, sent.value, sent.value.times_of, sent.value.value_of)
+
+        found = picked.mapInArrow(run, SCORED)
+    return found.withColumnRenamed("id", id_col)
