@@ -13,7 +13,7 @@ from .common import cut
 WIDTH, SHARE = 5, 0.8
 #: Rows of the items' sketches, and characters of their shingles, that are broadcast at most; beyond, they are joined by a shuffle.
 MOST_ROWS, MOST_CHARS = 500_000, 64_000_000
-#: Contaminated rows that are broadcast at most to take them away.
+#: Candidates that are broadcast at most to verify them, and contaminated rows to take them away.
 MOST_LEAKS = 500_000
 
 
@@ -43,52 +43,63 @@ def shingles(text: Column, width: int) -> Column:
 
 
 def sketches(items: DataFrame, share: float, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``(item, grams, n)`` of the items, and the rows ``(item, size_class, h)`` of their bottom-k MinHash sketches.
+    """``(item, grams, n)`` of the items, and the rows ``(size_class, h, item, need)`` of their bottom-k MinHash sketches.
 
     An item of ``n`` distinct shingles is contained if a document has ``need = ceil(share * n)`` of
     them, so at most ``n - need`` are missing, and of its ``n - need + 1`` shingles of the smallest hashes
-    at least one is there.  These are its sketch: its size follows from the item's size class, and no
-    contained item can be missed, however long the document is.
+    at least one is there.  These are its sketch: no contained item can be missed, however long the
+    document is.  Its size class is the power of two below ``n``.
     """
     text = F.col(text_col)
     base = items.select(F.col(id_col).cast("long").alias("item"), shingles(text, width).alias("grams"), F.array_sort(hashes(text, width)).alias("h"))
     n = F.size("grams")
     need = F.ceil(n * share - 1e-9).cast("int")
-    kept = cut(base.where(n > 0).select("item", "grams", n.alias("n"), F.slice("h", F.lit(1), n - need + 1).alias("h"), F.floor(F.log2(n)).cast("int").alias("size_class")))
-    return kept.select("item", "grams", "n"), kept.select("item", "size_class", F.explode("h").alias("h"))
+    kept = cut(base.where(n > 0).select("item", "grams", n.alias("n"), need.alias("need"), F.slice("h", F.lit(1), n - need + 1).alias("h"), F.floor(F.log2(n)).cast("int").alias("size_class")))
+    return kept.select("item", "grams", "n"), kept.select("size_class", F.explode("h").alias("h"), "item", "need")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, width: int = WIDTH, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> DataFrame:
+def candidates(base: DataFrame, sketch: DataFrame, width: int, most_rows: int) -> DataFrame:
+    """``(doc, same, item)``, once each: documents that have a shingle of an item's sketch.
+
+    Every size class is searched by itself.  A document's sketch for a class are its shingles whose hash is not
+    above the largest one in the class's sketches, and it has none for a class whose items need more shingles than
+    it has.  Documents and items meet by class and hash; texts are not carried along.
+    """
+    classes = sketch.groupBy("size_class").agg(F.max("h").alias("top"), F.min("need").alias("need"), F.count(F.lit(1)).alias("n")).orderBy("size_class").collect()  # 31 rows at most
+    each = [F.struct(F.lit(c.size_class).alias("size_class"), F.lit(c.top).cast("long").alias("top"), F.lit(c.need).alias("need")) for c in classes]
+    if not each:
+        return base.select("doc", "same", F.lit(0).cast("long").alias("item")).limit(0)
+
+    def low(h: Column) -> Column:
+        return F.flatten(F.transform(F.filter(F.array(*each), lambda c: c["need"] <= F.size(h)), lambda c: F.transform(F.filter(h, lambda x: x <= c["top"]), lambda x: F.struct(c["size_class"].alias("size_class"), x.alias("h")))))
+
+    keys = base.select("doc", "same", F.explode(let(hashes(F.col("text"), width), low)).alias("key")).select("doc", "same", "key.size_class", "key.h")
+    small = sum(c.n for c in classes) <= most_rows
+    own = sketch.select("size_class", "h", "item")
+    return keys.join(F.broadcast(own) if small else own, ["size_class", "h"]).select("doc", "same", "item").distinct()
+
+
+def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, width: int = WIDTH, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", most_rows: int = MOST_ROWS, most_leaks: int = MOST_LEAKS) -> DataFrame:
     """``(id_col, same, item_col, shared, shingles)``: the documents that contain an item, row by row (``same``: hash of the text).
 
-    A document's sketch for a size class is those of its shingles whose hash is not above the largest
-    in the class's sketches; as these are nested, one pass with the largest bound of all serves all
-    classes.  They are looked up in the broadcast sketches while the text passes, and a document that
-    hits is verified at once, by searching its words for each shingle of the item.
-    Nothing is shuffled but the matches.  Sketches too large to broadcast are joined by a shuffle of hashes.
+    Sketches give the candidates; each of them is verified once, by the intersection of the document's
+    shingles with the item's, in time linear in both.  Sketches, candidates and items are broadcast while
+    they are few, so that texts are not shuffled, and joined by a shuffle beyond.
     """
     item, sketch = sketches(items, share, width, item_col, text_col)
-    size = sketch.agg(F.count(F.lit(1)), F.max("h")).first()
-    chars = item.agg(F.sum(F.length(F.array_join("grams", " ")))).first()[0] or 0
-    few = size[0] <= most_rows and chars <= MOST_CHARS
-    text = F.col("text")
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("same"), F.col(text_col).cast("string").alias("text"))
-    top = F.lit(size[1] if size[1] is not None else 0).cast("long")
-    low = F.explode(F.filter(hashes(text, width), lambda h: h <= top)).alias("h")
-    if few:
-        hit = base.select("doc", "same", "text", low).join(F.broadcast(sketch.select("item", "h")), "h").join(F.broadcast(item), "item")
-    else:
-        pairs = base.select("doc", "same", low).join(sketch.select("item", "h"), "h").select("doc", "same", "item").distinct()
-        again = base.withColumnsRenamed({"doc": "d", "same": "s"})
-        hit = pairs.join(again, F.col("doc").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s"))).drop("d", "s").join(item, "item")
-    whole = F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
-    shared = let(whole, lambda x: F.size(F.filter("grams", lambda g: F.contains(x, F.concat(F.lit(" "), g, F.lit(" "))))))
+    pairs = cut(candidates(base, sketch, width, most_rows)).withColumnsRenamed({"doc": "d", "same": "s"})
+    chars = item.agg(F.sum(F.length(F.array_join("grams", " ")))).first()[0] or 0
+    few = pairs.count() <= most_leaks
+    met = base.join(F.broadcast(pairs) if few else pairs, F.col("doc").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s"))).drop("d", "s")
+    hit = met.join(F.broadcast(item) if chars <= MOST_CHARS else item, "item")
+    shared = F.size(F.array_intersect(shingles(F.col("text"), width), F.col("grams")))
     found = hit.select("doc", "same", "item", "n", shared.cast("long").alias("shared"))
     kept = found.where(F.col("shared") >= F.ceil(F.col("n") * share - 1e-9))
     return kept.groupBy(F.col("doc").alias(id_col), "same", F.col("item").alias(item_col)).agg(F.max("shared").alias("shared"), F.max("n").cast("long").alias("shingles"))
 
 
-def report(docs: DataFrame, items: DataFrame, share: float = SHARE, width: int = WIDTH, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, share: float = SHARE, width: int = WIDTH, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", most_rows: int = MOST_ROWS, most_leaks: int = MOST_LEAKS) -> DataFrame:
     """One row per document and item that it contains: ``shared`` of the item's ``shingles``, and the ``containment``.
 
     Shingles are ``width`` words (lower-cased runs of letters and digits); those of an item count once
@@ -97,13 +108,18 @@ def report(docs: DataFrame, items: DataFrame, share: float = SHARE, width: int =
     null ids are an id of their own; repeated items all match, under their ids; empty tables give no
     rows; other columns are not looked at.
     """
-    found = contaminated(docs, items, share, width, id_col, item_col, text_col, most_rows)
+    found = contaminated(docs, items, share, width, id_col, item_col, text_col, most_rows, most_leaks)
     best = found.groupBy(id_col, item_col).agg(F.max(F.struct("shared", "shingles")).alias("best"))
     return best.select(id_col, item_col, "best.shared", "best.shingles", (F.col("best.shared") / F.col("best.shingles")).alias("containment"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, share: float = SHARE, width: int = WIDTH, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no item, unchanged."""
+    """The rows of ``docs`` that contain no item, unchanged.
+
+    A row goes if its own text contains an item: other rows of its id stay, repeated rows go or stay
+    together.  Null and empty texts stay, as do all rows where there are no items; a null id is an id like any
+    other; an empty table gives no rows.
+    """
     found = contaminated(docs, items, share, width, id_col, item_col, text_col)
     leaks = cut(found.select(F.col(id_col).alias("leak"), "same").distinct())
     side = F.broadcast(leaks) if leaks.count() <= MOST_LEAKS else leaks

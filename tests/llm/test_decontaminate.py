@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -53,7 +55,39 @@ def test_cases_against_brute_force(tables):
 
 def test_shuffled_sketches_give_the_same(tables):
     docs, items, d, i = tables
-    assert found(decontaminate.report(d, i, most_rows=0)) == brute(docs, items)
+    assert found(decontaminate.report(d, i, most_rows=0, most_leaks=0)) == brute(docs, items)
+
+
+def test_items_of_all_sizes_and_documents_short_and_long(spark):
+    rng = random.Random(5)
+    pool = [f"w{k}" for k in range(4000)]
+    items = [(k, " ".join(rng.choices(pool, k=n))) for k, n in enumerate([1, 2, 4, 5, 6, 9, 14, 30, 70, 200, 900] * 3)]
+    docs = []
+    for k in range(300):
+        own = rng.choice(items)[1].split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            own[rng.randrange(len(own))] = "zz"
+        docs.append((k, " ".join(rng.choices(pool, k=rng.choice([0, 3, 500])) + own + rng.choices(pool, k=rng.choice([0, 3, 500])))))
+    got = found(decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == brute(docs, items) and len({n for _, n in got.values()}) > 5
+
+
+def test_a_candidate_is_met_by_class_and_hash_and_found_once(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, 7, text), (2, 8, "w1 w2 w3 w4 w5")], "doc long, same long, text string")
+    items = spark.createDataFrame([(1, text), (2, "w1 w2 w3 w4 w5"), (3, "else")], "item_id long, text string")
+    _, sketch = decontaminate.sketches(items, 0.8, 5, "item_id", "text")
+    assert {r.size_class for r in sketch.collect()} == {0, 5}
+    got = decontaminate.candidates(docs, sketch, 5, 1000).collect()
+    assert sorted((r.doc, r.item) for r in got) == [(1, 1), (1, 2), (2, 2)]  # the short one is too short for class 5
+
+
+def test_long_items_take_time_in_proportion(spark):
+    text = " ".join(f"w{k}" for k in range(20_000))
+    df = spark.createDataFrame([(1, 1, text)], "doc_id long, item_id long, text string")
+    start = time.monotonic()
+    assert found(decontaminate.report(df, df)) == {(1, 1): (19_996, 19_996)}
+    assert time.monotonic() - start < 30
 
 
 def test_whole_table_against_brute_force(spark, sf_dir):
