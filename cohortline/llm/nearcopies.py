@@ -1,4 +1,9 @@
-"""Near copies by five-word Jaccard: MinHash bands find candidates, exact sets of shingles decide."""
+"""SimHash near-dedup at a five-word Jaccard of 0.8: fingerprints that meet in blocks, Hamming check, exact check.
+
+Pairs at 0.8 differ in 10 of 64 bits on average and in up to 20: fingerprints split in so many blocks have none in
+common that is worth a join.  Here MinHash bands take the place of the pigeonhole blocks; what shares one is
+compared by its fingerprint as in ``simhash``, and what is close by the whole sets of shingles.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, rows, texts
 from .lm import hashes, mixed
-from .simhash import MOST_IDS
+from .simhash import CHUNK, MOST_IDS, close_pairs, majority
 
 WIDTH = 5
 #: A pair of similarity 0.8 shares none of the bands with probability (1 - 0.8^6)^40 = 5e-6, one of 0.3 shares some with 0.03.
 BANDS, ROWS = 40, 6
+#: Differing bits of fingerprints that are compared exactly: a pair of 0.8 has more with a probability below 1e-4, chance pairs with 0.95.
+DISTANCE = 25
 #: Shingles whose minima are taken at once.
-CHUNK = 512
+AT_ONCE = 512
 #: Texts and shingles of candidates that one task compares with each other at most, unless two parts are longer.
 CROWD, MOST_SHINGLES = 1024, 4_000_000
 _TIMES = np.uint64(0xD6E8FEB86659FD93)
@@ -44,8 +51,8 @@ def shingles(text: bytes) -> np.ndarray:
 def band_keys(one: np.ndarray) -> np.ndarray:
     """A key for each band: the hash of the minima of its permutations."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(one), CHUNK):
-        np.minimum(low, (_FACTORS[:, None] * one[None, k : k + CHUNK]).min(axis=1), out=low)
+    for k in range(0, len(one), AT_ONCE):
+        np.minimum(low, (_FACTORS[:, None] * one[None, k : k + AT_ONCE]).min(axis=1), out=low)
     key = np.arange(BANDS, dtype=np.uint64)
     for x in low.reshape(BANDS, ROWS).T:
         key = mixed(key * _TIMES + x)
@@ -83,35 +90,19 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, hash of the text ``h``, hash of the set of shingles ``node``, its size ``n`` and its band keys, for every row."""
+    """``id``, hash of the text ``h``, hash of the set of shingles ``node``, its size ``n``, fingerprint ``fp`` and band keys, for every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
             sets = [shingles(t) for t in texts(b.column(1))]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            fp = np.array([majority(s[k : k + CHUNK] for k in range(0, len(s), CHUNK)) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), keys], names=["id", "h", "node", "n", "keys"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), keys], names=["id", "h", "node", "n", "fp", "keys"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     picked = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    return picked.mapInArrow(run, "id long, h long, node long, n long, keys array<long>")
-
-
-def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows ``(key, node)`` sorted by both: an edge from each key's first node to each of its others."""
-    held_key = held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        first = node[at]
-        if held_key is not None and key[0] == held_key:
-            first = np.where(at == 0, held, first)
-        held_key, held = int(key[-1]), int(first[-1])
-        other = first != node
-        yield pa.record_batch([pa.array(first[other]), pa.array(node[other])], names=["a", "b"])
+    return picked.mapInArrow(run, "id long, h long, node long, n long, fp long, keys array<long>")
 
 
 def exact_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +135,17 @@ def side(df: DataFrame) -> DataFrame:
 def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, crowd: int = CROWD, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """Edges ``(a, b)`` between sets of a Jaccard of 0.8 or more whose components are those of all such candidate pairs.
 
-    Components of the graph of shared bands hold all candidates; each gets the sets of its texts once and a
-    task finds its exact links.  A crowded one is split by hash in parts, each two of which meet in a task.
+    Fingerprints that share a band and are close are loosely linked.  A component of that graph gets the sets
+    of its texts once and a task finds its exact links.  A crowded one is split by hash in parts, each two of
+    which meet in a task.
     """
-    keyed = marked.select("node", F.explode("keys").alias("key")).distinct().select("key", "node")
-    loose = cut(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, "a long, b long").distinct())
+    keyed = marked.select("fp", F.explode("keys").alias("key")).distinct().select("key", "fp")
+    shared = marked.where("n > 0").groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    loose = cut(close_pairs(keyed, DISTANCE).union(shared.select("fp", "fp")).distinct())
     found = components(loose)
-    first = marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("low"), F.max("n").alias("n"))
-    member = cut(first.join(side(found), "node").select("node", "component", F.col("low.id").alias("i"), F.col("low.h").alias("k"), "n"))
+    first = marked.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("low"), F.max("n").alias("n"), F.min("fp").alias("fp"))
+    crowd_of = loose.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    member = cut(first.join(side(crowd_of), "fp").select("node", "component", F.col("low.id").alias("i"), F.col("low.h").alias("k"), "n"))
     parts = F.ceil(F.greatest(F.count(F.lit(1)) * 2 / crowd, F.sum("n") * 2 / most_shingles))
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), parts.cast("int").alias("twice"))
     sizes = sizes.withColumn("parts", F.when((F.col("c") <= crowd) & (F.col("s") <= most_shingles), 1).otherwise(F.col("twice"))).select("component", "parts")

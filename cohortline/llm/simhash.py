@@ -40,12 +40,17 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(words) - width + 1]
     ends = ends[width - 1 :]
-    set_bits = np.zeros(BITS, np.int64)
-    for k in range(0, len(starts), CHUNK):
-        pairs = zip(starts[k : k + CHUNK].tolist(), ends[k : k + CHUNK].tolist(), strict=True)
-        h = np.array([digest(line[a:b], seed) for a, b in pairs], "<u8")
+    pairs = (zip(starts[k : k + CHUNK].tolist(), ends[k : k + CHUNK].tolist(), strict=True) for k in range(0, len(starts), CHUNK))
+    return majority(np.array([digest(line[a:b], seed) for a, b in part], "<u8") for part in pairs)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The number whose bits are set in more than half of the hashes."""
+    n, set_bits = 0, np.zeros(BITS, np.int64)
+    for h in parts:
+        n += len(h)
         set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,12 +146,18 @@ def _edges(out: list[tuple], wrap) -> pa.RecordBatch:
 def links(fps: DataFrame, distance: int = 4, bucket: int = BUCKET) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints whose components are those of all close pairs.
 
-    ``fps`` has one long column ``fp`` of distinct values.  Rows are dealt by block key, and each key's
-    rows become a spanning forest, never all pairs.  A key with more than ``bucket`` values is split by
-    hash in parts of half that size, and each two parts are compared in a task of their own, so that
-    memory stays bounded and no pair is missed.
+    ``fps`` has one long column ``fp`` of distinct values.
+    """
+    return close_pairs(fps.select(F.explode(block_keys(F.col("fp"), distance)).alias("key"), "fp"), distance, bucket)
+
+
+def close_pairs(keyed: DataFrame, distance: int, bucket: int = BUCKET) -> DataFrame:
+    """Edges ``(a, b)`` whose components are those of all pairs within ``distance`` bits among the rows ``(key, fp)`` of a key.
+
+    Rows are dealt by key, and each key's rows become a spanning forest, never all pairs.  A key with
+    more than ``bucket`` values is split by hash in parts of half that size, and each two parts are
+    compared in a task of their own, so that memory stays bounded and no pair is missed.
     """
-    keyed = fps.select(F.explode(block_keys(F.col("fp"), distance)).alias("key"), "fp")
 
     def run(limit: int | None):
         return lambda batches: bucket_edges(batches, distance, limit)
