@@ -12,6 +12,14 @@ MOJIBAKE = {
     "MontrÃ©al": "Montréal", "QuÃ©bec": "Québec", "LÃ©vis": "Lévis", "GaspÃ©": "Gaspé", "ChaudiÃ¨re": "Chaudière", "MontÃ©rÃ©gie": "Montérégie",
     "TÃ©miscamingue": "Témiscamingue", "Ã®les": "Îles", "RÃ‰GULIER": "RÉGULIER", "Ã‰": "É", "Ã¨": "è", "Ã©": "é", "Ã ": "à", "Ã´": "ô",
 }
+PLACE_MOJIBAKE = {
+    "MontrÃ©al": "Montréal", "QuÃ©bec": "Québec", "LÃ©vis": "Lévis", "Saint-JÃ©rÃ´me": "Saint-Jérôme", "TrÃ¨s-Saint-RÃ©dempteur": "Très-Saint-Rédempteur", "RiviÃ¨re": "Rivière",
+    "Ã®les": "Îles", "Ã‰": "É", "Ã¨": "è", "Ã©": "é", "Ã ": "à", "Ã´": "ô", "Ã¢": "â", "Ã®": "î",
+}
+SCRIPT_MOJIBAKE = {
+    "È": "é", "Ë": "è", "AnnÈe": "Année", "vÈhicule": "véhicule", "ModËle": "Modèle", "MunicipalitÈ": "Municipalité", "RÈgion": "Région",
+    "Ã©": "é", "Ã¨": "è", "Ã": "à", "Ã´": "ô", "Ã®": "î", "Ã»": "û", "Ã§": "ç", "Ã«": "ë",
+}
 ACCENTED, PLAIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 #: Spaces around the code of a region go to one before it.
 _SPACING = r"\s*\(\s*([^)]*?)\s*\)\s*$"
@@ -21,11 +29,16 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def repair_mojibake(c: Column) -> Column:
-    """Undoes double encoding; the longest spelling goes first, so that the result does not depend on an order of equals."""
-    pairs = sorted(MOJIBAKE.items(), key=lambda x: (-len(x[0]), x[0]))
+def repair_mojibake(c: Column, spellings: dict[str, str] = MOJIBAKE) -> Column:
+    """Undoes double encoding; the longest spelling goes first, so that the result does not depend on an order of equals.
+
+    Vehicle files, places (``PLACE_MOJIBAKE``) and files of the later layout (``SCRIPT_MOJIBAKE``) have each their own spellings.
+    """
+    pairs = sorted(spellings.items(), key=lambda x: (-len(x[0]), x[0]))
     fixed = reduce(lambda out, p: F.replace(out, F.lit(p[0]), F.lit(p[1])), pairs, c)
-    return F.when(c.rlike("[ÃÂ]"), fixed).otherwise(c)
+    signs = sorted({next(x for x in "ÃÈË" if x in key) for key in spellings}, reverse=True)
+    damaged = reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in signs])
+    return F.when(damaged, fixed).otherwise(c)
 
 
 def name_of(c: Column) -> Column:

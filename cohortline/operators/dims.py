@@ -80,6 +80,25 @@ def model_badges(facts: DataFrame, mapping: DataFrame, config: Years) -> DataFra
     return counts.where("make is not null and model is not null").join(to, ["make", "model"], "left").select("make", "model", badge.otherwise(base).alias("display_name"))
 
 
+def curated_makes(facts: DataFrame, mapping: DataFrame, config: Years) -> DataFrame:
+    """The makes of ``make_badges`` that curated years have."""
+    known, _ = split_years(facts, config)
+    return make_badges(facts, mapping, config).join(known.select("make").distinct(), "make", "left_semi")
+
+
+def curated_models(facts: DataFrame, mapping: DataFrame, config: Years) -> DataFrame:
+    """The models of ``model_badges`` that curated years have, but for those that are mapped to another pair."""
+    known, _ = split_years(facts, config)
+    shown = model_badges(facts, mapping, config).where(~F.contains("display_name", F.lit(" → ")))
+    return shown.join(known.select("make", "model").distinct(), ["make", "model"], "left_semi")
+
+
+def in_order(facts: DataFrame, *columns: str) -> DataFrame:
+    """``(place, value)``: the distinct values of some columns together, in order of display; a list of codes, not of facts."""
+    found = facts.select(F.explode(F.array(*columns)).alias("value")).where("value is not null").distinct()
+    return found.select(F.row_number().over(Window.orderBy("value")).alias("place"), "value")
+
+
 def models_of(facts: DataFrame, makes: tuple[str, ...]) -> DataFrame:
     """Models of some makes."""
     return facts.where(F.col("make").isin(*makes)).select("make", "model").distinct()

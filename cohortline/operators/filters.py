@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import LICENCE_CLASSES, Years
+from .mapping import expand_filters, expand_makes
 
 #: Columns that a field of the specification is compared with.
 COLUMNS = {
@@ -19,6 +20,8 @@ COLUMNS = {
 }
 VEHICLE_ONLY = ("municipalities", "classes", "types", "makes", "models", "colors", "model_years", "fuels", "axles", "age_ranges")
 LICENCE_ONLY = ("licence_types", "age_groups", "genders", "experience", "licence_classes")
+#: Pairs of make and model that are compared in place; a longer list is joined.
+FEW_MODELS = 200
 EXPERIENCE_COLUMNS = ("exp_1234", "exp_5", "exp_6abce", "exp_global")
 
 
@@ -28,7 +31,8 @@ class FilterSpec:
 
     ``models`` are pairs (make, model), as model names repeat across makes.  ``age_ranges`` are pairs (from,
     to or None).  With ``regularize`` the vehicle type and fuel filters also take uncurated rows whose
-    mapping has a wanted value.
+    mapping has a wanted value, and makes and models, unless ``curated_only``, what the mapping puts beside
+    them; with ``coupling`` that of models adds makes and models, without it only what is filtered.
     """
 
     years: tuple[int, ...] | None = None
@@ -51,6 +55,7 @@ class FilterSpec:
     experience: tuple[str, ...] | None = None
     licence_classes: tuple[str, ...] | None = None
     regularize: bool = False
+    coupling: bool = True
     fuel_before: bool = True
     lenient: bool = False
 
@@ -69,6 +74,11 @@ class FilterSpec:
             return self.years
         return config.curated if self.years is None else tuple(y for y in self.years if y in config.curated)
 
+    @property
+    def expands(self) -> bool:
+        """Whether makes and models take what the mapping puts beside them."""
+        return self.regularize and not self.curated_only
+
     def columns(self) -> set[str]:
         """The columns that the filters read."""
         used = {c for f, c in COLUMNS.items() if getattr(self, f) is not None} | {"year"}
@@ -95,12 +105,14 @@ def predicates(spec: FilterSpec, config: Years) -> list[Column]:
     out = []
     for name, column in COLUMNS.items():
         wanted = spec.wanted_years(config) if name == "years" else getattr(spec, name)
-        if wanted is None or spec.lenient and not wanted or spec.regularize and name in ("types", "fuels"):
+        if wanted is None or spec.lenient and not wanted or spec.regularize and name in ("types", "fuels") or spec.expands and name == "makes":
             continue
         out.append(F.col(column).isin(*wanted) if wanted else F.lit(False))
     use = lambda x: x is not None and (x or not spec.lenient)
-    if use(spec.models):
-        out.append(F.struct("make", "model").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in spec.models]) if spec.models else F.lit(False))
+    if use(spec.models) and not spec.models:
+        out.append(F.lit(False))
+    elif use(spec.models) and len(spec.models) <= FEW_MODELS and not spec.expands:
+        out.append(F.struct("make", "model").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in spec.models]))
     if use(spec.age_ranges):
         out.append(in_age_range(spec.age_ranges))
     if use(spec.experience):
@@ -128,12 +140,32 @@ def with_mapping(facts: DataFrame, mapping: DataFrame, spec: FilterSpec, config:
     return facts
 
 
+def chosen(facts: DataFrame, spec: FilterSpec, mapping: DataFrame | None) -> DataFrame:
+    """The make and model filters that are joins: expanded ones and long lists.
+
+    Each is an existence join on a list of distinct keys, which the planner sends to all executors while it
+    is small.
+    """
+    spark = facts.sparkSession
+    listed = lambda rows, schema: spark.createDataFrame([x if isinstance(x, tuple) else (x,) for x in rows], schema)
+    if not spec.expands:
+        if spec.models and len(spec.models) > FEW_MODELS:
+            facts = facts.join(listed(spec.models, "make string, model string").distinct(), ["make", "model"], "left_semi")
+        return facts
+    makes = None if spec.makes is None or spec.lenient and not spec.makes else expand_makes(mapping, listed(spec.makes, "make string"))
+    models = listed(spec.models, "make string, model string") if spec.models else None
+    if models is not None:
+        makes, models = expand_filters(mapping, makes, models, spec.coupling)
+    if makes is not None:
+        facts = facts.join(makes, "make", "left_semi")
+    return facts if models is None else facts.join(models, ["make", "model"], "left_semi")
+
+
 def apply(facts: DataFrame, spec: FilterSpec, config: Years, mapping: DataFrame | None = None) -> DataFrame:
     """The rows of ``facts`` that the specification takes."""
+    if spec.regularize and mapping is None:
+        raise ValueError("a regularized filter needs the mapping")
     for condition in predicates(spec, config):
         facts = facts.where(condition)
-    if spec.regularize:
-        if mapping is None:
-            raise ValueError("a regularized filter needs the mapping")
-        facts = with_mapping(facts, mapping, spec, config)
-    return facts
+    facts = chosen(facts, spec, mapping)
+    return with_mapping(facts, mapping, spec, config) if spec.regularize else facts

@@ -110,6 +110,32 @@ def expand_pairs(mapping: DataFrame, pairs: DataFrame) -> DataFrame:
     return first.union(m.join(first, there, "left_semi").select("uncurated_make", "uncurated_model")).distinct()
 
 
+def expand_filters(mapping: DataFrame, makes: DataFrame | None, models: DataFrame, coupling: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    """What a filter on models ``(make, model)``, and on makes if there is one, takes with the mapping.
+
+    The first hop goes from mapped pairs that pass both filters to what they are mapped to, the second from
+    there to all that is mapped to it; each adds to the filters that there are.  With ``coupling`` the
+    second also adds makes where only models were filtered: a filter on makes that the caller did not set.
+    """
+    m = mapping.select("uncurated_make", "uncurated_model", "canonical_make", "canonical_model").distinct()
+
+    def passing(kind: str, by_make: DataFrame | None, by_model: DataFrame) -> DataFrame:
+        out = m.join(by_model.withColumnsRenamed({"make": f"{kind}_make", "model": f"{kind}_model"}), [f"{kind}_make", f"{kind}_model"], "left_semi")
+        return out if by_make is None else out.join(by_make.withColumnRenamed("make", f"{kind}_make"), f"{kind}_make", "left_semi")
+
+    first = passing("uncurated", makes, models)
+    models = models.union(first.select("canonical_make", "canonical_model")).distinct()
+    wide = None if makes is None else makes.union(first.select("canonical_make")).distinct()
+    second = passing("canonical", wide, models)
+    models = models.union(second.select("uncurated_make", "uncurated_model")).distinct()
+    if makes is None and not coupling:
+        return None, models
+    more = second.select(F.col("uncurated_make").alias("make"))
+    if makes is None:
+        return (None if more.isEmpty() else more.distinct()), models
+    return wide.union(more).distinct(), models
+
+
 def auto_wildcards(facts: DataFrame, mapping: DataFrame, config: Years, preferred: tuple[str, ...]) -> DataFrame:
     """Rows ``(make, model, vehicle_type)`` for unmapped pairs that curated years have: their only type, or the first preferred one that they have."""
     kinds = facts.where("make is not null and model is not null").groupBy(*PAIR).agg(F.count_if(_when(config.uncurated)).alias("n"), F.count_if(_when(config.curated)).alias("curated"), F.collect_set(_when(config.curated, F.col("vehicle_type"))).alias("types"))
@@ -155,11 +181,16 @@ def uncurated_only_makes(facts: DataFrame, config: Years) -> DataFrame:
 def save(mapping: DataFrame, new: DataFrame) -> DataFrame:
     """The mapping with rows added: a row replaces that of the same make, model and model year, null counting as a value.
 
-    Rows of a make that is mapped to another make already are refused.
+    Rows of a make that is mapped to another make already, by the mapping or among themselves, are refused; of
+    equal keys among the new rows one is kept, the largest by its values.
     """
-    clash = mapping.select("uncurated_make", F.col("canonical_make").alias("other")).distinct().join(new, "uncurated_make").where("other <> canonical_make")
-    if not clash.isEmpty():
+    both = mapping.select("uncurated_make", "canonical_make").union(new.select("uncurated_make", "canonical_make")).distinct()
+    asked = new.select("uncurated_make").distinct()
+    if not both.join(asked, "uncurated_make", "left_semi").groupBy("uncurated_make").count().where("count > 1").isEmpty():
         raise ValueError("the make is mapped to another make already")
+    key = ["uncurated_make", "uncurated_model", "model_year"]
+    rest = [c for c in new.columns if c not in key]
+    new = new.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_v")).select(*key, "_v.*").select(*new.columns)
     m, n = mapping.alias("m"), new.alias("n")
     same: Column = F.col("m.uncurated_make").eqNullSafe(F.col("n.uncurated_make")) & F.col("m.uncurated_model").eqNullSafe(F.col("n.uncurated_model")) & F.col("m.model_year").eqNullSafe(F.col("n.model_year"))
     return m.join(n, same, "left_anti").unionByName(new)

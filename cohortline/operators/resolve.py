@@ -13,17 +13,43 @@ PASSENGER, MOTORCYCLE, SPECIAL = ("PAU", "CAU", "VUS"), ("MOTO", "CYC", "CYCL",
 BODY_TYPES = (("SEDAN", "SEDAN"), ("VAN", "MINIVAN"), ("SUV", "SUV"), ("HATCH", "HATCHBACK"), ("WAGON", "WAGON"), ("COUPE", "COUPE"), ("PICKUP", "PICKUP"), ("TRUCK", "PICKUP"), ("CONVERTIBLE", "CONVERTIBLE"))
 
 
-def candidates(unknown: DataFrame, known: DataFrame, block: tuple[str, str] | None, score: Column, least: float) -> DataFrame:
+def candidates(unknown: DataFrame, known: DataFrame, block: tuple[str, str], score: Column, least: float) -> DataFrame:
     """Pairs of unknown ``(make, model)`` and known ``(canonical_make, canonical_model)`` with at least ``least`` as ``score``.
 
-    With a block, names of an unknown and a known column that are equal for a pair, this is an equality
-    join.  Without one every distinct code is compared with every known one: a product of two
-    dictionaries, not of facts.
+    The block names an unknown and a known column that are equal for a pair: an equality join.
     """
-    joined = unknown.join(known, unknown[block[0]] == known[block[1]]) if block else unknown.crossJoin(known)
+    joined = unknown.join(known, unknown[block[0]] == known[block[1]])
     return joined.withColumn("score", score).where(F.col("score") >= least)
 
 
+def close_strings(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``: all pairs of two lists of strings (columns ``a`` and ``b``) of an edit similarity of ``least`` or more.
+
+    An equality join on segments.  Strings of lengths n and m that are so close differ in at most ``d =
+    (1 - least) * max(n, m)`` edits; of ``d + 1`` segments of one of them at least one is untouched by
+    these and is found in the other, moved by ``d`` places at most.  So no pair is missed, and only pairs that
+    share a segment are compared.  Strings too short for so many segments meet by their lengths.
+    """
+    def keyed(df: DataFrame, own: str, whole: bool) -> DataFrame:
+        df = df.select(own).where(F.col(own).isNotNull()).distinct().withColumn("_s", F.upper(own)).withColumn("_n", F.length("_s"))
+        df = df.withColumn("_m", F.explode(F.sequence(F.ceil(F.col("_n") * least - 1e-9).cast("int"), F.floor(F.col("_n") / least + 1e-9).cast("int"))))
+        df = df.withColumn("_d", F.floor(F.greatest("_n", "_m") * (1 - least) + 1e-9).cast("int"))
+        other = F.col("_n") if whole else F.col("_m")  # the length of the string that is cut
+        df = df.withColumn("_cut", other).withColumn("_i", F.explode(F.when(F.col("_d") < F.col("_cut"), F.sequence(F.lit(0), F.col("_d"))).otherwise(F.array(F.lit(-1)))))
+        start, end = (F.floor((F.col("_i") + k) * F.col("_cut") / (F.col("_d") + 1)).cast("int") for k in (0, 1))
+        df = df.withColumns({"_at": F.when(F.col("_i") < 0, 0).otherwise(start), "_size": F.when(F.col("_i") < 0, 0).otherwise(end - start)})
+        if whole:
+            key = F.substring(F.col("_s"), F.col("_at") + 1, F.col("_size"))
+            return df.select(own, F.col("_n").alias("_x"), F.col("_m").alias("_y"), "_i", key.alias("_key"))
+        moves = F.when(F.col("_i") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.greatest(-F.col("_at"), -F.col("_d")), F.least(F.col("_n") - F.col("_at") - F.col("_size"), F.col("_d"))))
+        df = df.where((F.col("_i") < 0) | (F.greatest(-F.col("_at"), -F.col("_d")) <= F.col("_n") - F.col("_at") - F.col("_size"))).withColumn("_move", F.explode(moves))
+        key = F.substring(F.col("_s"), F.col("_at") + F.col("_move") + 1, F.col("_size"))
+        return df.select(own, F.col("_m").alias("_x"), F.col("_n").alias("_y"), "_i", key.alias("_key")).distinct()
+
+    met = keyed(a, "a", False).join(keyed(b, "b", True), ["_x", "_y", "_i", "_key"]).select("a", "b").distinct()
+    return met.where(edit_similarity(F.col("a"), F.col("b")) >= least)
+
+
 def best(found: DataFrame) -> DataFrame:
     """The best candidate of each pair; ties go to the first make and model."""
     order = F.struct((-F.col("score")).alias("s"), "canonical_make", "canonical_model", "score")
@@ -47,11 +73,27 @@ def blocked_score() -> Column:
 
 
 def best_weighted(unknown: DataFrame, known: DataFrame) -> DataFrame:
-    return best(candidates(unknown, known, None, weighted_score(), 0.70))
+    """Makes that are close enough meet first, and only their models are compared."""
+    makes = close_strings(unknown.select(F.col("make").alias("a")), known.select(F.col("canonical_make").alias("b")), 0.7)
+    met = unknown.join(makes, unknown["make"] == makes["a"]).join(known, F.col("b") == known["canonical_make"])
+    return best(met.withColumn("score", weighted_score()).where("score >= 0.70"))
+
 
+def best_joined(unknown: DataFrame, known: DataFrame, close: float = 0.7, least: float = 0.4) -> DataFrame:
+    """The most alike by make and model as one string.
 
-def best_joined(unknown: DataFrame, known: DataFrame) -> DataFrame:
-    return best(candidates(unknown, known, None, joined_score(), 0.4))
+    Pairs of ``close`` or more, and models that differ in hyphens only, meet by equality joins.  A pair that
+    finds one there has its best; only what is left is compared with every known pair, a product of
+    dictionaries, as nothing prunes at ``least``.
+    """
+    u, k = unknown.withColumn("a", F.concat("make", "model")), known.withColumn("b", F.concat("canonical_make", "canonical_model"))
+    near = u.join(close_strings(u.select("a"), k.select("b"), close), "a").join(k, "b")
+    bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    hyphens = u.join(k, bare("model") == bare("canonical_model")).where(F.col("model") != F.col("canonical_model"))
+    columns = ["make", "model", "canonical_make", "canonical_model"]
+    first = best(near.select(*columns).union(hyphens.select(*columns)).withColumn("score", joined_score()))
+    left = unknown.join(first.select("make", "model"), ["make", "model"], "left_anti").crossJoin(known)
+    return first.unionByName(best(left.withColumn("score", joined_score()).where(F.col("score") >= least)))
 
 
 def best_blocked(unknown: DataFrame, known: DataFrame) -> DataFrame:
@@ -60,11 +102,66 @@ def best_blocked(unknown: DataFrame, known: DataFrame) -> DataFrame:
     return best(candidates(u, k, ("_make", "_canonical"), blocked_score(), 0.75))
 
 
-def standard_makes(unknown: DataFrame, known: DataFrame, least: float = 0.4) -> DataFrame:
-    """The known make that each unknown make is most like."""
-    score = edit_similarity(F.col("make"), F.col("canonical_make"))
-    found = unknown.select("make").distinct().crossJoin(known.select("canonical_make").distinct()).withColumn("score", score).where(F.col("score") >= least)
-    return found.groupBy("make").agg(F.min(F.struct((-F.col("score")).alias("s"), "canonical_make", "score")).alias("b")).select("make", "b.canonical_make", "b.score")
+def standard_makes(unknown: DataFrame, known: DataFrame, close: float = 0.7, least: float = 0.4) -> DataFrame:
+    """The known make that each unknown make is most like: among close ones, which meet by segments, else among all."""
+    def top(found: DataFrame) -> DataFrame:
+        scored = found.withColumn("score", edit_similarity(F.col("make"), F.col("canonical_make"))).where(F.col("score") >= least)
+        return scored.groupBy("make").agg(F.min(F.struct((-F.col("score")).alias("s"), "canonical_make", "score")).alias("b")).select("make", "b.canonical_make", "b.score")
+
+    u, k = unknown.select("make").distinct(), known.select("canonical_make").distinct()
+    first = top(close_strings(u.select(F.col("make").alias("a")), k.select(F.col("canonical_make").alias("b")), close).withColumnsRenamed({"a": "make", "b": "canonical_make"}))
+    return first.unionByName(top(u.join(first.select("make"), "make", "left_anti").crossJoin(k)))
+
+
+def _of(decision: str, confidence: float) -> Column:
+    return F.struct(F.lit(decision).alias("decision"), F.lit(confidence).alias("confidence"))
+
+
+def found_evidence(own: Column, other: Column) -> Column:
+    """``(decision, confidence)`` from the types of a reference table, in the short form: only equal types support."""
+    both = F.when(own == other, _of("SUPPORT", 0.9)).otherwise(_of("PREVENT", 0.9))
+    return F.when(own.isNotNull() & other.isNotNull(), both).when(own.isNotNull(), _of("PREVENT", 0.9)).when(other.isNotNull(), _of("SUPPORT", 0.8)).otherwise(_of("NEUTRAL", 0.5))
+
+
+def span_evidence(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """``(decision, confidence)`` from years of registration, in the short form: later than the known one, or apart in any other way."""
+    missing = a.isNull() | b.isNull() | x.isNull() | y.isNull()
+    return F.when(missing, _of("NEUTRAL", 0.5)).when((b >= x) & (y >= a), _of("SUPPORT", 0.9)).when(a > y, _of("PREVENT", 0.7)).otherwise(_of("PREVENT", 0.8))
+
+
+def set_evidence(own: Column, other: Column) -> Column:
+    """``(valid, confidence)`` from the sets of reference vehicles of an unknown and a known pair (empty: not in the table)."""
+    of = lambda v, c: F.struct(F.lit(v).alias("valid"), F.lit(c).alias("confidence"))
+    has, knows = F.size(own) > 0, F.size(other) > 0
+    return F.when(~has & ~knows, of(True, 0.5)).when(has & knows & F.arrays_overlap(own, other), of(True, 0.9)).when(has & ~knows, of(False, 0.9)).when(~has & knows, of(True, 0.8)).otherwise(of(True, 0.6))
+
+
+def model_year_evidence(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """``(valid, confidence)`` from model years: they meet, or the unknown ones follow within two years."""
+    of = lambda v, c: F.struct(F.lit(v).alias("valid"), F.lit(c).alias("confidence"))
+    missing = a.isNull() | b.isNull() | x.isNull() | y.isNull()
+    return F.when(missing, of(True, 0.5)).when((b >= x) & (y >= a), of(True, 0.9)).when((a > y) & (a - y <= 2), of(True, 0.7)).otherwise(of(False, 0.8))
+
+
+def standardise_makes(unknown: DataFrame, known: DataFrame, facts: DataFrame, reference: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
+    """What to do with each unknown make: its best known one, the evidence, and whether to put that in its place.
+
+    ``reference`` has a type for each ``ref_make`` that it knows, ``proposed`` (make, standardise) what was
+    proposed from outside (nothing: yes).  A reference table that prevents with 0.9, or years that
+    prevent with 0.8, overrule it, the latter having the last word on the reason.
+    """
+    types = reference.groupBy("ref_make").agg(F.min("ref_type").alias("t"))
+    years = facts.groupBy("make").agg(F.min("year").alias("from_year"), F.max("year").alias("to_year"))
+    out = standard_makes(unknown, known)
+    for name, own in (("make", "own"), ("canonical_make", "other")):
+        t = types.select(F.col("ref_make").alias(f"_{own}"), F.col("t").alias(f"{own}_type"))
+        y = years.select(F.col("make").alias(f"_{own}y"), F.col("from_year").alias(f"{own}_from"), F.col("to_year").alias(f"{own}_to"))
+        out = out.join(t, F.col(name) == F.col(f"_{own}"), "left").join(y, F.col(name) == F.col(f"_{own}y"), "left").drop(f"_{own}", f"_{own}y")
+    out = out.withColumns({"by_type": found_evidence(F.col("own_type"), F.col("other_type")), "by_years": span_evidence(*[F.col(c) for c in ("own_from", "own_to", "other_from", "other_to")])})
+    out = out.join(proposed, "make", "left") if proposed is not None else out.withColumn("standardise", F.lit(True))
+    prevents = lambda e, least: (F.col(e)["decision"] == "PREVENT") & (F.col(e)["confidence"] >= least)
+    reason = F.when(prevents("by_years", 0.8), "years").when(prevents("by_type", 0.9), "reference").otherwise("proposal")
+    return out.select("make", "canonical_make", "score", "by_type", "by_years", (F.coalesce("standardise", F.lit(True)) & (reason == "proposal")).alias("standardise"), reason.alias("reason"))
 
 
 def temporal_evidence(a: Column, b: Column, x: Column, y: Column) -> Column:

@@ -160,7 +160,21 @@ R = lambda *columns: lambda s, d: star.registrations(s, d, *columns)  # noqa: E7
 _pairs = R("year", "make", "model")
 _pairs_sql = f"{MAP}, pairs as (select make, model, min(year) as from_year, max(year) as to_year, count(*) as n from reg where year in (2000, 2001) group by make, model), known as (select distinct make, model from reg where year between 1995 and 1999)"
 add("canonical_hierarchy", lambda s, d: mp.hierarchy(R("year", "make", "model", "model_year", "fuel_type", "vehicle_type")(s, d), YEARS), f"with {REG} select make, model, model_year, fuel_type, vehicle_type, count(*) as n from reg where year between 1995 and 1999 group by all")
-add("hierarchy_nested", lambda s, d: mp.nested_hierarchy(R("year", "make", "model", "model_year", "fuel_type", "vehicle_type")(s, d), YEARS))
+
+
+def nested(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested hierarchy with its lists written out: ``year:fuel=n,...;...`` and ``type=n,...``, null as ``-``."""
+    out = mp.nested_hierarchy(R("year", "make", "model", "model_year", "fuel_type", "vehicle_type")(spark, sf), YEARS)
+    said = lambda x, name: F.concat(F.coalesce(x[name].cast("string"), F.lit("-")), F.lit("="), x["n"].cast("string"))
+    years = F.transform("model_years", lambda y: F.concat(F.coalesce(y["model_year"].cast("string"), F.lit("-")), F.lit(":"), F.array_join(F.transform(y["fuels"], lambda x: said(x, "fuel_type")), ",")))
+    return out.select("make", "model", F.array_join(years, ";").alias("model_years"), F.array_join(F.transform("types", lambda x: said(x, "vehicle_type")), ",").alias("types"))
+
+
+add("hierarchy_nested", nested, f"""with {REG}, h as (select make, model, model_year, fuel_type, vehicle_type, count(*) as n from reg where year between 1995 and 1999 group by all),
+f as (select make, model, model_year, fuel_type, sum(n)::bigint as n from h group by all), y as (select make, model, model_year, coalesce(model_year::varchar, '-') || ':' || string_agg(coalesce(fuel_type, '-') || '=' || n, ',' order by fuel_type nulls first) as s from f group by make, model, model_year),
+t as (select make, model, vehicle_type, sum(n)::bigint as n from h group by all)
+select make, model, model_years, types from (select make, model, string_agg(s, ';' order by model_year nulls first) as model_years from y group by all)
+ join (select make, model, string_agg(coalesce(vehicle_type, '-') || '=' || n, ',' order by vehicle_type nulls first) as types from t group by all) using (make, model)""")
 add("uncurated_pairs", lambda s, d: mp.uncurated_pairs(_pairs(s, d), YEARS).withColumn("share", F.round("share", 8)), f"with {_pairs_sql} select p.make, p.model, from_year, to_year, n, round(n::double / (select sum(n) from pairs) * 100, 8) as share, k.make is not null as is_exact_match from pairs p left join known k using (make, model)")
 add("pairs_exact_match", lambda s, d: mp.uncurated_pairs(_pairs(s, d), YEARS).where("is_exact_match").select("make", "model", "n"), f"with {_pairs_sql} select make, model, n from pairs semi join known using (make, model)")
 add("pair_model_years", lambda s, d: mp.pair_model_years(R("year", "make", "model", "model_year")(s, d), YEARS).select("make", "model", "model_year"), f"with {REG} select distinct make, model, model_year from reg where year in (2000, 2001) and model_year is not null")
@@ -197,7 +211,18 @@ def late_makes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("uncurated_only_makes", late_makes, f"with {REG} select make, count(*) as n from reg where year in (2000, 2001) and make in ('Brand#13', 'Brand#24') group by make")
-add("mapping_delete_pair", lambda s, d: mp.delete(M(s, d), "Brand#12", "none").groupBy("uncurated_make").agg(F.count(F.lit(1)).alias("n")), f"with {MAP} select uncurated_make, count(*) as n from map group by 1")
+
+
+def delete_pair(spark: SparkSession, sf: str) -> DataFrame:
+    """The mapping without all rows of a pair and without the row of another that has no model year."""
+    table = M(spark, sf)
+    ends = table.where("uncurated_make = 'Brand#12'").agg(F.min("uncurated_model").alias("low"), F.max("uncurated_model").alias("high")).first()
+    left = mp.delete(mp.delete(table, "Brand#12", ends.low or "", whole_pair=True), "Brand#12", ends.high or "")
+    return left.groupBy("uncurated_make", "uncurated_model").agg(F.count(F.lit(1)).alias("n"))
+
+
+add("mapping_delete_pair", delete_pair, f"""with {MAP}, e as (select min(uncurated_model) as low, max(uncurated_model) as high from map where uncurated_make = 'Brand#12')
+select uncurated_make, uncurated_model, count(*) as n from map, e where not (uncurated_make = 'Brand#12' and (uncurated_model = low or uncurated_model = high and model_year is null)) group by 1, 2""")
 add("mapping_save", lambda s, d: mp.save(M(s, d), M(s, d).where("uncurated_make = 'Brand#12' and model_year is null").withColumn("vehicle_type", F.lit("LARGE"))), f"with {MAP} select * replace (case when uncurated_make = 'Brand#12' and model_year is null then 'LARGE' else vehicle_type end as vehicle_type) from map")
 
 # ---- dimensions
@@ -282,23 +307,31 @@ _brand_pairs = lambda s, d: star.read(s, d, "part").select("p_brand", "p_name").
 
 
 def unknown_known(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Small dictionaries with damage: part names with a letter changed against the true ones."""
-    part = _brand_pairs(spark, sf)
-    names = part.groupBy("p_name").agg(F.min("p_brand").alias("brand"))
-    unknown = names.where("length(p_name) % 2 = 0").select(F.replace("brand", F.lit("#"), F.lit("-")).alias("make"), F.concat(F.substring("p_name", 1, 4), F.lit("0"), F.expr("substring(p_name, 6)")).alias("model"))
-    return unknown, names.select(F.col("brand").alias("canonical_make"), F.col("p_name").alias("canonical_model"))
+    """All pairs of make and model, damaged (a sign and a letter changed) and as they are."""
+    pairs = _brand_pairs(spark, sf)
+    unknown = pairs.select(F.replace("p_brand", F.lit("#"), F.lit("-")).alias("make"), F.concat(F.substring("p_name", 1, 4), F.lit("0"), F.expr("substring(p_name, 6)")).alias("model")).distinct()
+    return unknown, pairs.select(F.col("p_brand").alias("canonical_make"), F.col("p_name").alias("canonical_model"))
 
 
-_dict = "names as (select p_name, min(p_brand) as brand from part group by p_name), u as (select replace(brand, '#', '-') as make, substr(p_name, 1, 4) || '0' || substr(p_name, 6) as model from names where length(p_name) % 2 = 0), k as (select brand as canonical_make, p_name as canonical_model from names)"
+_dict = "names as (select distinct p_name, p_brand from part), u as (select distinct replace(p_brand, '#', '-') as make, substr(p_name, 1, 4) || '0' || substr(p_name, 6) as model from names), k as (select p_brand as canonical_make, p_name as canonical_model from names)"
 _lev = lambda a, b: f"(1.0::double - levenshtein(upper({a}), upper({b}))::double / greatest(length({a}), length({b}))::double)"
 _top = "select make, model, canonical_make, canonical_model, round(score, 6) as score from c where score >= {t} qualify row_number() over (partition by make, model order by score desc, canonical_make, canonical_model) = 1"
 _r6 = lambda df: df.withColumn("score", F.round("score", 6))
-add("lev_similarity", lambda s, d: (lambda u, k: u.crossJoin(k).select("model", "canonical_model", F.round(sim.edit_similarity(F.col("model"), F.col("canonical_model")), 8).alias("score")).distinct())(*unknown_known(s, d)), f"with {_dict} select distinct model, canonical_model, round({_lev('model', 'canonical_model')}, 8) as score from u, k")
+
+
+def close_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Models of an edit similarity of 0.6 or more."""
+    unknown, known = unknown_known(spark, sf)
+    met = resolve.close_strings(unknown.select(F.col("model").alias("a")), known.select(F.col("canonical_model").alias("b")), 0.6)
+    return met.select(F.col("a").alias("model"), F.col("b").alias("canonical_model"), F.round(sim.edit_similarity(F.col("a"), F.col("b")), 8).alias("score"))
+
+
+add("lev_similarity", close_models, f"with {_dict}, m as (select distinct model from u), n as (select distinct canonical_model from k) select model, canonical_model, round({_lev('model', 'canonical_model')}, 8) as score from m, n where {_lev('model', 'canonical_model')} >= 0.6::double")
 add("best_match_weighted", lambda s, d: _r6(resolve.best_weighted(*unknown_known(s, d))), f"with {_dict}, c as (select *, case when {_lev('make', 'canonical_make')} >= 0.7 then 0.7::double * {_lev('make', 'canonical_make')} + 0.3::double * {_lev('model', 'canonical_model')} else 0 end as score from u, k) " + _top.format(t="0.7"))
 add("best_match_concat", lambda s, d: _r6(resolve.best_joined(*unknown_known(s, d))), f"with {_dict}, c as (select *, case when replace(model, '-', '') = replace(canonical_model, '-', '') and model <> canonical_model then 0.99::double else {_lev('make || model', 'canonical_make || canonical_model')} end as score from u, k) " + _top.format(t="0.4"))
 add("standard_makes", lambda s, d: _r6(resolve.standard_makes(*unknown_known(s, d))), f"with {_dict}, c as (select *, {_lev('make', 'canonical_make')} as score from (select distinct make from u), (select distinct canonical_make from k)) select make, canonical_make, round(score, 6) as score from c where score >= 0.4 qualify row_number() over (partition by make order by score desc, canonical_make) = 1")
 add("best_match_blocked", lambda s, d: _r6(resolve.best_blocked((lambda u: u.withColumn("make", F.replace("make", F.lit("-"), F.lit("#"))))(unknown_known(s, d)[0]), unknown_known(s, d)[1])))
-add("jaro_winkler", lambda s, d: (lambda u, k: u.join(k, F.substring("model", 1, 1) == F.substring("canonical_model", 1, 1)).select("model", "canonical_model", F.round(sim.jaro_winkler(F.col("model"), F.col("canonical_model")), 6).alias("score")).distinct())(*unknown_known(s, d)))
+add("jaro_winkler", lambda s, d: (lambda u, k: u.join(k, F.replace("make", F.lit("-"), F.lit("#")) == F.col("canonical_make")).select("model", "canonical_model", F.round(sim.jaro_winkler(F.col("model"), F.col("canonical_model")), 6).alias("score")).distinct())(*unknown_known(s, d)))
 _codes_sql = "select distinct replace(p_brand, 'Brand#', 'CX') as a, 'CX-' || ((p_size % 5 + 1) * 10 + 3) as b from part"
 
 
@@ -408,3 +441,5 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("flagship", flagship, f"with {REG} select cast(y as int) as year, coalesce(value, 0) as value from unnest([1994, 1995, 1996, 1997, 1998, 1999, 2000, 2001]) as t(y) left join (select year, count(*)::double as value from reg where admin_region = 'EUROPE' and fuel_type = 'R' group by year) p on p.year = y")
+
+from . import intake  # noqa: E402, F401  (registers its queries too)

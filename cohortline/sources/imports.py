@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from . import readers, store
 
 # Names that a column has in the later layout, the first that a file has counting.
@@ -40,28 +42,34 @@ def import_files(spark: SparkSession, paths: list[str], table: str, log: str | N
     """Imports files by year into a table partitioned by year.
 
     A year that is there already is replaced, in this family's table alone.  Of rows with the same sequence
-    one is kept, chosen by their values, so that a second import gives the same.  Rows are counted while
-    they are written.
+    one is kept, chosen by their values, so that a second import gives the same.  Each file is parsed once:
+    stored rows and dropped lines are counted while they are written.
     """
-    read, columns = (readers.vehicles, readers.vehicle_columns) if family == "vehicles" else (readers.licences, lambda y: readers.LICENCE_COLUMNS)
+    read = readers.vehicles if family == "vehicles" else readers.licences
     out = []
     for path in sorted(paths, key=year_of):
         year = year_of(path)
-        rows = read(spark, path, year)
-        kept = store.last_wins(rows, ["year", "sequence"], [F.desc_nulls_last(c) for c in rows.columns if c not in ("year", "sequence")])
-        seen = Observation()
-        store.write_years(kept.observe(seen, F.count(F.lit(1)).alias("n")), table)
-        dropped = readers.dropped_lines(spark, path, columns(year), family == "vehicles")
+        seen, lines = Observation(), Observation()
+        rows = read(spark, path, year, lines)
+        of = [c for c in rows.columns if c not in ("year", "sequence")]
+        order = F.xxhash64(*of)  # equal rows are one; of others under one sequence any is as good, but always the same
+        kept = store.last_wins(rows, ["year", "sequence"], [order])
+        store.write_years(kept.observe(seen, F.count(F.lit(1)).alias("n")), table, dealt=True)
+        dropped = lines.get["bad"]
         out.append(Result(path, year, seen.get["n"], dropped))
         if log:
-            store.log_import(spark, log, path.rsplit("/", 1)[-1], year, seen.get["n"], dropped)
+            store.log_import(spark, log, path.rsplit("/", 1)[-1], year, seen.get["n"], dropped, family)
     return out
 
 
 def later_layout(raw: DataFrame) -> DataFrame:
-    """The columns that ``readers.normalise`` takes, from whichever names a later file has; a missing one is empty."""
-    pick = {new: next((n for n in names if n in raw.columns), None) for new, names in LATER_NAMES.items()}
-    return raw.select(*[(F.col(f"`{old}`") if old else F.lit("")).alias(new) for new, old in pick.items()])
+    """The columns that ``readers.normalise`` takes, from whichever names a later file has; a missing one is empty.
+
+    Damaged names and values are repaired with the spellings of these files.
+    """
+    known = {reduce(lambda x, p: x.replace(*p), sorted(tx.SCRIPT_MOJIBAKE.items(), key=lambda p: -len(p[0])), c): c for c in raw.columns}
+    pick = {new: next((known[n] for n in names if n in known), None) for new, names in LATER_NAMES.items()}
+    return raw.select(*[(tx.repair_mojibake(F.col(f"`{old}`"), tx.SCRIPT_MOJIBAKE) if old else F.lit("")).alias(new) for new, old in pick.items()])
 
 
 def write_yearly(rows: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -102,13 +102,20 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], french: b
     return split.select("f", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)]), good
 
 
-def vehicles(spark: SparkSession, path: str, year: int) -> DataFrame:
+def counted(rows: DataFrame, good: Column, seen: Observation | None) -> DataFrame:
+    """The good lines; ``seen`` counts the ``bad`` ones while they are read."""
+    if seen is not None:
+        rows = rows.observe(seen, F.count_if(~good).alias("bad"))
+    return rows.where(good)
+
+
+def vehicles(spark: SparkSession, path: str, year: int, seen: Observation | None = None) -> DataFrame:
     """Registrations of a yearly file; lines with another number of fields go."""
     rows, good = read_csv(spark, path, vehicle_columns(year), french=True)
     v = lambda c: tx.repair_mojibake(F.col(c))
     blank = lambda c: tx.blank_to_null(v(c))
     mass, size = tx.to_double(F.col("MASSE_NETTE")), tx.to_double(F.col("CYL_VEH"))
-    return rows.where(good).select(
+    return counted(rows, good, seen).select(
         F.lit(year).alias("year"), F.coalesce(blank("NOSEQ_VEH"), F.lit(f"{year}_UNKNOWN")).alias("sequence"), blank("CLAS").alias("vehicle_class"), blank("TYP_VEH_CATEG_USA").alias("vehicle_type"),
         blank("MARQ_VEH").alias("make"), blank("MODEL_VEH").alias("model"), tx.to_int(F.col("ANNEE_MOD")).alias("model_year"), mass.alias("net_mass"), tx.rounded(mass).alias("net_mass_int"),
         size.alias("displacement"), tx.rounded(size).alias("displacement_int"), tx.to_int(F.col("NB_CYL")).alias("cylinder_count"), tx.to_int(F.col("NB_ESIEU_MAX")).alias("max_axles"), blank("COUL_ORIG").alias("color"),
@@ -116,13 +123,13 @@ def vehicles(spark: SparkSession, path: str, year: int) -> DataFrame:
     )
 
 
-def licences(spark: SparkSession, path: str, year: int) -> DataFrame:
+def licences(spark: SparkSession, path: str, year: int, seen: Observation | None = None) -> DataFrame:
     """Licences of a yearly file."""
     rows, good = read_csv(spark, path, LICENCE_COLUMNS, french=False)
     blank = lambda c: tx.blank_to_null(F.col(c))
     flags = ("learner_123", "learner_5", "learner_6a6r", "driver_1234", "driver_5", "driver_6abce", "driver_6d", "driver_8", "probationary")
     years = ("exp_1234", "exp_5", "exp_6abce", "exp_global")
-    return rows.where(good).select(
+    return counted(rows, good, seen).select(
         F.lit(year).alias("year"), F.coalesce(blank("NOSEQ_TITUL"), F.lit(f"{year}_UNKNOWN")).alias("sequence"), blank("AGE_1ER_JUIN").alias("age_group"), blank("SEXE").alias("gender"), blank("TYPE_PERMIS").alias("licence_type"),
         tx.blank_to_null(tx.last_code_of(F.col("REG_ADM"))).alias("admin_region"), tx.blank_to_null(tx.last_code_of(F.col("MRC"))).alias("mrc"),
         *[tx.yes(F.col(c)).alias(n) for c, n in zip(LICENCE_COLUMNS[7:16], flags, strict=True)], *[blank(c).alias(n) for c, n in zip(LICENCE_COLUMNS[16:], years, strict=True)],
@@ -141,22 +148,39 @@ def places(spark: SparkSession, path: str) -> DataFrame:
     cut = lambda name: F.trim(F.substring("l", PLACES[name][0] + 1, PLACES[name][1] - PLACES[name][0]))
     degrees = lambda name: F.substring(cut(name), 1, 2).try_cast("double") + F.substring(cut(name), 3, 2).try_cast("double") / 60
     area = lambda name: cut(name).try_cast("double") / 1000
-    return line.select(cut("code").alias("code"), cut("name").alias("name"), F.lit("municipality").alias("type"), cut("mrc").alias("parent_code"), cut("region").alias("region_code"), cut("population").try_cast("int").alias("population"), degrees("lat").alias("latitude"), (-degrees("lon")).alias("longitude"), area("total").alias("area_total"), area("land").alias("area_land"))
+    return line.select(cut("code").alias("code"), tx.repair_mojibake(cut("name"), tx.PLACE_MOJIBAKE).alias("name"), F.lit("municipality").alias("type"), cut("mrc").alias("parent_code"), cut("region").alias("region_code"), cut("population").try_cast("int").alias("population"), degrees("lat").alias("latitude"), (-degrees("lon")).alias("longitude"), area("total").alias("area_total"), area("land").alias("area_land"))
 
 
-def normalise(rows: DataFrame, names: DataFrame, order: Column) -> DataFrame:
+def numbered(rows: DataFrame, by: str, order: Column, place: str) -> DataFrame:
+    """Rows with ``_n``, their number from 1 within each value of ``by`` in the order given, by no task alone.
+
+    Rows are sorted over all tasks and written to ``place``, so that parts stay as they are; a row's number is
+    its place in its part after the rows of its group in the parts before, of which there is a row each.
+    """
+    spark = rows.sparkSession
+    sorted_ = rows.withColumn("_o", order).repartitionByRange(by, "_o").sortWithinPartitions(by, "_o").drop("_o")
+    sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).write.parquet(place)
+    parts = spark.read.parquet(place)
+    sizes = parts.groupBy(by, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).select(F.col(by).alias("_by"), F.col("_part").alias("_p"), "_first", "_before")
+    joined = parts.join(sizes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("_n", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_by", "_p", "_first", "_before", "_part", "_at")
+
+
+def normalise(rows: DataFrame, names: DataFrame, order: Column, place: str) -> DataFrame:
     """Rows of the later layout ``(period, make, model, model_year, region, municipality)`` in the yearly layout.
 
     The year is that of the period (``YYYY`` or ``YYYYMM``), the sequence ``year_`` and the row's number in ten
     digits, a region code becomes ``Name (07)``, and a municipality its code in ``names`` (name, code), compared
-    without accents.  Numbers are given by ``order`` within a year.
+    without accents.  Numbers are given by ``order``, which has no ties, within a year; ``place`` is a new folder
+    for the sorted rows.
     """
     regions = F.create_map(*[F.lit(x) for pair in ADMIN_REGIONS.items() for x in pair])
     year = F.regexp_extract("period", r"^(\d{4})", 1).try_cast("int")
     code = F.lpad(F.regexp_extract("region", r"(\d{1,2})\D*$", 1), 2, "0")
     known = names.select(tx.normal_name(F.col("name")).alias("_name"), F.col("code").alias("CG_FIXE")).groupBy("_name").agg(F.min("CG_FIXE").alias("CG_FIXE"))
-    numbered = rows.withColumn("AN", year).withColumn("_n", F.row_number().over(Window.partitionBy("AN").orderBy(order)))
-    joined = numbered.withColumn("_name", tx.normal_name(F.col("municipality"))).join(known, "_name", "left")
+    joined = numbered(rows.withColumn("AN", year), "AN", order, place).withColumn("_name", tx.normal_name(F.col("municipality"))).join(known, "_name", "left")
     none = F.lit(None).cast("string")
     return joined.select(
         "AN", F.format_string("%d_%010d", "AN", "_n").alias("NOSEQ_VEH"), none.alias("CLAS"), none.alias("TYP_VEH_CATEG_USA"), F.col("make").alias("MARQ_VEH"), F.col("model").alias("MODEL_VEH"), F.col("model_year").alias("ANNEE_MOD"),

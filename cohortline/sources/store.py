@@ -3,10 +3,40 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import LICENCES, REGISTRATIONS
+
+
+#: Tables of a package, and columns that each must have.
+REQUIRED = {"registrations": tuple(x.split()[0] for x in REGISTRATIONS.split(", ")), "licences": tuple(x.split()[0] for x in LICENCES.split(", ")), "places": ("code", "name", "type", "parent_code"), "import_log": ("file_name", "year", "record_count", "status"), "hierarchy": ("make", "model", "model_year", "fuel_type", "vehicle_type", "n")}
+FAMILIES = ("registrations", "licences")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in ``spark.checkpoint.dir``; where that is unset, a temporary one on a single machine only."""
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="work-")
+    return f"{base}/work-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder, system = _folder(spark, path)
+    return system.exists(folder)
+
 
 def last_wins(facts: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in the order given.  Keys are unique but for repeats, so no group is large."""
@@ -24,9 +54,12 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str] = ["year", "sequ
     return existing.join(added.select(*keys), keys, "left_anti").unionByName(added)
 
 
-def write_years(facts: DataFrame, path: str) -> None:
-    """Writes facts by year; the years that they have replace those of the table, others stay."""
-    by_year = facts.repartition("year", F.pmod(F.xxhash64(*[c for c in facts.columns if c != "year"]), F.lit(32)))  # a year is split over tasks
+def write_years(facts: DataFrame, path: str, dealt: bool = False) -> None:
+    """Writes facts by year; the years that they have replace those of the table, others stay.
+
+    A year is split over tasks, unless the rows are ``dealt`` by key already.
+    """
+    by_year = facts if dealt else facts.repartition("year", F.pmod(F.xxhash64(*[c for c in facts.columns if c != "year"]), F.lit(32)))
     by_year.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
@@ -38,13 +71,35 @@ def delete_years(spark: SparkSession, path: str, years: tuple[int, ...]) -> None
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def delete_year(spark: SparkSession, year: int, tables: list[str], log: str | None = None) -> None:
+    """Removes a year from all fact tables and its rows from the import log."""
+    for path in tables:
+        delete_years(spark, path, (year,))
+    if log and exists(spark, log):
+        place = work_dir(spark)
+        spark.read.parquet(log).where(~F.col("year").eqNullSafe(F.lit(year))).write.parquet(place)  # what is read may not be written over
+        spark.read.parquet(place).write.mode("overwrite").parquet(log)
+        delete_all(spark, [place])
+
+
+def delete_all(spark: SparkSession, tables: list[str]) -> None:
+    """Removes tables whole: facts, places and the log."""
+    for path in tables:
+        folder, system = _folder(spark, path)
+        system.delete(folder, True)
+
+
 def years_in(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("year").distinct()
 
 
-def log_import(spark: SparkSession, path: str, file_name: str, year: int, good: int, bad: int) -> None:
+#: What the log says of an import without and with lines that failed, by family.
+STATUSES = {"vehicles": ("success", "partial"), "licences": ("completed", "completed_with_errors")}
+
+
+def log_import(spark: SparkSession, path: str, file_name: str, year: int, good: int, bad: int, family: str = "vehicles") -> None:
     """Appends a row to the import log."""
-    row = spark.createDataFrame([(file_name, year, good, "success" if bad == 0 else "partial")], "file_name string, year int, record_count bigint, status string")
+    row = spark.createDataFrame([(file_name, year, good, STATUSES[family][bad > 0])], "file_name string, year int, record_count bigint, status string")
     row.withColumn("import_date", F.current_timestamp()).write.mode("append").parquet(path)
 
 
@@ -84,6 +139,52 @@ def validate_package(spark: SparkSession, path: str, required: tuple[str, ...] =
     return wrong
 
 
+def lacking(spark: SparkSession, path: str) -> list[str]:
+    """Tables that a package must have and has not, and columns that these lack: its structure, whatever its manifest says."""
+    out = []
+    for name, columns in REQUIRED.items():
+        if not exists(spark, f"{path}/{name}"):
+            out.append(f"{name} is missing")
+        else:
+            out += [f"{name} has no {c}" for c in columns if c not in spark.read.parquet(f"{path}/{name}").columns]
+    return out
+
+
+def families_in(spark: SparkSession, path: str) -> set[str]:
+    """Fact families that a store or a package has rows of."""
+    return {n for n in FAMILIES if exists(spark, f"{path}/{n}") and not spark.read.parquet(f"{path}/{n}").isEmpty()}
+
+
+def import_package(spark: SparkSession, package: str, store: str, mode: str | None = None) -> str:
+    """Takes a package into a store and says how; without a ``mode`` it chooses one by what both have.
+
+    ``replace`` puts the package's tables in place of all of the store's.  ``merge`` adds families that the
+    store has no rows of, with the package's other tables merged into the store's by row, and is refused where
+    both have rows of a family.  A package that differs from its manifest, or has no rows, is refused.
+    """
+    wrong = validate_package(spark, package)
+    there, here = families_in(spark, package), families_in(spark, store)
+    if wrong or not there:
+        raise ValueError(f"the package cannot be imported: {wrong or 'it has no rows'}")
+    mode = mode or default_mode(here, there)
+    if mode == "refuse" or mode == "merge" and here & there:
+        raise ValueError(f"both sides have {sorted(here & there)}")
+    names = json.loads(spark.read.text(f"{package}/manifest").first().value)
+    if mode == "replace":
+        delete_all(spark, [f"{store}/{n}" for n in {*names, *REQUIRED}])
+    for name in names:
+        new = spark.read.parquet(f"{package}/{name}")
+        if mode == "merge" and name in FAMILIES and name not in there:
+            continue
+        if mode == "merge" and name not in FAMILIES and exists(spark, f"{store}/{name}"):
+            place = work_dir(spark)
+            spark.read.parquet(f"{store}/{name}").unionByName(new, allowMissingColumns=True).distinct().write.parquet(place)
+            new = spark.read.parquet(place)
+        writer = new.write.mode("overwrite")
+        (writer.partitionBy("year") if name in FAMILIES else writer).parquet(f"{store}/{name}")
+    return mode
+
+
 def default_mode(here: set[str], there: set[str]) -> str:
     """How a package is taken in: ``replace`` if nothing is here, ``merge`` if both sides have no family in common, else ``refuse``."""
     if not here:

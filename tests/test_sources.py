@@ -83,10 +83,10 @@ def test_places(spark, tmp_path):
     assert (r[0].code, r[0].name, r[0].population, r[0].latitude, r[0].longitude, r[0].area_total) == ("66023", "Montréal", 1762949, 45.5, pytest.approx(-73.6), 431.5)
 
 
-def test_later_layout(spark):
+def test_later_layout(spark, tmp_path):
     rows = spark.createDataFrame([("202301", "HONDA", "CIVIC", "2020", "Outaouais (7)", "Gatineau"), ("2023", "KIA", "RIO", "2021", "x", "nowhere")], "period string, make string, model string, model_year string, region string, municipality string")
     names = spark.createDataFrame([("GATINEAU", "81017")], "name string, code string")
-    got = {r.MARQ_VEH: r for r in readers.normalise(rows, names, F.col("make")).collect()}
+    got = {r.MARQ_VEH: r for r in readers.normalise(rows, names, F.col("make"), str(tmp_path / "sorted")).collect()}
     assert (got["HONDA"].AN, got["HONDA"].NOSEQ_VEH, got["HONDA"].REG_ADM, got["HONDA"].CG_FIXE) == (2023, "2023_0000000001", "Outaouais (07)", "81017")
     assert got["KIA"].CG_FIXE is None and list(got["KIA"].asDict()) == list(readers.VEHICLE_COLUMNS)
 
@@ -162,7 +162,7 @@ def test_import_of_several_years(spark, tmp_path):
 
 def test_later_files_to_the_yearly_layout(spark, tmp_path):
     raw = spark.createDataFrame([("202301", "KIA", "Laval (13)")], "`Année civile / mois` string, Marque string, `Région admin (code)` string")
-    rows = readers.normalise(imports.later_layout(raw), spark.createDataFrame([], "name string, code string"), F.col("make"))
+    rows = readers.normalise(imports.later_layout(raw), spark.createDataFrame([], "name string, code string"), F.col("make"), str(tmp_path / "sorted"))
     imports.write_yearly(rows, str(tmp_path / "o"))
     text = [r.value for r in spark.read.text(str(tmp_path / "o")).collect()]
     assert text[0].startswith('"AN","NOSEQ_VEH"') or text[0].startswith("AN,NOSEQ_VEH")
