@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, rows
@@ -16,7 +16,9 @@ from .common import fold, rows
 #: on (expected number), added to each count, and the cost of one more language in units of log(trigrams).
 BUCKETS, PER_LANGUAGE, SMOOTHING, PENALTY = 1 << 16, 600, 0.5, 4.0
 ITERATIONS, NONE = 40, "und"
-_no_letters = re.compile(r"[\W\d_]+")
+#: Shares below this are no share at all; whether small ones stay, the penalised likelihood decides.
+NO_SHARE = 1e-3
+_no_letters = regex.compile(r"\P{L}+")
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -30,11 +32,9 @@ def trigrams(text: str | None) -> np.ndarray:
 
 def sample(docs: DataFrame, lang_col: str, per_language: int) -> DataFrame:
     """About ``per_language`` rows of each language, chosen by a hash of the text: the same in every run."""
-    sizes = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
-    rate: Column = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        rate = F.when(F.col(lang_col) == lang, min(1.0, per_language / n)).otherwise(rate)
-    return docs.where(F.pmod(F.xxhash64("text", "id"), F.lit(1_000_003)) < rate * 1_000_003)
+    rate = docs.groupBy(F.col(lang_col).alias("_lang")).agg((F.lit(per_language) / F.count(F.lit(1))).alias("_rate"))
+    found = docs.join(rate, F.col(lang_col) == F.col("_lang")).where(F.pmod(F.xxhash64("text", "id"), F.lit(1_000_003)) < F.col("_rate") * 1_000_003)
+    return found.drop("_lang", "_rate")
 
 
 class Mixture:
@@ -72,7 +72,7 @@ class Mixture:
         p, cost = self.p[buckets], self.penalty * np.log(n.sum() + 1)
         share, _ = self.fit(p, n)
         keep = np.argsort(-share, kind="stable")
-        keep = keep[share[keep] >= min(0.02, share.max())]
+        keep = keep[share[keep] >= min(NO_SHARE, share.max())]
         share, best = self.fit(p[:, keep], n)
         while len(keep) > 1:
             less = np.delete(np.arange(len(keep)), np.argmin(share))
@@ -140,7 +140,11 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int =
 
 
 def keep_identified(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = PER_LANGUAGE, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` in which a language is found, unchanged; rows that ``identify`` calls ``und`` go."""
+    """The rows of ``docs`` in which a language is found, unchanged; rows that ``identify`` calls ``und`` go.
+
+    Null and empty texts and texts without letters go, and all rows where nothing can be learned (no row with a
+    language); repeated rows stay or go together; a null id is an id like any other; an empty table gives no rows.
+    """
     model = _model(docs, folds, held, per_language, penalty, id_col, text_col, lang_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,10 +28,25 @@ def test_mixtures(model):
     assert model.infer(EN)[0] == [1] and model.infer(DE)[0] == [0]
     keep, share = model.infer(EN * 4 + DE * 2)
     assert keep == [1, 0] and share[0] == pytest.approx(len(EN) * 4 / (len(EN) * 4 + len(DE) * 2), abs=0.1)
-    assert model.infer(None)[0] == model.infer("123 ...")[0] == model.infer("")[0] == []
+    assert model.infer(None)[0] == model.infer("123 ...")[0] == model.infer("")[0] == model.infer("½ ² ① Ⅷ ٣ _ \u0301")[0] == []
+    assert model.infer("é")[0] and model.infer("中")[0] and model.infer("ª")[0]
     assert langid.Mixture([], np.empty((0, langid.BUCKETS))).infer(EN)[0] == []
 
 
+def test_a_short_passage_in_a_second_language_is_found(model):
+    sure = langid.Mixture(model.languages, np.stack([np.bincount(langid.trigrams(t * 3000), minlength=langid.BUCKETS) for t in (DE, EN)]).astype(float))
+    keep, share = sure.infer(EN * 100 + DE)
+    assert keep == [1, 0] and share[1] < 0.02
+    assert sure.infer(EN * 100)[0] == [1]
+
+
+def test_selected_set_has_the_best_penalised_likelihood(model):
+    for text in (EN, DE, EN * 3 + DE, EN + DE * 9, EN[:30] + DE[:200]):
+        buckets, n = np.unique(langid.trigrams(text), return_counts=True)
+        value = {k: model.fit(model.p[buckets][:, list(k)], n)[1] - len(k) * model.penalty * np.log(n.sum() + 1) for k in ((0,), (1,), (0, 1))}
+        assert tuple(sorted(model.infer(text)[0])) == max(value, key=value.get)
+
+
 def test_em_reaches_the_best_mixture(model):
     buckets, n = np.unique(langid.trigrams(EN * 3 + DE), return_counts=True)
     p = model.p[buckets]
