@@ -87,7 +87,7 @@ class Voters:
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, voters: int) -> Voters:
-    """Voters from a bounded sample of labelled rows, chosen by a hash of the id; only ids are broadcast to find them."""
+    """Voters from a bounded sample of labelled rows, chosen by a hash of the id; only ids are broadcast to find them; an id that repeats gives one of its texts."""
     known = labels.where((fold(F.col("id"), folds) != held) & F.col("y").isin(0, 1)).groupBy("id").agg(F.min("y").alias("y"))
     rate = voters / max(1, known.count())
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_003)) < rate * 1_000_003)
@@ -96,7 +96,8 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, voters: int
         for b in rows(batches):
             yield pa.record_batch([pa.array([terms(t).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], names=["v", "y"])
 
-    got = docs.join(F.broadcast(chosen), "id").select("text", "y").mapInArrow(run, "v binary, y int").toArrow()
+    found = docs.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+    got = found.select("text", "y").mapInArrow(run, "v binary, y int").toArrow()
     order = sorted(zip(got["v"].to_pylist(), got["y"].to_pylist(), strict=True))  # rows come in any order
     x = np.frombuffer(b"".join(v for v, _ in order), np.float32).reshape(-1, TERMS)
     return Voters.fit(x, np.array([y for _, y in order]))
