@@ -100,5 +100,15 @@ from s qualify rank <= 10
 """
 
 
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, cast(strlen(html) as bigint) as payload_bytes, sha1(html) as payload_digest from p),
+lead as (select payload_digest, payload_bytes, max(page_id) as leader from d where payload_bytes >= 1000 group by all)
+select page_id, payload_bytes, payload_digest, case when leader <> page_id then 'revisit' else 'response' end as record_type,
+  case when leader <> page_id then leader end as refers_to
+from d left join lead using (payload_digest, payload_bytes)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op2_decontamination": OP2_SQL}
+    return {"op3_topk": OP3_SQL, "op2_decontamination": OP2_SQL, "op6_warc": OP6_SQL}

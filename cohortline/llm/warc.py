@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
 
-#: Smallest payload that is stored once only, records of an archive file, and leaders that are broadcast.
-LEAST_BYTES, PER_FILE, FEW = 1000, 3000, 50_000
+#: Smallest payload that is stored once only, bytes of an archive file (more only for a single record), and leaders that are broadcast.
+LEAST_BYTES, FILE_BYTES, FEW = 1000, 16_000_000, 50_000
 BREAK = "\r\n"
+#: A gzip member without content, in Latin-1: it ends each file.
+NOTHING = gzip.compress(b"", mtime=0).decode("latin-1")
 HTTP = f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}"
 RECORD = pa.schema([("kind", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
@@ -41,13 +44,14 @@ def leaders(pages: DataFrame, least: int) -> DataFrame:
     return cut(same.where("pages > 1 and leader is not null").select("digest", "n", "leader"))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z", least: int = LEAST_BYTES, per_file: int = PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z", least: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Writes a request, a response or revisit, and a metadata record for each row ``(page_id, url, html)``.
 
     Of rows with equal payloads of at least ``least`` bytes, that with the largest ``page_id`` is the
     response (all such rows, if the id repeats) and the others are revisits that refer to it.  The
-    files are gzipped WARC 1.1 of at most ``per_file`` records each, written by Spark to ``path``, so
-    that any store will do; payloads are not shuffled unless repeated ones are too many to broadcast.
+    files are WARC 1.1 with a gzip member for each record, so that a record can be read from its offset, of
+    about ``file_bytes`` at most unless a single record is longer.  Spark writes them to ``path``, so that any
+    store will do; payloads are not shuffled unless repeated ones are too many to broadcast.
     A null html is an empty payload; a null url is recorded as ``urn:page:<page_id>``.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -68,8 +72,29 @@ def write_archives(pages: DataFrame, path: str, date: str = "2020-01-01T00:00:00
     second = record(F.when(again, "revisit").otherwise("response"), {"WARC-Record-ID": response, "WARC-Concurrent-To": request, **shared, "WARC-Payload-Digest": digest, "WARC-Refers-To": refers, "WARC-Profile": profile}, block, "application/http; msgtype=response")
     facts = F.concat_ws(BREAK, F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("payload-bytes: "), F.col("n").cast("string")))
     third = record("metadata", {"WARC-Record-ID": record_id(F.lit("metadata"), F.col("row"), F.col("page_id")), "WARC-Concurrent-To": request, **shared}, facts, "application/warc-fields")
-    out = full.select(F.explode(F.array(first, second, third)).alias("value"))
-    out.write.mode("error").option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    out = full.select(F.explode(F.array(first, second, third)).alias("value")).mapInArrow(lambda batches: archives(batches, file_bytes), "value binary")
+    # a row is a file: the sink writes its bytes as they are, and the empty member in place of a line's end
+    out.select(F.col("value").cast("string")).write.mode("error").option("encoding", "ISO-8859-1").option("lineSep", NOTHING).option("maxRecordsPerFile", 1).text(path)
+
+
+def archives(batches: Iterable[pa.RecordBatch], file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Records as gzip members, one after another in rows of about ``file_bytes``."""
+    held, size = [], 0
+
+    def row() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+    for b in batches:
+        for value in b.column(0):
+            packed = zlib.compressobj(wbits=31)
+            member = packed.compress(value.as_buffer()) + packed.compress(b"\r\n\r\n") + packed.flush()
+            if held and size + len(member) > file_bytes:
+                yield row()
+                held, size = [], 0
+            held.append(member)
+            size += len(member)
+    if held:
+        yield row()
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -107,7 +132,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if out:
                     yield _table(out)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     schema = "kind string, record_id string, concurrent_to string, refers_to string, target_uri string, page_id long, payload_bytes long, payload_digest string, payload binary"
     return files.mapInArrow(run, schema)
 
@@ -151,7 +176,7 @@ def assemble(records: DataFrame) -> DataFrame:
     return none.unionByName(some).select(F.col("metadata.page_id").alias("page_id"), F.col("to_page").alias("refers_to"), "request", "response", "metadata")
 
 
-def round_trip(pages: DataFrame, path: str | None = None, least: int = LEAST_BYTES, per_file: int = PER_FILE) -> DataFrame:
+def round_trip(pages: DataFrame, path: str | None = None, least: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes archives of ``pages``, reads them back and assembles the captures, one row each.
 
     Rows: ``page_id, payload_bytes, payload_digest`` (hex SHA-1), ``record_type``, ``refers_to``.  The
@@ -161,7 +186,7 @@ def round_trip(pages: DataFrame, path: str | None = None, least: int = LEAST_BYT
     """
     spark = pages.sparkSession
     place = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, place, least=least, per_file=per_file)
+    write_archives(pages, place, least=least, file_bytes=file_bytes)
     records = cut(read_archives(spark, place, payloads=False).drop("payload"))
     if path is None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(place)

@@ -2,6 +2,9 @@ import gzip
 import hashlib
 import io
 import os
+import zlib
+
+import duckdb
 
 from cohortline.llm import catalog, warc
 
@@ -31,6 +34,9 @@ def got(df):
 def test_whole_table(spark, sf_dir):
     pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     assert got(catalog.op6_warc(spark, sf_dir)) == brute(pages)
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{sf_dir}/pages.parquet'")
+    assert sorted(con.execute(catalog.OP6_SQL).fetchall(), key=str) == brute(pages)
 
 
 def test_odd_rows(spark, tmp_path, monkeypatch):
@@ -39,10 +45,18 @@ def test_odd_rows(spark, tmp_path, monkeypatch):
     assert got(warc.round_trip(df)) == brute(pages)
     monkeypatch.setattr(warc, "FEW", 0)
     path = str(tmp_path / "w")
-    assert got(warc.round_trip(df, path, per_file=5)) == brute(pages)
+    assert got(warc.round_trip(df, path, file_bytes=2000)) == brute(pages)
     assert warc.round_trip(df.limit(0)).count() == 0
-    files = [f for f in os.listdir(path) if f.endswith(".gz")]
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
     assert len(files) >= 3
+    for f in files:  # a member for each record, which can be read by itself, and an empty one at the end
+        left, whole = open(f"{path}/{f}", "rb").read(), []
+        assert len(left) <= 2000 + len(warc.NOTHING) or len(list(warc.parse(gzip.open(f"{path}/{f}")))) == 1
+        while left:
+            one = zlib.decompressobj(wbits=31)
+            whole.append(one.decompress(left))
+            left = one.unused_data
+        assert whole.pop() == b"" and all(len(list(warc.parse(io.BytesIO(x)))) == 1 for x in whole)
     records = [r for f in files for r in warc.parse(gzip.open(f"{path}/{f}"))]
     assert len(records) == 3 * len(pages) and {h["warc-type"] for h, _ in records} == {"request", "response", "revisit", "metadata"}
 
