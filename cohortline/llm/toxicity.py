@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import cut, fold, rows
 
 #: Weights of hashed features (feature 0 is none), features of a word, tokens of a training segment.
-WEIGHTS, WIDTH, SEGMENT = 1 << 18, 9, 32
+WEIGHTS, WIDTH, SEGMENT = 1 << 18, 12, 32
 #: Labelled rows of each class that the model is fitted on (expected numbers), and segments of each row.
 TOXIC_ROWS, CLEAN_ROWS, SEGMENTS = 1500, 4500, 4
 #: A feature marks toxic tokens if it is in this share of the toxic rows (and in this many), and so many
@@ -26,13 +26,24 @@ _word = re.compile(r"[^\W\d_]+")
 
 
 def parts(word: str) -> list[str]:
-    """What the model sees of a word: itself, its first 3 to 6 letters and its last 3 and 4."""
+    """What the model sees of a word: itself, its first 3 to 9 letters and its last 3 and 4."""
     w = word.lower()
-    return [w, *("^" + w[:n] for n in (3, 4, 5, 6) if len(w) > n), *(w[-n:] + "$" for n in (3, 4) if len(w) > n)]
+    n = len(w)
+    return [w, *["^" + w[:k] for k in range(3, min(n, 10))], *[w[-k:] + "$" for k in (3, 4) if n > k]]
+
+
+def feature(part: str) -> int:
+    return xxhash.xxh32_intdigest(part) % (WEIGHTS - 1) + 1
 
 
 def hashed(word: str) -> list[int]:
-    return [xxhash.xxh32_intdigest(p) % (WEIGHTS - 1) + 1 for p in parts(word)]
+    return [feature(p) for p in parts(word)]
+
+
+def beside(word: str) -> tuple[int, int]:
+    """The features of a word for the word after it and for the one before it."""
+    w = word.lower()
+    return feature("<" + w), feature(">" + w)
 
 
 class Tagger:
@@ -41,18 +52,36 @@ class Tagger:
     def __init__(self) -> None:
         self.weights, self.bias = np.zeros(WEIGHTS, np.float32), -2.0
         self.step, self.first = np.zeros((2, 2)), np.zeros(2)
-        self.known: dict[str, float] = {}
+        self.known: dict[str, int] = {}
+        self.table = np.empty((0, 3))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
-
-    def emission(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = found = float(self.weights[hashed(word)].sum() + self.bias)
-        return found
+        return self.__dict__ | {"known": {}, "table": np.empty((0, 3))}
+
+    def emissions(self, words: list[str], starts: np.ndarray) -> np.ndarray:
+        """Scores of tag 1 for the words of texts laid one after another: of a word itself and of those beside it."""
+        at = list(map(self.known.get, words))
+        new = list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i is None))
+        if new:
+            if len(self.known) > REMEMBERED:  # all go, those of these texts come again
+                self.known, self.table = {}, np.empty((0, 3))
+                new = list(dict.fromkeys(words))
+            own = [hashed(w) for w in new]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            flat = np.fromiter((i for x in own for i in x), np.int64, int(sizes.sum()))
+            near = self.weights[np.array([beside(w) for w in new])].astype(np.float64)
+            score = np.add.reduceat(self.weights[flat].astype(np.float64), np.cumsum(sizes) - sizes) + self.bias
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.table = np.concatenate((self.table, np.column_stack((score, near))))
+            at = list(map(self.known.__getitem__, words))
+        found = self.table[np.array(at, np.int64)]
+        out = found[:, 0].copy()
+        inner = np.ones(len(out), bool)
+        inner[starts[starts < len(out)]] = False
+        inner = np.flatnonzero(inner)
+        out[inner] += found[inner - 1, 1]
+        out[inner - 1] += found[inner, 2]
+        return out
 
     def marginals(self, scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Exact forward-backward probabilities of tag 1, for texts laid one after another.
@@ -111,7 +140,7 @@ class Tagger:
         words = [_word.findall(t) if t else [] for t in many]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
-        p = self.marginals(np.fromiter((self.emission(w) for ws in words for w in ws), np.float64, int(ends[-1]) if len(ends) else 0), ends - sizes)
+        p = self.marginals(self.emissions([w for ws in words for w in ws], ends - sizes), ends - sizes)
         score, spans = [], []
         for text, end, n in zip(many, ends.tolist(), sizes.tolist(), strict=True):
             own = p[end - n : end]
@@ -180,12 +209,14 @@ def labelled(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows_of:
     """A bounded sample of ``(text, y)``: rows in the folds to learn from, chosen by a hash of the id.
 
     The ids are chosen first; they are few whatever the input is, and are broadcast to the documents.
+    An id that repeats gives one of its texts.
     """
     known = labels.where((fold(F.col("id"), folds) != held) & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y"))
     sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     rate: Column = F.when(F.col("y") == 1, rows_of[1] / max(1, sizes.get(1, 0))).otherwise(rows_of[0] / max(1, sizes.get(0, 0)))
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_003)) < rate * 1_000_003)
-    return cut(docs.where("text is not null").join(F.broadcast(chosen), "id").select("text", "y"))
+    found = docs.where("text is not null").join(F.broadcast(chosen), "id").groupBy("id")
+    return cut(found.agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y")).select("text", "y"))
 
 
 def lexicon(sample: DataFrame, share: float, ratio: float) -> set[str]:
@@ -206,8 +237,12 @@ def lexicon(sample: DataFrame, share: float, ratio: float) -> set[str]:
     return {r[0] for r in marks.select("part").collect()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows_of: tuple[int, int] = (CLEAN_ROWS, TOXIC_ROWS), share: float = SHARE, ratio: float = RATIO) -> Tagger:
-    """Fits a tagger on ``docs`` (id, text) and ``labels`` (id, y)."""
+def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows_of: tuple[int, int] = (CLEAN_ROWS, TOXIC_ROWS), share: float = SHARE, ratio: float = RATIO, most: int = SEGMENTS) -> Tagger:
+    """Fits a tagger on ``docs`` (id, text) and ``labels`` (id, y).
+
+    What a word's label follows from is counted on whole texts; the random field is then fitted on ``most``
+    segments of each sampled text, those with marked words first, and so on 128 words of it by default.
+    """
     sample = labelled(docs, labels, folds, held, rows_of)
     marks = lexicon(sample, share, ratio)
 
@@ -218,12 +253,16 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows_of: tu
                 words = _word.findall(text)
                 tags = [int(y == 1 and not marks.isdisjoint(parts(w))) for w in words]
                 starts = sorted(range(0, len(words), SEGMENT), key=lambda k: (not any(tags[k : k + SEGMENT]), xxhash.xxh32_intdigest(" ".join(words[k : k + SEGMENT])), k))
-                for k in starts[:SEGMENTS]:
+                for k in starts[:most]:
                     own = words[k : k + SEGMENT]
                     f, t = np.zeros((SEGMENT, WIDTH), np.int32), np.zeros(SEGMENT, np.int8)
                     for i, w in enumerate(own):
                         h = hashed(w)
                         f[i, : len(h)] = h
+                        if k + i:
+                            f[i, -2] = beside(words[k + i - 1])[0]
+                        if k + i + 1 < len(words):
+                            f[i, -1] = beside(words[k + i + 1])[1]
                     t[: len(own)] = tags[k : k + SEGMENT]
                     out.append((f.tobytes(), t.tobytes(), len(own)))
             if out:
@@ -239,24 +278,24 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows_of: tu
     return tagger
 
 
-def _tagger(docs: DataFrame, labels: DataFrame, folds: int, held: int, id_col: str, text_col: str, label_col: str) -> Tagger:
+def _tagger(docs: DataFrame, labels: DataFrame, folds: int, held: int, id_col: str, text_col: str, label_col: str, most: int = SEGMENTS) -> Tagger:
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return learn(named, labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")), folds, held)
+    return learn(named, labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")), folds, held, most=most)
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = SEGMENTS) -> DataFrame:
     """Toxicity of every row of ``docs``.
 
     Token labels come from ``labels`` (``id_col``, ``label_col``): in a text labelled 1, words with a part
     that marks such texts.  Only rows whose crc32 fold is not ``held`` are learnt from, about
     ``TOXIC_ROWS`` and ``CLEAN_ROWS`` of them.  Rows: ``id_col, held_out, score`` (the largest
-    marginal of the text's words), ``predicted`` (1 at ``threshold`` or more), ``spans`` (offsets
+    marginal of the text's words, which are seen with their parts and the words beside them), ``predicted`` (1 at ``threshold`` or more), ``spans`` (offsets
     of offending runs of words, in characters, end excluded).  Null and empty texts and texts without words
     score 0; without labels of both classes nothing is flagged; ids labelled twice count as toxic if any
     label is; null ids are in fold 0 and unlabelled; repeated rows all come back; an empty table gives no
     rows; other columns are not looked at.
     """
-    tagger = _tagger(docs, labels, folds, held, id_col, text_col, label_col)
+    tagger = _tagger(docs, labels, folds, held, id_col, text_col, label_col, most)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
@@ -268,9 +307,13 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, thr
     return picked.mapInArrow(run, "id long, held_out boolean, score double, predicted int, spans array<struct<from:int,to:int>>").withColumnRenamed("id", id_col)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of ``docs`` that ``score`` does not predict to be toxic, unchanged."""
-    tagger = _tagger(docs, labels, folds, held, id_col, text_col, label_col)
+def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = SEGMENTS) -> DataFrame:
+    """The rows of ``docs`` that ``score`` does not predict to be toxic, unchanged.
+
+    Null and empty texts stay, repeated rows stay or go together; without labels of both classes, and in an
+    empty table, no row goes; columns of any name come back as they are.
+    """
+    tagger = _tagger(docs, labels, folds, held, id_col, text_col, label_col, most)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches, text_col):
