@@ -23,25 +23,36 @@ def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     Where it is known that there are at most ``most_rows`` rows, they are written in files of about
     ``ROWS_A_FILE``, so that few rows do not make a file for each shuffle partition.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder is set.
+    Its files go when nothing refers to them any more.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_dir(df.sparkSession)
     if most_rows is not None:
         df = df.coalesce(max(LEAST_FILES, -(-most_rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share, for files that an operator writes."""
+    """A folder that driver and executors share, for checkpoints and for files that an operator writes.
+
+    It is the one that the cluster names in ``spark.checkpoint.dir``.  Only on a single machine (tests), where that
+    is unset, a temporary folder is set; elsewhere that would be lost with its machine, and is refused.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        place = sc.getConf().get("spark.checkpoint.dir")
+        if not place and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return sc.getCheckpointDir()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key written in decimal, modulo ``n``; a null key falls in fold 0."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(0))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import rows
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pre-tokens of a leaf, and pre-tokens whose counts a worker remembers.
-LEAF, REMEMBERED = 64, 400_000
+#: Pre-tokens of a leaf, pre-tokens whose counts a worker remembers, and the longest of these in characters.
+LEAF, REMEMBERED, LONGEST = 64, 400_000, 256
 #: What the registered query masks: words with a digit or an at sign.
 PRIVATE, MASK = re.compile(r"[^\s]*[0-9@][^\s]*"), "[masked]"
 _counters: dict[str, Counter] = {}
@@ -44,10 +44,15 @@ class Counter:
     def count(self, pieces: list[str]) -> list[int]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
+        known, long = self.known, []
         for p in set(pieces).difference(known):
             known[p] = len(self.encoding.encode_ordinary(p))
-        return list(map(known.__getitem__, pieces))
+            if len(p) > LONGEST:
+                long.append(p)
+        out = list(map(known.__getitem__, pieces))
+        for p in long:
+            del known[p]
+        return out
 
 
 class TokenTree:

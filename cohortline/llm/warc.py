@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, delete, shared_dir
 
 #: Smallest payload that is stored once only, bytes of an archive file (more only for a single record), and leaders that are broadcast.
 LEAST_BYTES, FILE_BYTES, FEW = 1000, 16_000_000, 50_000
@@ -189,6 +189,5 @@ def round_trip(pages: DataFrame, path: str | None = None, least: int = LEAST_BYT
     write_archives(pages, place, least=least, file_bytes=file_bytes)
     records = cut(read_archives(spark, place, payloads=False).drop("payload"))
     if path is None:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(place)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(spark, place)
     return assemble(records).select("page_id", F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), "refers_to")
