@@ -10,12 +10,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, rows
+from .common import cut, fold, rows
 
 #: Buckets that byte trigrams are hashed to, labelled documents per language that the model is fitted
 #: on (expected number), added to each count, and the cost of one more language in units of log(trigrams).
 BUCKETS, PER_LANGUAGE, SMOOTHING, PENALTY = 1 << 16, 600, 0.5, 4.0
 ITERATIONS, NONE = 40, "und"
+#: Languages whose sampling rates are broadcast at most: texts are not shuffled by language.
+MOST_LANGUAGES = 10_000
 #: Shares below this are no share at all; whether small ones stay, the penalised likelihood decides.
 NO_SHARE = 1e-3
 _no_letters = regex.compile(r"\P{L}+")
@@ -32,8 +34,9 @@ def trigrams(text: str | None) -> np.ndarray:
 
 def sample(docs: DataFrame, lang_col: str, per_language: int) -> DataFrame:
     """About ``per_language`` rows of each language, chosen by a hash of the text: the same in every run."""
-    rate = docs.groupBy(F.col(lang_col).alias("_lang")).agg((F.lit(per_language) / F.count(F.lit(1))).alias("_rate"))
-    found = docs.join(rate, F.col(lang_col) == F.col("_lang")).where(F.pmod(F.xxhash64("text", "id"), F.lit(1_000_003)) < F.col("_rate") * 1_000_003)
+    rate = cut(docs.groupBy(F.col(lang_col).alias("_lang")).agg((F.lit(per_language) / F.count(F.lit(1))).alias("_rate")))
+    side = F.broadcast(rate) if rate.count() <= MOST_LANGUAGES else rate
+    found = docs.join(side, F.col(lang_col) == F.col("_lang")).where(F.pmod(F.xxhash64("text", "id"), F.lit(1_000_003)) < F.col("_rate") * 1_000_003)
     return found.drop("_lang", "_rate")
 
 

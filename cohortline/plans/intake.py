@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import dims
+from ..operators import dims, naming
 from ..operators import resolve
 from ..operators.filters import EXPERIENCE_COLUMNS, FilterSpec, apply
 from ..operators.metrics import Metric, query
@@ -338,3 +338,17 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("parse_answer", answers, "select p_partkey, ['spelling', 'new', 'truncation', 'spelling', 'uncertain'][p_size % 5 + 1] as kind, p_size % 5 in (0, 2, 3) as correct, [0.9::double, 0.7::double, 0.85::double, 0.7::double, 0.7::double][p_size % 5 + 1] as confidence from part")
+
+
+def value_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Yearly values as they are shown; a series has few points, which are named one by one."""
+    facts = star.registrations(spark, sf, "year", "net_mass", "fuel_type")
+    out = []
+    for m in (Metric(), Metric("sum", "net_mass"), Metric("coverage", "fuel_type")):
+        out += [(m.kind, r.year, naming.value_text(r.value, m)) for r in query(facts, FilterSpec(), m, YEARS).collect()]
+    return spark.createDataFrame(out, "kind string, year int, label string")
+
+
+add("value_labels", value_labels, f"""with {REG}, v as (select year, count(*) as n, sum(net_mass) as mass, count(fuel_type)::double / count(*) * 100 as share from reg group by year)
+select 'count' as kind, year, format('{{:,}}', n) || ' vehicles' as label from v union all select 'sum', year, case when mass > 10000 then format('{{:.1f}} tonnes', mass / 1000) else format('{{:,}}', cast(floor(mass) as bigint)) || ' kg' end from v
+union all select 'coverage', year, case when share < 0.1 then format('{{:.3f}}%', share) when share < 1 then format('{{:.2f}}%', share) when share < 10 then format('{{:.1f}}%', share) else format('{{:.0f}}%', share) end from v""")

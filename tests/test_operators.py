@@ -140,3 +140,45 @@ def test_names():
     assert naming.percentage_name(spec, ("fuels",)) == "% [Fuel: Electric OR Gasoline] in Count in [Region: Laval]"
     assert [naming.show(x) for x in (3.14159, 1234567, 0.0, 2.5e12, 1500.0)] == ["3.14", "1.23M", "0", "2.50e+12", "1,500"]
     assert FilterSpec(axles=(2,), genders=("F",)).for_licences().axles is None
+
+
+def test_values_and_axes_by_metric():
+    text = naming.value_text
+    assert [text(v, Metric()) for v in (1234.0, 2.0)] == ["1,234 vehicles", "2 vehicles"] and text(5.0, Metric(), "licences") == "5 license holders"
+    assert [text(v, Metric("sum", "net_mass")) for v in (9999.0, 10_001.0)] == ["9,999 kg", "10.0 tonnes"] and text(12_345.0, Metric("sum", "cylinder_count")) == "12,345"
+    assert [text(v, Metric("average", "age")) for v in (0.0432, 0.434, 3.46, 45.4)] == ["0.043", "0.43", "3.5", "45"] and text(1500.7, Metric("median", "net_mass")) == "1,500"
+    assert (text(0.5, Metric("coverage", "fuel_type")), text(1500.0, Metric("missing", "fuel_type")), text(12.3, Metric("percentage"))) == ("0.50%", "1,500 NULL values", "12%")
+    assert [text(v, Metric("wear_sum")) for v in (999.0, 1500.0, 2.5e6, 1.6e18)] == ["999 RWI", "1.50 K RWI", "2.50 M RWI", "1.60e+18 RWI"]
+    assert text(1.05, Metric("wear_average"), normalised=True) == "1.05" and text(12.0, Metric("wear_average"), normalised=True) == "12.00 RWI"
+    assert [naming.axis_label(m) for m in (Metric(), Metric("sum", "net_mass"), Metric("average", "model_year"), Metric("wear_median"))] == ["Number of Vehicles", "Total Vehicle Mass (kg)", "Average Model Year", "Median Road Wear Index (Raw)"]
+
+
+def test_baselines_and_patterns():
+    spec = FilterSpec(years=(2015, 2013, 2014, 2012), mrcs=("66",), regions=("b", "a", "c"), fuels=("L", "E"), makes=("KIA", "BMW", "AUDI"), age_ranges=((0, 5),))
+    base = spec.without("makes")
+    assert naming.baseline_name(base) == "[Electric OR Gasoline] AND [Region: a OR b OR c]"
+    assert naming.baseline_name(FilterSpec(), "licences") == "All License Holders"
+    assert naming.dropped_category(spec, base) == "makes" and naming.dropped_text(spec, "makes") == "AUDI & BMW & Others"
+    assert naming.dropped_text(spec, "regions") == "Regions a & b & c" and naming.dropped_text(spec, None) is None
+    assert naming.dropped_category(spec, spec) is None
+    assert naming.pattern(spec) == "Vehicle • Years: 2012–2015 (4 years) • Regions: a, b... (3 total) • Fuel: E, L • Age ranges: 1"
+    assert naming.pattern(FilterSpec(years=(2020,), age_groups=("75+",)), "licences") == "License • Years: 2020 • Age groups: 75+"
+
+
+def test_saving_refuses_rows_that_clash_among_themselves(spark):
+    schema = "uncurated_make string, uncurated_model string, model_year int, canonical_make string, canonical_model string, fuel_type string, vehicle_type string, record_count bigint, year_start int, year_end int"
+    row = lambda make, to, year=None, kind=None: (make, "m", year, to, "m", None, kind, 1, 2000, 2001)
+    here = spark.createDataFrame([row("A", "B")], schema)
+    with pytest.raises(ValueError):
+        mapping.save(here, spark.createDataFrame([row("C", "D"), row("C", "E", 1999)], schema))
+    with pytest.raises(ValueError):
+        mapping.save(here, spark.createDataFrame([row("A", "Z", 1999)], schema))
+    saved = mapping.save(here, spark.createDataFrame([row("A", "B", None, "x"), row("A", "B", None, "y"), row("C", "D")], schema))
+    assert sorted((r.uncurated_make, r.vehicle_type) for r in saved.collect()) == [("A", "y"), ("C", None)]
+
+
+def test_long_model_lists_are_joined(spark):
+    facts = spark.createDataFrame([(2000, "a", f"m{k}") for k in range(300)], "year int, make string, model string")
+    wanted = tuple(("a", f"m{k}") for k in range(250))
+    assert apply(facts, FilterSpec(models=wanted), Years()).count() == 250
+    assert apply(facts, FilterSpec(models=wanted[:3]), Years()).count() == 3 and apply(facts, FilterSpec(models=()), Years()).count() == 0
