@@ -187,3 +187,43 @@ def test_families_and_kept_results(spark, tmp_path):
     cache.forget(spark, str(tmp_path / "c"), key)
     cache.kept(spark, str(tmp_path / "c"), key, make)
     assert len(made) == 2
+
+
+def test_package_is_taken_in_or_refused(spark, tmp_path):
+    facts = spark.createDataFrame([(2020, "1"), (2022, "2")], "year int, sequence string")
+    package, here = str(tmp_path / "p"), str(tmp_path / "s")
+    store.export_package(spark, {"registrations": facts}, package)
+    assert store.import_package(spark, package, here) == "replace"  # nothing is here
+    assert store.families_in(spark, here) == {"registrations"} and spark.read.parquet(f"{here}/registrations").count() == 2
+    with pytest.raises(ValueError):
+        store.import_package(spark, package, here)
+    with pytest.raises(ValueError):
+        store.import_package(spark, package, here, "merge")
+    assert store.import_package(spark, package, here, "replace") == "replace"
+    facts.limit(1).write.mode("overwrite").parquet(f"{package}/registrations")  # not what the manifest says
+    with pytest.raises(ValueError):
+        store.import_package(spark, package, here, "replace")
+    assert "licences is missing" in store.lacking(spark, here) and "registrations has no make" in store.lacking(spark, here)
+
+
+def test_years_and_tables_are_deleted(spark, tmp_path):
+    facts = spark.createDataFrame([(2020, "1"), (2022, "2")], "year int, sequence string")
+    paths, log = [str(tmp_path / "a"), str(tmp_path / "b")], str(tmp_path / "log")
+    for path in paths:
+        store.write_years(facts, path)
+    for year, bad in ((2020, 0), (2022, 3)):
+        store.log_import(spark, log, "f", year, 1, bad, "licences")
+    store.delete_year(spark, 2020, paths, log)
+    assert [spark.read.parquet(p).count() for p in paths] == [1, 1]
+    assert [(r.year, r.status) for r in spark.read.parquet(log).collect()] == [(2022, "completed_with_errors")]
+    store.delete_all(spark, [*paths, log])
+    assert not any(store.exists(spark, p) for p in [*paths, log])
+
+
+def test_numbers_are_those_of_one_sort(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") % 3).cast("int").alias("g"), F.hash("id").alias("v")).union(spark.createDataFrame([(None, 1), (None, 2)], "g int, v int")).repartition(7)
+    got = readers.numbered(rows, "g", F.col("v"), str(tmp_path / "n")).collect()
+    for g in (0, 1, 2, None):
+        own = sorted((r.v, r._n) for r in got if r.g == g)
+        assert [n for _, n in own] == list(range(1, len(own) + 1)) and own
+    assert len(got) == 5002
