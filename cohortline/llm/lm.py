@@ -19,7 +19,7 @@ BASE, BITS, PROBES = 1.5, 8, 5
 #: Bits of the filter and words with their counts that are broadcast at most; beyond, the probes are sent to the filter.
 MOST_BITS, MOST_WORDS = 1 << 31, 1 << 24
 #: Tokens counted at once, and those of a segment of the n-grams on average.
-FLUSH, PER_SEGMENT = 2_000_000, 1_000_000
+FLUSH, PER_SEGMENT = 1_000_000, 1_000_000
 #: Bits of a segment's number that one exchange deals by, and tokens that a task deals again on average.
 DEALT, PER_TASK = 8, 32_000_000
 #: Classes of words by the logarithm of their count, for the weights of interpolation.

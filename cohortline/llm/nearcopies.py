@@ -139,7 +139,8 @@ def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, crowd:
     of its texts once and a task finds its exact links.  A crowded one is split by hash in parts, each two of
     which meet in a task.
     """
-    keyed = marked.select("fp", F.explode("keys").alias("key")).distinct().select("key", "fp")
+    sets_ = marked.where("n > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))  # copies have the same
+    keyed = sets_.select(F.explode("keys").alias("key"), "fp")
     shared = marked.where("n > 0").groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     loose = cut(close_pairs(keyed, DISTANCE).union(shared.select("fp", "fp")).distinct())
     found = components(loose)

@@ -24,8 +24,8 @@ CAPACITY, END_ID, OPEN_BINS = 2048, 0, 4096
 #: Sequences that a packer makes on average, and pieces that arrive longest first before the next such run.
 SEQUENCES, RUN = 16384, 8192
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers, and the longest such word in characters.
-REMEMBERED, LONGEST = 700_000, 256
+#: Words whose ids a worker remembers in a task and from task to task, and the longest such word in characters.
+REMEMBERED, STAYING, LONGEST = 400_000, 100_000, 256
 #: ASCII punctuation that is cut off the end of a word before the word is looked up.
 TAIL = ".,;:!?|*&%$#"
 _ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
@@ -120,9 +120,10 @@ class Encoder:
                 parts = np.flatnonzero(ids == self.mark)
                 yield np.delete(ids, parts), np.diff(parts, prepend=-1, append=len(ids)) - 1
 
-    def keep(self, most: int) -> None:
-        """Drops all words but the latest ``most`` and, of these, the long ones."""
-        held = [(w, i) for w, i in islice(self.known.items(), max(1, len(self.known) - most), None) if len(w) <= LONGEST]
+    def keep(self, most: int, latest: bool = True) -> None:
+        """Drops all words but the latest ``most``, or the earliest, which are the frequent ones, and, of these, the long ones."""
+        start = max(1, len(self.known) - most) if latest else 1
+        held = [(w, i) for w, i in islice(self.known.items(), start, start + most) if len(w) <= LONGEST]
         rows_ = np.array([0, 1, *(i for _, i in held)])
         self.ids, self.size = self.ids[ragged(self.start[rows_], self.size[rows_])], self.size[rows_]
         self.start = np.cumsum(self.size) - self.size
@@ -185,7 +186,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for b in rows(batches, most_rows=8192, most_bytes=8_000_000):
+        for b in rows(batches, most_rows=4096):
             ids, ends = encoder.encode(b.column(1))
             raw, first = memoryview(ids.tobytes()), 0
             out: list[tuple] = []
@@ -196,6 +197,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
                 first = end
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "piece", "start", "length", "ids_crc32"])
+        encoder.keep(STAYING, latest=False)  # the worker lives on, perhaps for other work
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
