@@ -68,6 +68,7 @@ def rows(batches: Iterable[pa.RecordBatch], text: str = "text", most_rows: int =
                 n //= 2
             yield batch.slice(at, n)
             at += n
+        pa.default_memory_pool().release_unused()
 
 
 def texts(column: pa.Array) -> list[bytes]:
