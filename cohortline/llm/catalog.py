@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, packing, quality, tokencount, topk, toxicity, warc
+from . import decontaminate, langid, lm, packing, quality, rowpattern, tokencount, topk, toxicity, warc
 from .simhash import near_duplicates
 
 
@@ -65,8 +66,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op13_row_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches of a fall and a rise, or several, in each client's clicks."""
+    found = rowpattern.matches(read(spark, sf_dir, "clicks"))
+    return found.select("client_id", "match_no", "first_id", "last_id", "n_rows", "sum_cents", F.sha2("labels", 256).alias("labels_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_decontamination, op3_topk, op4_token_counts, op5_quality, op6_warc, op7_toxicity, op8_packing, op9_lm_scores, op10_language)
+    found = (op1_simhash, op2_decontamination, op3_topk, op4_token_counts, op5_quality, op6_warc, op7_toxicity, op8_packing, op9_lm_scores, op10_language, op13_row_pattern)
     return {f.__name__: f for f in found}
 
 
@@ -110,5 +117,24 @@ from d left join lead using (payload_digest, payload_bytes)
 """
 
 
+OP13_SQL = """
+with r as (select distinct * from clicks where client_id is not null and ts is not null),
+o as (select *, cast(floor(100 * value + 0.5) as bigint) as cents, row_number() over (partition by client_id order by ts, click_id) as k from r),
+l as (select *, lag(cents) over w as before, coalesce(ts - lag(ts) over w <= interval 30 minutes, false) as close from o window w as (partition by client_id order by k)),
+c as (select *, coalesce(kind = 'click', false) as click, case when close and kind <> 'error' then case when cents < before then 'D' when cents > before then 'U' end end as letter from l),
+g as (select *, sum(case when letter is null then 1 else 0 end) over (partition by client_id order by k) as run from c),
+runs as (select client_id, run, min(k) as k0, list(coalesce(letter, '-') order by k) as letters, list(cents order by k) as cents, list(click order by k) as click, list(click_id order by k) as ids from g group by all having len(letters) > 2),
+p as (select client_id, run - 1 as run, cents as p_cents, click_id as p_id from g where letter is null and close and click and cents is not null),
+s as (select runs.*, p_cents, p_id, unnest(range(1, len(letters)::bigint)) as i from runs left join p using (client_id, run)),
+m as (select *, regexp_extract(array_to_string(letters[i + 1:], ''), '^(D+U+)+') as body from s where cents[i] is not null and letters[i + 1] = 'D'),
+e as (select *, i + length(body) as j from m where body <> ''),
+f as (select *, case when j < len(letters) then click[j + 1] and cents[j + 1] >= cents[i] else coalesce(p_cents >= cents[i], false) end as more, j = len(letters) as whole from e)
+select client_id, row_number() over (partition by client_id order by k0 + i) as match_no, ids[i] as first_id, case when more then case when whole then p_id else ids[j + 1] end else ids[j] end as last_id,
+  cast(1 + length(body) + more::int as bigint) as n_rows, cast(list_sum(cents[i:j]) + case when more then case when whole then p_cents else cents[j + 1] end else 0 end as bigint) as sum_cents,
+  sha256('A' || body || case when more then 'P' else '' end) as labels_sha256
+from f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op2_decontamination": OP2_SQL, "op6_warc": OP6_SQL}
+    return {"op3_topk": OP3_SQL, "op2_decontamination": OP2_SQL, "op6_warc": OP6_SQL, "op13_row_pattern": OP13_SQL}
