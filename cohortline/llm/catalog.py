@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, packing, quality, rowpattern, tokencount, topk, toxicity, warc
+from . import decontaminate, langid, lm, ngramjoin, packing, quality, rowpattern, tokencount, topk, toxicity, warc
 from .simhash import near_duplicates
 
 
@@ -66,6 +66,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents linked by a Jaccard of 0.85 or more of their four-word shingles."""
+    return ngramjoin.classes(read(spark, sf_dir, "documents"))
+
+
 def op13_row_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All matches of a fall and a rise, or several, in each client's clicks."""
     found = rowpattern.matches(read(spark, sf_dir, "clicks"))
@@ -73,7 +78,7 @@ def op13_row_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_decontamination, op3_topk, op4_token_counts, op5_quality, op6_warc, op7_toxicity, op8_packing, op9_lm_scores, op10_language, op13_row_pattern)
+    found = (op1_simhash, op2_decontamination, op3_topk, op4_token_counts, op5_quality, op6_warc, op7_toxicity, op8_packing, op9_lm_scores, op10_language, op12_ngram_join, op13_row_pattern)
     return {f.__name__: f for f in found}
 
 
@@ -117,6 +122,17 @@ from d left join lead using (payload_digest, payload_bytes)
 """
 
 
+OP12_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select d.doc_id, count(g) as n from documents d left join s using (doc_id) group by d.doc_id),
+e as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  where 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r as (select doc_id, doc_id as other from n union select r.doc_id, e.b from r join e on r.other = e.a)
+select doc_id, n as n_shingles, component_id from n join (select doc_id, min(other) as component_id from r group by doc_id) using (doc_id)
+"""
+
+
 OP13_SQL = """
 with r as (select distinct * from clicks where client_id is not null and ts is not null),
 o as (select *, cast(floor(100 * value + 0.5) as bigint) as cents, row_number() over (partition by client_id order by ts, click_id) as k from r),
@@ -137,4 +153,4 @@ from f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op2_decontamination": OP2_SQL, "op6_warc": OP6_SQL, "op13_row_pattern": OP13_SQL}
+    return {"op3_topk": OP3_SQL, "op2_decontamination": OP2_SQL, "op6_warc": OP6_SQL, "op12_ngram_join": OP12_SQL, "op13_row_pattern": OP13_SQL}

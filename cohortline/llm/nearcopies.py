@@ -32,15 +32,15 @@ _TIMES = np.uint64(0xD6E8FEB86659FD93)
 _FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted hashes of the distinct runs of five words; of the whole sequence for fewer words, none without words.
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted hashes of the distinct runs of ``width`` words; of the whole sequence for fewer words, none without words.
 
     A-Z are lowered, words are runs of bytes other than ASCII white space.
     """
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h, width = hashes(words), min(WIDTH, len(words))
+    h, width = hashes(words), min(width, len(words))
     n = len(h) - width + 1
     x = mixed(h[:n] + np.uint64(width))
     for k in range(1, width):
