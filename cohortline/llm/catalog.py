@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, ngramjoin, packing, quality, rowpattern, tokencount, topk, toxicity, warc
+from . import alignment, decontaminate, langid, lm, ngramjoin, packing, quality, rowpattern, tokencount, topk, toxicity, warc
 from .simhash import near_duplicates
 
 
@@ -66,6 +66,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in all documents."""
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents linked by a Jaccard of 0.85 or more of their four-word shingles."""
     return ngramjoin.classes(read(spark, sf_dir, "documents"))
@@ -78,7 +83,7 @@ def op13_row_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_decontamination, op3_topk, op4_token_counts, op5_quality, op6_warc, op7_toxicity, op8_packing, op9_lm_scores, op10_language, op12_ngram_join, op13_row_pattern)
+    found = (op1_simhash, op2_decontamination, op3_topk, op4_token_counts, op5_quality, op6_warc, op7_toxicity, op8_packing, op9_lm_scores, op10_language, op11_alignment, op12_ngram_join, op13_row_pattern)
     return {f.__name__: f for f in found}
 
 
