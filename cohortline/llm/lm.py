@@ -22,8 +22,11 @@ MOST_BITS, MOST_WORDS = 1 << 31, 1 << 24
 FLUSH, PER_SEGMENT = 1_000_000, 1_000_000
 #: Bits of a segment's number that one exchange deals by, and tokens that a task deals again on average.
 DEALT, PER_TASK = 8, 32_000_000
-#: Classes of words by the logarithm of their count, for the weights of interpolation.
-CLASSES, LEAST, LARGEST = 21, 1e-3, 0.95
+#: A word with at least this share of all tokens is known to all tasks: there are at most as many of them as its inverse.
+HOT, LEAST_HOT = 1 << 20, 8
+#: Classes of words, which a pair's key holds in its last bits: 0 for those that are not hot, then one for each doubling of
+#: the count.  The least and the largest weight of pairs after words of a class, and bins of the counts of class 0.
+CLASSES, LEAST, LARGEST, BINS = 32, 1e-3, 0.95, 256
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LOWEST = np.unique(np.ceil(BASE ** np.arange(0, 100)).clip(max=2**62).astype(np.int64))  # the count of each level
 VALUE = np.concatenate(([0], LOWEST))
@@ -45,9 +48,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The hash of two words in a row."""
-    return mixed(before * np.uint64(0xD6E8FEB86659FD93) + word)
+def pairs(before: np.ndarray, word: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The hash of two words in a row, with the class of the first one in its last bits."""
+    return mixed(before * np.uint64(0xD6E8FEB86659FD93) + word) & np.uint64(-CLASSES % (1 << 64)) | kind.astype(np.uint64)
 
 
 def chain(many: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,13 +132,20 @@ def counts_of(keys: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndar
 
 @dataclass
 class Model:
-    """Totals and weights, and, where they are few enough to be broadcast, the words' counts and the filter."""
+    """Totals, weights and the hot words, and, where they are few enough to be broadcast, all words' counts and the filter.
+
+    ``least`` is the lowest count of a hot word, ``prior`` the weight of single words after the others, in tokens.
+    """
 
     total: int
     distinct: int
     texts: int
-    weights: np.ndarray
+    least: int
+    hot: tuple[np.ndarray, np.ndarray]
     power: int
+    prior: float = 1.0
+    weights: np.ndarray | None = None
+    hot_pairs: tuple[np.ndarray, np.ndarray] | None = None
     words: np.ndarray | None = None
     times: np.ndarray | None = None
     bounds: np.ndarray | None = None
@@ -157,7 +167,7 @@ class Model:
         """
         alone = (c + 0.1) / (self.total + 0.1 * (self.distinct + 1))
         after = np.divide(np.minimum(both, np.minimum(c, u)), u, out=np.zeros(len(u)), where=u > 0)
-        w = np.where(u > 0, self.weights[classes(u)], 0.0)
+        w = np.where(u < self.least, u / (u + self.prior), self.weights[classes(u, self.least)])
         return alone, w * after + (1 - w) * alone
 
     def score(self, many: list[bytes], times_of: Callable[[np.ndarray], np.ndarray], value_of: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -171,43 +181,44 @@ class Model:
         u[before == START] = self.texts
         both = np.zeros(len(word), np.int64)
         may = np.flatnonzero((c > 0) & (u > 0))
-        key, at = np.unique(pairs(before[may], word[may]), return_inverse=True)
+        key, at = np.unique(pairs(before[may], word[may], classes(u[may], self.least)), return_inverse=True)
         both[may] = value_of(key)[at]
         alone, mix = self.probability(c, u, both)
         n = len(sizes)
         return sizes, np.bincount(of, c > 0, n).astype(np.int64), np.bincount(of, np.log10(alone), n), np.bincount(of, np.log10(mix), n)
 
 
-def classes(u: np.ndarray) -> np.ndarray:
-    """The class of a count: 0 for 0 and 1, then one for each power of two."""
-    return np.clip(np.frexp(u)[1] - 1, 0, CLASSES - 1)
+def classes(u: np.ndarray, least: int) -> np.ndarray:
+    """The class of a word's count: 0 below ``least``, then one for each doubling."""
+    return np.where(u < least, 0, np.frexp(np.maximum(u, least) // least)[1]).clip(0, CLASSES - 1)
 
 
-def followed(before: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted pairs with their counts, and by class of the word before: tokens, and those whose pair comes once."""
-    order = np.argsort(key)
-    key, before = key[order], before[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    n = np.diff(np.append(first, len(key)))
-    words, times = np.unique(before, return_counts=True)
-    kind = classes(times)
-    single = before[first[n == 1]]
-    alone = np.bincount(kind[np.searchsorted(words, single)], minlength=CLASSES)
-    return key[first], n, np.bincount(kind, times, CLASSES).astype(np.int64), alone
+def binned(n: np.ndarray, least: int) -> np.ndarray:
+    """The bin of a count below ``least``: one for each count, or as many as there are bins."""
+    return n if least <= BINS else np.ceil(n * ((BINS - 1) / least)).astype(np.int64)
 
 
-def weights(tokens_: np.ndarray, single: np.ndarray) -> np.ndarray:
-    """By Good and Turing: of the tokens after words of a class, the share whose pair is seen again.
+def prior(words: np.ndarray, tokens_: np.ndarray, single: int) -> float:
+    """How many tokens of a rare word's own distribution the one of single tokens stands for beside those seen after it.
 
-    Words seen once, of which this tells nothing, and classes without words take the weight of the next class with any.
+    By Good and Turing a new pair comes as often as there are pairs that were seen once.  The prior ``k`` is such
+    that the shares ``k / (u + k)`` of the tokens after words seen ``u`` times make as many.  ``words`` and ``tokens_``
+    are the numbers of words and of their tokens in each bin of counts; all are sums over the whole corpus.
     """
-    out, last = np.full(CLASSES, np.nan), np.nan
-    for k in range(CLASSES - 1, -1, -1):
-        if tokens_[k] and k:
-            last = 1 - single[k] / tokens_[k]
-        out[k] = last
-    known = out[~np.isnan(out)]
-    return np.where(np.isnan(out), known[-1] if len(known) else 0.3, out).clip(LEAST, LARGEST)
+    some = words > 0
+    if not some.any():
+        return 1.0
+    u, n = tokens_[some] / words[some], tokens_[some]
+    low, high = 1e-3, 1e6
+    for _ in range(200):
+        k = (low * high) ** 0.5
+        low, high = (k, high) if (n * k / (u + k)).sum() < single else (low, k)
+    return float(low)
+
+
+def weights(tokens_: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """By Good and Turing: of the tokens after hot words of a class, the share whose pair is seen again."""
+    return (1 - np.divide(single, tokens_, out=np.ones(CLASSES), where=tokens_ > 0)).clip(LEAST, LARGEST)
 
 
 SENT = "segment int, kind int, keys binary, n binary"
@@ -234,29 +245,26 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
 
-def gather(power: int) -> Callable:
-    """Counts the words and pairs of texts in flushes of bounded size; the row of kind 2 holds what ``weights`` needs."""
+def gather(power: int, kind_of: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Callable:
+    """Counts the words of texts in flushes of bounded size; their pairs, where ``kind_of`` gives the classes of tokens."""
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]], number: int) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         word, before = (np.concatenate(x) for x in zip(*held, strict=True))
-        yield blobs(0, *np.unique(mixed(word), return_counts=True), power)
-        keys, n, after, single = followed(before, pairs(before, word))
-        yield blobs(1, keys, n, power)
-        any_ = number % (1 << power)  # any segment may hold these sums
-        yield pa.record_batch([pa.array([any_], pa.int32()), pa.array([2], pa.int32()), pa.array([after.astype("<i8").tobytes()], pa.binary()), pa.array([single.astype("<i8").tobytes()], pa.binary())], names=["segment", "kind", "keys", "n"])
+        keys = mixed(word) if kind_of is None else pairs(before, word, kind_of(before))
+        return blobs(int(kind_of is not None), *np.unique(keys, return_counts=True), power)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        n, number = 0, TaskContext.get().partitionId()
+        n = 0
         for b in rows(batches):
-            word, before, sizes = chain(texts(b.column(0)))
+            word, before, _ = chain(texts(b.column(0)))
             held.append((word, before))
             n += len(word)
             if n >= FLUSH:
-                yield from flush(held, number)
-                held, n, number = [], 0, number + 7919
+                yield flush(held)
+                held, n = [], 0
         if n:
-            yield from flush(held, number)
+            yield flush(held)
 
     return run
 
@@ -281,9 +289,6 @@ def deal(old: int, power: int) -> Callable:
         for b in batches:
             for i in range(b.num_rows):
                 at, kind, keys, c = (x[i].as_py() for x in b.columns)
-                if kind == 2:
-                    yield pa.record_batch([pa.array([at << (power - old)], pa.int32()), pa.array([2], pa.int32()), pa.array([keys]), pa.array([c])], names=b.schema.names)
-                    continue
                 if n and (at != segment or n >= FLUSH):
                     yield from flush()
                     n = 0
@@ -295,54 +300,115 @@ def deal(old: int, power: int) -> Callable:
     return run
 
 
-MADE = "segment int, bits binary, words binary, times binary, distinct long, total long, after array<long>, single array<long>"
+WORDS = "segment int, words binary, times binary, distinct long, total long, of_class array<long>, seen array<long>, seen_tokens array<long>, hot binary, hot_n binary"
+PAIRS = "segment int, bits binary, single array<long>, hot_pair binary, hot_pair_n binary"
+
+
+def row(values: tuple, schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": _long}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table([pa.array([v.astype("<u8").tobytes() if k == "binary" and isinstance(v, np.ndarray) else v.tolist() if k == "array<long>" else v], kinds[k]) for v, (_, k) in zip(values, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return summed([unpacked(k.as_py(), n.as_py()) for k, n in zip(table["keys"], table["n"], strict=True)])
+
+
+def merge_words(table: pa.Table, least: int) -> pa.Table:
+    """One row for the rows of a segment: its words' exact counts, sums by class, those of class 0 by bin, and its hot words."""
+    word, times = gathered(table)
+    kind, many = classes(times, least), times >= least
+    rare = binned(times[~many], least)
+    of_class, seen, seen_tokens = np.bincount(kind, times, CLASSES), np.bincount(rare, minlength=BINS), np.bincount(rare, times[~many], BINS)
+    return row((table["segment"][0].as_py(), word, times, len(word), int(times.sum()), of_class.astype(np.int64), seen, seen_tokens.astype(np.int64), word[many], times[many]), WORDS)
+
+
+def merge_pairs(table: pa.Table, bits: int, least: int) -> pa.Table:
+    """One row for the rows of a segment: the filter of its pairs, those that come once by class, and what the filter says of hot ones."""
+    pair, n = gathered(table)
+    raw, many = filter_of(pair, quantised(pair, n), bits), pair[n >= least]
+    single = np.bincount((pair[n == 1] & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+    told = VALUE[levels(many, np.zeros(len(many), np.uint64), np.full(len(many), len(raw) * 8, np.uint64), np.frombuffer(raw, np.uint8))]
+    return row((table["segment"][0].as_py(), raw, single, many, told), PAIRS)
+
+
+def total_of(made: DataFrame, column: str) -> np.ndarray:
+    """The sums of an array column, element by element: a row for each class or bin goes to the driver."""
+    out = np.zeros(max(CLASSES, BINS), np.int64)
+    for r in made.select(F.posexplode(column).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r.k] = r.v
+    return out
+
+
+def sorted_arrays(made: DataFrame, keys: str, n: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers of all segments on the driver, sorted by key."""
+    held = [(bytes(k), bytes(v)) for k, v in made.select(keys, n).toLocalIterator()]
+    key, value = (np.frombuffer(b"".join(x), "<u8") for x in (zip(*held, strict=True) if held else (b"", b"")))
+    order = np.argsort(key)
+    return key[order], value[order]
 
 
-def merge(table: pa.Table, bits: int) -> pa.Table:
-    """One row for the rows of a segment: the filter of its pairs, its words' exact counts, and sums."""
-    kinds = table["kind"].to_numpy()
-    keys, n = table["keys"].to_pylist(), table["n"].to_pylist()
-    (word, times), (pair, pair_n) = (summed([unpacked(keys[i], n[i]) for i in np.flatnonzero(kinds == k)]) for k in (0, 1))
-    after, single = (sum((np.frombuffer(c[i], "<i8") for i in np.flatnonzero(kinds == 2)), np.zeros(CLASSES, np.int64)) for c in (keys, n))
-    row = (table["segment"][0].as_py(), filter_of(pair, quantised(pair, pair_n), bits), word.tobytes(), times.astype("<u8").tobytes(), len(word), int(times.sum()), after.tolist(), single.tolist())
-    kinds_ = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), _long, _long)
-    return pa.table([pa.array([x], t) for x, t in zip(row, kinds_, strict=True)], names=["segment", "bits", "words", "times", "distinct", "total", "after", "single"])
+def dealt(train: DataFrame, size: int, power: int, kind_of: Callable | None = None) -> DataFrame:
+    """Rows of keys and counts by segment of ``power`` bits, by as many exchanges as it takes."""
+    old = min(power, DEALT)
+    sent = train.select("text").mapInArrow(gather(old, kind_of), SENT)
+    while old < power:
+        new = min(power, old + DEALT)
+        tasks = max(2, -(-size // (6 * PER_TASK)))
+        spread = F.pmod(F.xxhash64("keys"), F.lit(max(1, -(-tasks // (1 << old)))))  # a segment of very many rows is shared by tasks
+        sent = sent.repartition(tasks, "segment", spread).sortWithinPartitions("segment").mapInArrow(deal(old, new), SENT)
+        old = new
+    return sent
 
 
 def count(train: DataFrame, most_bits: int = MOST_BITS, most_words: int = MOST_WORDS, bits_a_level: int = BITS) -> tuple[DataFrame, Model]:
-    """Counts words and pairs of the rows ``text``: the merged segments, and the model (with all of them, if they are few enough).
+    """Counts words, and then pairs, of the rows ``text``: the merged segments, and the model (with all of them, if they are few enough).
 
     Each task sums its tokens in flushes of bounded size, cuts the sorted hashes in at most ``2^DEALT``
     segments and sends a row for each, so that the rows are in proportion to the tokens.  A segment
     holds about ``PER_SEGMENT`` tokens however large the corpus is; where there are more than ``2^DEALT`` of
     them, the rows are dealt again by the next bits, in as many exchanges as it takes, and summed at each.
+    The hot words are known to all tasks when pairs are counted, so that a pair's key holds the class of its first
+    word, by which the pairs that come once in all rows are counted.
     """
     size, texts_ = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     power = max(0, int(np.ceil(np.log2(max(1, size / 6 / PER_SEGMENT)))))
-    old = min(power, DEALT)
-    sent = train.select("text").mapInArrow(gather(old), SENT)
-    while old < power:
-        new = min(power, old + DEALT)
-        tasks = max(2, -(-size // (6 * PER_TASK)))
-        spread = F.pmod(F.xxhash64("keys"), F.lit(max(1, -(-tasks // (1 << old)))))  # a segment of very many rows is shared by tasks
-        sent = sent.repartition(tasks, "segment", spread).sortWithinPartitions("segment").mapInArrow(deal(old, new), SENT)
-        old = new
-    made = cut(sent.groupBy("segment").applyInArrow(lambda table: merge(table, bits_a_level), MADE))
-    sums = [F.sum(F.get(c, F.lit(k))) for c in ("after", "single") for k in range(CLASSES)]
-    total, distinct, bytes_, *seen = (x or 0 for x in made.agg(F.sum("total"), F.sum("distinct"), F.sum(F.octet_length("bits")), *sums).first())
-    model = Model(total, distinct, texts_, weights(np.array(seen[:CLASSES]), np.array(seen[CLASSES:])), power)
+    least = max(LEAST_HOT, (size // 2 + 2 * texts_) // HOT)  # of the tokens at most: each takes two bytes, but for the end of a text
+    by_word = cut(dealt(train, size, power).groupBy("segment").applyInArrow(lambda table: merge_words(table, least), WORDS))
+    total, distinct = (x or 0 for x in by_word.agg(F.sum("total"), F.sum("distinct")).first())
+    model = Model(total, distinct, texts_, least, sorted_arrays(by_word, "hot", "hot_n"), power)
+    sent = train.sparkSession.sparkContext.broadcast(model)
+
+    def kind_of(before: np.ndarray) -> np.ndarray:
+        return class_of(before, sent.value)
+
+    by_pair = cut(dealt(train, size, power, kind_of).groupBy("segment").applyInArrow(lambda table: merge_pairs(table, bits_a_level, least), PAIRS))
+    single, of_class = total_of(by_pair, "single"), total_of(by_word, "of_class")
+    model.weights = weights(of_class[:CLASSES], single[:CLASSES])
+    model.prior = prior(total_of(by_word, "seen"), total_of(by_word, "seen_tokens"), single[0])
+    bytes_ = by_pair.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
     if distinct <= most_words and bytes_ * 8 <= most_bits:
         words, times, bits = {}, {}, {}
-        for r in made.select("segment", "words", "times", "bits").toLocalIterator():
-            words[r.segment], times[r.segment], bits[r.segment] = bytes(r.words), bytes(r.times), bytes(r.bits)
-        order = sorted(words)
+        for r in by_word.select("segment", "words", "times").toLocalIterator():
+            words[r.segment], times[r.segment] = bytes(r.words), bytes(r.times)
+        for r in by_pair.select("segment", "bits").toLocalIterator():
+            bits[r.segment] = bytes(r.bits)
+        order, by_bits = sorted(words), sorted(bits)
         bounds = np.zeros((1 << power) + 1, np.uint64)
-        bounds[[k + 1 for k in order]] = [len(bits[k]) * 8 for k in order]
+        bounds[[k + 1 for k in by_bits]] = [len(bits[k]) * 8 for k in by_bits]
         model.words, model.times = (np.frombuffer(b"".join(x.pop(k) for k in order), "<u8") for x in (words, times))
         if model.times.max(initial=0) < 1 << 32:
             model.times = model.times.astype("<u4")
-        model.bounds, model.bits = np.cumsum(bounds), np.frombuffer(b"".join(bits.pop(k) for k in order), np.uint8)
-    return made, model
+        model.bounds, model.bits = np.cumsum(bounds), np.frombuffer(b"".join(bits.pop(k) for k in by_bits), np.uint8)
+    return by_word.unionByName(by_pair, allowMissingColumns=True), model
+
+
+def class_of(before: np.ndarray, model: Model) -> np.ndarray:
+    """Classes of tokens by the hot words alone; before the first token of a text there is its start, which comes once a text."""
+    known, at = np.unique(before, return_inverse=True)
+    u = counts_of(mixed(known), *model.hot)
+    u[known == START] = model.texts
+    return classes(u, model.least)[at]
 
 
 SCORED = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -358,8 +424,19 @@ def routed(picked: DataFrame, made: DataFrame, model: Model) -> DataFrame:
 
     Rows are cut in slices of bounded text.  A slice asks for each of its words and pairs once; a
     segment answers what it has; the answers of a slice meet its texts.  All is in proportion to the
-    input, and results are those of the broadcast model.
+    input, and results are those of the broadcast model.  The few keys that many slices would ask for, those with a
+    share of one in ``HOT`` of all tokens or more, are broadcast and not asked for.
     """
+    model.hot_pairs = sorted_arrays(made.where("hot_pair is not null"), "hot_pair", "hot_pair_n")
+    sent_model = picked.sparkSession.sparkContext.broadcast(model)
+
+    def hot(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        return sent_model.value.hot_pairs if kind else sent_model.value.hot
+
+    def unknown(keys: np.ndarray, kind: int) -> np.ndarray:
+        """The keys that are not hot."""
+        return keys[counts_of(keys, *hot(kind)) == 0]
+
     schema = "id long, text string, held_out boolean, slice long"
 
     def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +449,7 @@ def routed(picked: DataFrame, made: DataFrame, model: Model) -> DataFrame:
         for b in rows(batches):
             for slice_ in np.unique(b.column(3).to_numpy()).tolist():
                 word, before, _ = chain(texts(b.column(1).filter(pa.array(b.column(3).to_numpy() == slice_))))
-                found = [np.unique(mixed(word)), np.unique(pairs(before, word))]
+                found = [unknown(np.unique(mixed(word)), 0), unknown(np.unique(pairs(before, word, class_of(before, sent_model.value))), 1)]
                 key = np.concatenate(found)
                 kind = np.repeat([0, 1], [len(x) for x in found])
                 yield pa.record_batch([pa.array(segment_of(key, model.power), pa.int32()), pa.array(np.full(len(key), slice_)), pa.array(kind, pa.int32()), pa.array(key.view(np.int64))], names=["segment", "slice", "kind", "key"])
@@ -383,10 +460,11 @@ def routed(picked: DataFrame, made: DataFrame, model: Model) -> DataFrame:
         out = asked.select(names[:3])
         key, kind = asked["key"].to_numpy().view(np.uint64), asked["kind"].to_numpy()
         n = np.zeros(len(key), np.int64)
-        if own.num_rows:
-            one, two = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-            n[one] = counts_of(key[one], *(np.frombuffer(own[c][0].as_py(), "<u8") for c in ("words", "times")))
-            bits = np.frombuffer(own["bits"][0].as_py(), np.uint8)
+        words, times, bits = (next((x for x in own[c].to_pylist() if x is not None), b"") for c in ("words", "times", "bits"))
+        one, two = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        n[one] = counts_of(key[one], np.frombuffer(words, "<u8"), np.frombuffer(times, "<u8"))
+        if bits:
+            bits = np.frombuffer(bits, np.uint8)
             n[two] = VALUE[levels(key[two], np.zeros(len(two), np.uint64), np.full(len(two), len(bits) * 8, np.uint64), bits)]
         return out.append_column("n", pa.array(n)).filter(pa.array(n > 0))
 
@@ -398,11 +476,12 @@ def routed(picked: DataFrame, made: DataFrame, model: Model) -> DataFrame:
             order = order[np.argsort(key[order].view(np.uint64))]
             known, times = key[order].view(np.uint64), n[order]
             new = np.concatenate(([True], known[1:] != known[:-1])) if len(known) else np.empty(0, bool)
-            return lambda keys: counts_of(keys, known[new], times[new])
+            return lambda keys: counts_of(keys, *hot(k)) + counts_of(keys, known[new], times[new])
 
+        own = sent_model.value
         if not texts_.num_rows:
-            return pa.table(scored(pa.record_batch([pa.array([], f.type) for f in texts_.schema], schema=texts_.schema), model, of(0), of(1)))
-        return pa.Table.from_batches([scored(b, model, of(0), of(1)) for b in texts_.combine_chunks().to_batches()])
+            return pa.table(scored(pa.record_batch([pa.array([], f.type) for f in texts_.schema], schema=texts_.schema), own, of(0), of(1)))
+        return pa.Table.from_batches([scored(b, own, of(0), of(1)) for b in texts_.combine_chunks().to_batches()])
 
     parts = cut(picked.mapInArrow(sliced, schema))
     asked = parts.mapInArrow(ask, "segment int, slice long, kind int, key long")
@@ -415,7 +494,8 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, most_bits: int = MOST
 
     The model interpolates pairs of words with words.  Counts are those of all training rows: of words exact, of
     pairs as levels of a geometric scale in one Bloom filter, read by probing level after level until one
-    is missing.  The weights follow from how often pairs come once.
+    is missing.  The weights follow from how many pairs come once in all training rows, by class of the first word.
+    Scores depend on the rows alone, not on how they lie in files.
     Rows: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score`` (exact, with
     add-0.1 smoothing of single tokens), ``score`` (log10 probability by the model, never above 0).  A
     null text is empty: it has its end token only.  Repeated rows all come back; null ids are in fold 0; an

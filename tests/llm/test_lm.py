@@ -53,17 +53,18 @@ def model_scores(rows):
     words, seen = Counter(w for t in train for w in t), Counter()
     seen.update((u, v) for t in train for u, v in zip(["<s>", *t], t, strict=False))
     times = Counter({"<s>": len(train)}) + words
+    least = max(8, (sum(len((t or "").encode()) for i, t in rows if zlib.crc32(str(i).encode()) % 10 != 0) // 2 + 2 * len(train)) // lm.HOT)
+    kind = lambda n: 0 if n < least else (n // least).bit_length()
     after, single = Counter(), Counter()
     for u in times.keys() - {END}:  # nothing follows the end
-        after[min(20, times[u].bit_length() - 1)] += times[u]
+        after[kind(times[u])] += times[u]
     for (u, _), n in seen.items():
-        single[min(20, times[u].bit_length() - 1)] += n == 1
-    weight, last = {}, None
-    for k in range(20, -1, -1):
-        last = 1 - single[k] / after[k] if after[k] and k else last
-        weight[k] = last
-    low = [w for w in weight.values() if w is not None]
-    weight = {k: min(0.95, max(1e-3, (low[0] if low else 0.3) if w is None else w)) for k, w in weight.items()}
+        single[kind(times[u])] += n == 1
+    low, high = 1e-3, 1e6
+    for _ in range(200):  # after rare words new pairs come as often as pairs that were seen once
+        k = math.sqrt(low * high)
+        low, high = (k, high) if sum(n * k / (n + k) for u, n in times.items() if u != END and n < least) < single[0] else (low, k)
+    k = low if any(n < least for u, n in times.items() if u != END) else 1.0
     h = {w: np.uint64(xxhash.xxh64_intdigest(w.encode())) for w in times} | {"<s>": lm.START, END: lm.END}
     n, v = sum(words.values()), len(words)
 
@@ -73,9 +74,9 @@ def model_scores(rows):
             return alone
         both = 0
         if seen[u, w]:
-            key = lm.pairs(np.array([h[u]]), np.array([h[w]]))
+            key = lm.pairs(np.array([h[u]]), np.array([h[w]]), np.array([kind(times[u])]))
             both = min(int(lm.VALUE[lm.quantised(key, np.array([seen[u, w]]))[0]]), times[u], words[w])
-        x = weight[min(20, times[u].bit_length() - 1)]
+        x = times[u] / (times[u] + k) if times[u] < least else min(0.95, max(1e-3, 1 - single[kind(times[u])] / after[kind(times[u])]))
         return x * both / times[u] + (1 - x) * alone
 
     return [(i, sum(math.log10(probability(u, w)) for u, w in zip(["<s>", *tokens(t)], tokens(t), strict=False))) for i, t in rows], probability, times, words
@@ -90,7 +91,7 @@ def small_corpus():
 def test_score_against_the_definition(spark):
     rows = small_corpus() + [(1000, "never w1 seen w2"), (1001, "w1 w2"), (1001, "w1 w2")]
     want, probability, times, words = model_scores(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # one flush
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     made, model = lm.count(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0").select("text"), bits_a_level=80)  # a filter that hardly errs
     got = {i: s for (i, t) in rows for s in model.score([t.encode()], model.times_of, model.value_of)[3].tolist()}
     for i, s in want:
@@ -101,6 +102,44 @@ def test_score_against_the_definition(spark):
     assert sum(probability("unknown", w) for w in [*words, "unknown"]) == pytest.approx(1, rel=1e-12)
 
 
+@pytest.mark.parametrize("routed", [False, True])
+def test_scores_do_not_depend_on_how_rows_lie(spark, sf_dir, monkeypatch, routed):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(80).collect()]
+    found = []
+    for parts, flush in ((1, 1_000_000), (8, 3_000), (64, 500)):
+        monkeypatch.setattr(lm, "FLUSH", flush)
+        df = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), most_words=0 if routed else lm.MOST_WORDS)
+        found.append(sorted((r.doc_id, r.base_score, r.score) for r in df.collect()))
+    assert np.allclose(found[0], found[1], rtol=1e-9) and np.allclose(found[0], found[2], rtol=1e-9)
+
+
+def test_prior_makes_as_many_new_pairs_as_come_once():
+    rng = np.random.default_rng(1)
+    times = rng.zipf(1.5, 5000).clip(max=10**9)
+    times = times[times < 200]
+    k = lm.prior(np.bincount(lm.binned(times, 200), minlength=lm.BINS), np.bincount(lm.binned(times, 200), times, lm.BINS), 4000)
+    assert (times * k / (times + k)).sum() == pytest.approx(4000, rel=1e-6)
+    assert lm.binned(np.array([1, 99_999]), 100_000).tolist() == [1, lm.BINS - 1]
+    assert lm.classes(np.array([0, 9, 10, 19, 20, 39, 40, 10**12]), 10).tolist() == [0, 0, 1, 1, 2, 2, 3, lm.CLASSES - 1]
+
+
+def test_hot_keys_are_not_asked_for(spark, monkeypatch):
+    """Every text has the same words: a segment gets no row of them."""
+    asked = []
+    group = type(spark.range(1)).groupBy
+    monkeypatch.setattr(type(spark.range(1)), "groupBy", lambda self, *c: (asked.append(self) if c == ("segment",) and "slice" in self.columns else None, group(self, *c))[1])
+    monkeypatch.setattr(lm, "LEAST_HOT", 40)
+    docs = spark.createDataFrame([(i, f"the same words again {i}") for i in range(600)], "doc_id long, text string").repartition(40)
+    want = sorted(map(tuple, lm.score(docs).collect()))
+    got = sorted(map(tuple, lm.score(docs, most_words=0).collect()))
+    assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-12)
+    assert asked and asked[0].groupBy("kind", "key").count().agg({"count": "max"}).first()[0] <= 2
+    monkeypatch.setattr(lm, "LEAST_HOT", 10_000)  # nothing is hot: all slices ask for the same words
+    asked.clear()
+    lm.score(docs, most_words=0).collect()
+    assert asked[0].groupBy("kind", "key").count().agg({"count": "max"}).first()[0] >= 40
+
+
 def test_exactly_one_where_no_count_is_rounded(spark):
     rows = [(i, "a b c d" if i % 2 else "b a d") for i in range(3)]
     _, probability, times, words = model_scores(rows)
