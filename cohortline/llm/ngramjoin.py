@@ -16,7 +16,7 @@ from .nearcopies import shingles, side
 
 WIDTH, LEAST = 4, 85
 #: Tokens that a task compares with each other before it sends what is left.
-FLUSH = 1_000_000
+FLUSH = 600_000
 #: Texts and shingles of candidates that one task compares with each other at most, unless two parts are longer.
 CROWD, MOST_SHINGLES = 4096, 4_000_000
 _SECOND = np.uint64(0x94D049BB133111EB)
@@ -51,10 +51,11 @@ def picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def met(flush: int = FLUSH) -> Callable:
-    """From rows ``(node, tokens)`` of different nodes: what a task knows of its own tokens, and what others have to tell.
+    """From rows ``(node, tokens)`` of different nodes, numbers of 0 or more: what a task knows of its own tokens, and what others have to tell.
 
-    Tokens that several of the task's sets have are counted here (``c`` below 0: so many of the node's), and one row
-    without a node tells the others.  So a token that every text has makes a row for each flush, not for each text.
+    Rows ``(token, v)``: a token and its node; a token that several of the task's sets have once, with -1; and for a node
+    ``v = -2 - node`` the number of such tokens of it, above 20 bits that spread these rows.  So a token that every
+    text has makes a row for each flush, not for each text.
     """
 
     def send(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -68,9 +69,9 @@ def met(flush: int = FLUSH) -> Callable:
         both = np.ones(len(token), bool)
         both[one] = False
         here, c = np.unique(node[both], return_counts=True)
-        keys = np.concatenate((token[one], token[many], mixed(here.view(np.uint64)))).view(np.int64)
-        known = pa.array(np.concatenate((node[one], np.zeros(len(many), np.int64), here)), mask=np.repeat([False, True, False], [len(one), len(many), len(here)]))
-        return pa.record_batch([pa.array(keys), known, pa.array(np.concatenate((np.ones(len(one), np.int32), np.zeros(len(many), np.int32), -c.astype(np.int32))))], names=["token", "node", "c"])
+        spread = mixed(here.view(np.uint64)) & np.uint64((1 << 20) - 1) | c.astype(np.uint64) << np.uint64(20)
+        keys = np.concatenate((token[one], token[many], spread)).view(np.int64)
+        return pa.record_batch([pa.array(keys), pa.array(np.concatenate((node[one], np.full(len(many), -1), -2 - here)))], names=["token", "v"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -89,30 +90,34 @@ def met(flush: int = FLUSH) -> Callable:
 
 
 def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows ``(token, node, c)`` sorted by token: ``(node, c)``, how many tokens of a node others have too.
+    """From rows ``(token, v)`` of ``met`` sorted by token: ``(node, c)``, how many tokens of a node others have too.
 
     The last row of a batch is held until the next one tells whether it has the same token.
     """
-    token, node, c, follows = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, bool)
+    token, v, follows = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, bool)
+
+    def found(node: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(node), pa.array(c)], names=["node", "c"])
+
     for b in batches:
-        new_token, new_node, new_c = b.column(0).to_numpy(), b.column(1).fill_null(0).to_numpy(), b.column(2).to_numpy().astype(np.int64)
-        own, key = new_c < 0, new_c >= 0
-        yield pa.record_batch([pa.array(new_node[own]), pa.array(-new_c[own])], names=["node", "c"])
-        token, node, c = (np.concatenate((x, y[key])) for x, y in ((token, new_token), (node, new_node), (c, new_c)))
+        new_token, new_v = b.column(0).to_numpy(), b.column(1).to_numpy()
+        own, key = new_v < -1, new_v >= -1
+        yield found(-2 - new_v[own], new_token[own] >> 20)
+        token, v = np.concatenate((token, new_token[key])), np.concatenate((v, new_v[key]))
         if not len(token):
             continue
         same = token[1:] == token[:-1]
         follows = np.concatenate((follows[:1], same))
-        hit = ((follows[:-1] | same) & (c[:-1] > 0)).nonzero()[0]
-        yield pa.record_batch([pa.array(node[hit]), pa.array(c[hit])], names=["node", "c"])
-        token, node, c, follows = token[-1:], node[-1:], c[-1:], follows[-1:]
-    last = (follows[: len(c)] & (c > 0)).nonzero()[0]
-    yield pa.record_batch([pa.array(node[last]), pa.array(c[last])], names=["node", "c"])
+        hit = ((follows[:-1] | same) & (v[:-1] >= 0)).nonzero()[0]
+        yield found(v[hit], np.ones(len(hit), np.int64))
+        token, v, follows = token[-1:], v[-1:], follows[-1:]
+    last = (follows[: len(v)] & (v >= 0)).nonzero()[0]
+    yield found(v[last], np.ones(len(last), np.int64))
 
 
 def known_elsewhere(tokens: DataFrame) -> DataFrame:
     """``(node, c)``: of the ``tokens`` of each node, how many another node has too; nodes without such have no row."""
-    sent = tokens.mapInArrow(met(), "token long, node long, c int")
+    sent = tokens.mapInArrow(met(), "token long, v long")
     found = sent.repartition("token").sortWithinPartitions("token").mapInArrow(shared, "node long, c long")
     return found.groupBy("node").agg(F.sum("c").alias("c"))
 
@@ -263,8 +268,9 @@ def classes(docs: DataFrame, least: int = LEAST, width: int = WIDTH, id_col: str
     marked = marks(docs, width, least, id_col, text_col)
     full = marked.where("n > 0")
     first = cut(full.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("i"), F.col("h").alias("k"))).alias("low"), F.max("n").alias("n")))
-    key = first.select("node", "n", "low.i", "low.k")
-    own = full.join(side(key.select("i", "k")), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))).select("node", "tokens")
+    first = first.withColumn("number", F.monotonically_increasing_id())  # of rows that are written: it stays; small numbers take less room
+    key = first.select(F.col("number").alias("node"), F.col("node").alias("whole"), "n", "low.i", "low.k")
+    own = full.join(side(key.select("node", "i", "k").withColumnRenamed("node", "number")), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))).select("number", "tokens")
     some = known_elsewhere(own)
     wanted = cut(key.join(some, "node").select("i", "k", "node", "n"))
     twice = sets_of(docs, wanted.select("i", "k", "node"), width, id_col, text_col, lambda s: second_order(s)[: 2 * spare(len(s), least) + 1])
@@ -273,7 +279,7 @@ def classes(docs: DataFrame, least: int = LEAST, width: int = WIDTH, id_col: str
     sets = cut(sets_of(docs, wanted, width, id_col, text_col, lambda s: s).dropDuplicates(["node"]))
     alike = cut(by_frequency(sets, least))
     found = components(links(alike, least))
-    joined = cut(first.join(side(found), "node", "left").select("node", "low.i", F.coalesce("component", "node").alias("component")))
+    joined = cut(key.join(side(found), "node", "left").select(F.col("whole").alias("node"), "i", F.coalesce("component", F.col("node")).alias("component")))
     lowest = joined.groupBy("component").agg(F.min("i").alias("component_id"))
     label = joined.select("node", "component").join(lowest.repartition("component_id", F.hash("component")), "component").select("node", "component_id")
     out = marked.select("id", "node", "n").join(side(cut(label)), "node", "left")

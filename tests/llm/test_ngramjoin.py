@@ -98,11 +98,14 @@ def test_shared_tokens_over_batches(cut):
     import pyarrow as pa
 
     rng = np.random.default_rng(cut)
-    token, node, c = np.sort(rng.integers(0, 30, 60)), np.arange(60), rng.choice([-2, 0, 1, 1], 60).astype(np.int32)
-    whole = pa.record_batch([pa.array(token), pa.array(node), pa.array(c)], names=["token", "node", "c"])
+    token, v = np.sort(rng.integers(0, 30, 60)), np.where(rng.random(60) < 0.2, -1, np.arange(60))
+    own = np.flatnonzero(rng.random(60) < 0.2)
+    token[own], v[own] = (own % 3 + 1) << 20 | 5, -2 - own
+    order = np.argsort(token, kind="stable")
+    whole = pa.record_batch([pa.array(token[order]), pa.array(v[order])], names=["token", "v"])
     out = [(n, k) for b in ngramjoin.shared(whole.slice(i, cut) for i in range(0, 60, cut)) for n, k in zip(*(x.to_pylist() for x in b.columns), strict=True)]
-    keyed = [t for t, k in zip(token, c, strict=True) if k >= 0]
-    assert sorted(out) == sorted((n, abs(k)) for t, n, k in zip(token, node, c.tolist(), strict=True) if k < 0 or k > 0 and keyed.count(t) > 1)
+    keyed = [t for t, k in zip(token, v, strict=True) if k >= -1]
+    assert sorted(out) == sorted([(int(i), int(i) % 3 + 1) for i in own] + [(int(k), 1) for t, k in zip(token, v, strict=True) if k >= 0 and keyed.count(t) > 1])
 
 
 def test_odd_rows(spark):
