@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark import TaskContext
@@ -147,7 +148,7 @@ class Pair:
         at, bt = (np.searchsorted(e, common, "right").tolist() for e in (ea, eb))
         sa, sb, i, j, found = list(map(str, a.tolist())), list(map(str, b.tolist())), 0, 0, []
         for x, y in zip(at, bt, strict=True):
-            found.append(",".join(sa[i:x]) + "|" + ",".join(sb[j:y]))
+            found.append(f"{sa[i] if x - i == 1 else ','.join(sa[i:x])}|{sb[j] if y - j == 1 else ','.join(sb[j:y])}")
             i, j = x, y
         each = [np.diff(np.searchsorted(e, ends, "right"), prepend=0) for e in (ea, eb, common)]
         last = np.cumsum(each[2]).tolist()
@@ -208,24 +209,27 @@ def encoded(paths: tuple[str, ...], slice_bytes: int = SLICE) -> Callable:
             part = slice(k, k + 100_000)
             m = len(groups[part])
             yield batch(m, slice=[number] * m, kind=[2] * m, idx=np.arange(k, k + m), key=pa.array(names[part], pa.string()), n=n[part])
-        if len(pair.known) > REMEMBERED or any(len(u) > 100 * LONG for u in pair.known):
-            pair.forget()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, held, n, number = Pair.of(*paths), [], 0, TaskContext.get().partitionId() << 33
         for b in rows(batches):
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                units = pair.rows(UNIT.findall(" " + text)) if text else np.empty(0, np.int64)
-                sha = ""
+            each = [UNIT.findall(" " + t) if t else [] for t in b.column(1).to_pylist()]
+            ends = np.cumsum([len(x) for x in each])
+            every = pair.rows([u for x in each for u in x])  # new units of many texts are encoded together
+            for key, size, units in zip(b.column(0).to_pylist(), pc.binary_length(b.column(1).fill_null("")).to_pylist(), np.split(every, ends[:-1]), strict=True):
                 if (pair.counts[units, 0] < 0).any():
                     units = units[:0]  # B's blank is a character of its own too, which it takes for a blank: the bytes are fewer
-                if len(units):
-                    sha = hashlib.sha256(";".join(map(pair.text.__getitem__, units.tolist())).encode()).hexdigest()
+                sha = hashlib.sha256(";".join(map(pair.text.__getitem__, units.tolist())).encode()).hexdigest() if len(units) else ""
                 held.append((key, units, sha))
-                n += len(text.encode()) if text else 0
+                n += size
                 if n >= slice_bytes or len(held) >= 100_000:
                     yield from flush(pair, held, number)
                     held, n, number = [], 0, number + 1
+            if len(pair.known) > REMEMBERED:
+                if held:
+                    yield from flush(pair, held, number)
+                    held, n, number = [], 0, number + 1
+                pair.forget()
         if held:
             yield from flush(pair, held, number)
         if len(pair.known) > REMEMBERED // 4:
