@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import Years
-from .filters import FilterSpec, age, apply, predicates
+from .filters import FEW_MODELS, FilterSpec, age, apply, predicates
+from .ranks import median_by_ranks
 from .wear import Wear
 
 #: Aggregates over a field; the median is exact.
@@ -79,3 +80,80 @@ def percentage_one_scan(facts: DataFrame, spec: FilterSpec, dropped: tuple[str,
         inside = inside & condition
     counted = both.groupBy("year").agg(F.count_if(inside).alias("n"), F.count(F.lit(1)).alias("base")).where("n > 0")
     return counted.select("year", (F.col("n").cast("double") / F.col("base").cast("double") * 100).alias("value"))
+
+
+def median_of_years(facts: DataFrame, spec: FilterSpec, metric: Metric, config: Years, mapping: DataFrame | None = None) -> DataFrame:
+    """A median chart for years of any size: by counting, where ``query`` keeps the distinct values of a year in a task."""
+    _, guard = metric.aggregate()
+    return median_by_ranks(apply(facts, spec, config, mapping).where(guard), "year", metric.value())
+
+
+#: Series that one scan serves: a bit of a long each.
+MOST_SERIES = 62
+
+
+def many(facts: DataFrame, series: dict[str, tuple[FilterSpec, Metric]], config: Years) -> DataFrame:
+    """``(series, year, value)`` of several chart queries in one scan of the facts and one shuffle.
+
+    Each filter sets a bit of a row's mask.  Rows are summed up by year and mask, with the sums that the metrics need;
+    there are few masks, so that a series then adds up those with its bit.  Filters with the mapping are joins
+    and cannot be bits, and medians are no sums: these are refused, as are more than ``MOST_SERIES``.
+    """
+    if len(series) > MOST_SERIES or any(spec.regularize or metric.kind.endswith("median") for spec, metric in series.values()):
+        raise ValueError(f"at most {MOST_SERIES} series, without the mapping and without medians")
+    if any(spec.models and len(spec.models) > FEW_MODELS for spec, _ in series.values()):
+        raise ValueError(f"a list of more than {FEW_MODELS} models is a join")
+    mask, values = F.lit(0).cast("long"), {}
+    for k, (spec, metric) in enumerate(series.values()):
+        inside = F.lit(True)
+        for condition in predicates(spec, config):
+            inside = inside & F.coalesce(condition, F.lit(False))
+        mask = mask.bitwiseOR(F.when(inside, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+        v, (_, guard) = metric.value(), metric.aggregate()
+        if v is not None:
+            values[metric] = (f"v{k}", (v if guard is None else F.when(guard, v)))
+    columns = {name: v.cast("double") if not m.kind in ("coverage", "missing") else v for m, (name, v) in values.items()}
+    states = [F.count(F.lit(1)).alias("n")]
+    for name in columns:
+        own = F.col(name)
+        states += [F.count(own).alias(f"{name}_n")]
+    for m, (name, _) in values.items():
+        if m.kind not in ("coverage", "missing"):
+            states += [F.sum(name).alias(f"{name}_s"), F.min(name).alias(f"{name}_a"), F.max(name).alias(f"{name}_b")]
+    rows = facts.select("year", mask.alias("mask"), *[v.alias(name) for name, v in columns.items()]).where("mask <> 0")
+    summed = rows.groupBy("year", "mask").agg(*states)
+    names = list(series)
+    spread = summed.withColumn("k", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.call_function("getbit", F.col("mask"), k) == 1)))
+    added = [F.sum("n").alias("n")]
+    for m, (name, _) in values.items():
+        added.append(F.sum(f"{name}_n").alias(f"{name}_n"))
+        if m.kind not in ("coverage", "missing"):
+            added += [F.sum(f"{name}_s").alias(f"{name}_s"), F.min(f"{name}_a").alias(f"{name}_a"), F.max(f"{name}_b").alias(f"{name}_b")]
+    whole = spread.groupBy("k", "year").agg(*added)
+    value = F.when(F.lit(False), F.lit(None).cast("double"))
+    for k, (_, metric) in enumerate(series.values()):
+        n, own = F.col("n").cast("double"), values.get(metric, (None,))[0]
+        kind = metric.kind.removeprefix("wear_")
+        if own is None:
+            of = n
+        elif kind == "coverage":
+            of = F.col(f"{own}_n").cast("double") / n * 100
+        elif kind == "missing":
+            of = n - F.col(f"{own}_n")
+        else:
+            of = {"sum": F.col(f"{own}_s"), "average": F.col(f"{own}_s") / F.col(f"{own}_n"), "minimum": F.col(f"{own}_a"), "maximum": F.col(f"{own}_b")}.get(kind, n)
+            of = F.when(F.col(f"{own}_n") > 0, of)  # a year without values has no point
+        value = value.when(F.col("k") == k, of)
+    name = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("k") + 1)
+    return whole.select(name.alias("series"), "year", value.alias("value")).where("value is not null")
+
+
+def percentages(points: DataFrame, of: dict[str, tuple[str, str]]) -> DataFrame:
+    """From the points of ``many``: ``(series, year, value)``, one series as a percentage of another for each name; a year without a baseline is 0."""
+    out = None
+    for name, (numerator, baseline) in of.items():
+        pick = F.max(F.when(F.col("series") == numerator, F.col("value"))).alias("value"), F.max(F.when(F.col("series") == baseline, F.col("value"))).alias("base")
+        both = points.where(F.col("series").isin(numerator, baseline)).groupBy("year").agg(*pick).where("value is not null")
+        one = both.select(F.lit(name).alias("series"), "year", F.when(F.col("base") > 0, F.col("value") / F.col("base") * 100).otherwise(0.0).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import combined_similarity, edit_similarity, hyphen_boost, hyphenated, motorcycle_model, normal_make, numeric_difference, passenger_model
+from ..sources.store import written
 
 # Thresholds and confidences of the evidence, and body types by keyword in order.
 RECENT, GAP = 2023, 2
 PASSENGER, MOTORCYCLE, SPECIAL = ("PAU", "CAU", "VUS"), ("MOTO", "CYC", "CYCL", "PMC", "CMC", "RMC"), ("MONE", "AGRI", "CONS", "TRAC", "HMN", "HVO", "HVT", "CVO", "RMN", "HOT", "ROT")
 BODY_TYPES = (("SEDAN", "SEDAN"), ("VAN", "MINIVAN"), ("SUV", "SUV"), ("HATCH", "HATCHBACK"), ("WAGON", "WAGON"), ("COUPE", "COUPE"), ("PICKUP", "PICKUP"), ("TRUCK", "PICKUP"), ("CONVERTIBLE", "CONVERTIBLE"))
 
+#: Letters of the pieces by which strings meet, and the levels that a best match is looked for at, from the highest down.
+Q = 2
+LEVELS = (0.95, 0.85, 0.7)
+
 
 def candidates(unknown: DataFrame, known: DataFrame, block: tuple[str, str], score: Column, least: float) -> DataFrame:
     """Pairs of unknown ``(make, model)`` and known ``(canonical_make, canonical_model)`` with at least ``least`` as ``score``.
@@ -22,32 +29,66 @@ def candidates(unknown: DataFrame, known: DataFrame, block: tuple[str, str], sco
     return joined.withColumn("score", score).where(F.col("score") >= least)
 
 
+def grams(df: DataFrame, own: str, least: float) -> DataFrame:
+    """``(own, _s, _n, _d, _g)``: a string upper-cased, its length, the edits that it may have at most, and its q-grams with their places."""
+    df = df.select(own).where(F.col(own).isNotNull()).distinct().withColumn("_s", F.upper(own)).withColumn("_n", F.length("_s"))
+    df = df.withColumn("_d", F.floor((1 - least) * F.floor(F.col("_n") / least + 1e-9) + 1e-9).cast("int"))  # of strings that are close the longest
+    places = F.when(F.col("_n") >= Q, F.sequence(F.lit(0), F.col("_n") - Q)).otherwise(F.array().cast("array<int>"))
+    return df.withColumn("_g", F.transform(places, lambda i: F.struct(F.substring(F.col("_s"), i + 1, F.lit(Q)).alias("g"), i.alias("p"))))
+
+
+def prefixed(df: DataFrame, own: str, often: DataFrame) -> DataFrame:
+    """Strings of ``grams`` with the rarest of their q-grams: one more than ``_d`` edits can touch, and all that are as the last of these."""
+    each = df.select(own, F.explode("_g").alias("x")).select(own, "x.g", "x.p").join(often, "g")
+    ordered = each.groupBy(own).agg(F.sort_array(F.collect_list(F.struct("f", "g", "p"))).alias("_known"))
+    last = F.get("_known", F.col("_d") * Q)
+    few = F.filter("_known", lambda x: last.isNull() | (F.struct(x["f"], x["g"]) <= F.struct(last["f"], last["g"])))
+    return df.join(ordered, own, "left").withColumn("_few", F.coalesce(few, F.array().cast("array<struct<f:bigint,g:string,p:int>>"))).drop("_known", "_g")
+
+
+def meeting(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Candidates ``(a, b)`` with ``_x``, ``_y`` (upper-cased) and ``_most`` (edits that they may differ in): all pairs of similarity ``least`` or more are among them.
+
+    An edit touches ``Q`` q-grams at most, so of the ``_d * Q + 1`` rarest of a string one is untouched and is among the
+    other's rarest too, moved by as many places as there are edits at most.  Strings that are too short to have as many
+    meet all that fit in length, by equality of lengths.
+    """
+    x, y = grams(a, "a", least), grams(b, "b", least)
+    one = lambda df: df.select(F.explode("_g.g").alias("g"))
+    often = one(x).union(one(y)).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    x, y = prefixed(x, "a", often), prefixed(y, "b", often)
+    by_gram = F.transform("_few", lambda z: F.struct(F.concat(F.lit("~"), z["g"]).alias("k"), z["p"].alias("p")))
+    by_length = lambda n: F.struct(F.concat(F.lit("="), n.cast("string")).alias("k"), F.lit(0).alias("p"))
+    lengths = F.transform(F.sequence(F.ceil(F.col("_n") * least - 1e-9).cast("int"), F.floor(F.col("_n") / least + 1e-9).cast("int")), by_length)
+    short = F.col("_n") - Q + 1 <= F.col("_d") * Q
+    x = x.select("a", F.col("_s").alias("_x"), F.col("_n").alias("_nx"), F.explode(F.when(short, lengths).otherwise(by_gram)).alias("_k")).select("*", F.col("_k.k").alias("_key"), F.col("_k.p").alias("_px"))
+    y = y.select("b", F.col("_s").alias("_y"), F.col("_n").alias("_ny"), F.explode(F.concat(by_gram, F.array(by_length(F.col("_n"))))).alias("_k")).select("*", F.col("_k.k").alias("_key"), F.col("_k.p").alias("_py"))
+    most = F.floor(F.greatest("_nx", "_ny") * (1 - least) + 1e-9).cast("int")
+    met = x.drop("_k").join(y.drop("_k"), "_key").withColumn("_most", most)
+    return met.where((F.abs(F.col("_nx") - F.col("_ny")) <= F.col("_most")) & (F.abs(F.col("_px") - F.col("_py")) <= F.col("_most"))).select("a", "b", "_x", "_y", "_most").distinct()
+
+
 def close_strings(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """``(a, b)``: all pairs of two lists of strings (columns ``a`` and ``b``) of an edit similarity of ``least`` or more.
+    """``(a, b)``: all pairs of two lists of strings (columns ``a`` and ``b``) of an edit similarity of ``least`` or more."""
+    edits = F.expr("levenshtein(_x, _y, _most)")  # stops where there are more
+    longest = F.greatest(F.length("_x"), F.length("_y"))
+    close = F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - edits.cast("double") / longest.cast("double"))
+    return meeting(a, b, least).withColumn("_e", edits).where(F.col("_e") >= 0).where(close >= least).select("a", "b")
+
+
+def by_levels(unknown: DataFrame, keys: list[str], top: Callable[[DataFrame, float], DataFrame], least: float) -> DataFrame:
+    """The best match of each row of ``unknown``: ``top`` finds those of at least a level, and only rows without one go on to the next.
 
-    An equality join on segments.  Strings of lengths n and m that are so close differ in at most ``d =
-    (1 - least) * max(n, m)`` edits; of ``d + 1`` segments of one of them at least one is untouched by
-    these and is found in the other, moved by ``d`` places at most.  So no pair is missed, and only pairs that
-    share a segment are compared.  Strings too short for so many segments meet by their lengths.
+    What is found at a level is written, as a list of codes; where nothing is left, lower levels are not planned at all.
     """
-    def keyed(df: DataFrame, own: str, whole: bool) -> DataFrame:
-        df = df.select(own).where(F.col(own).isNotNull()).distinct().withColumn("_s", F.upper(own)).withColumn("_n", F.length("_s"))
-        df = df.withColumn("_m", F.explode(F.sequence(F.ceil(F.col("_n") * least - 1e-9).cast("int"), F.floor(F.col("_n") / least + 1e-9).cast("int"))))
-        df = df.withColumn("_d", F.floor(F.greatest("_n", "_m") * (1 - least) + 1e-9).cast("int"))
-        other = F.col("_n") if whole else F.col("_m")  # the length of the string that is cut
-        df = df.withColumn("_cut", other).withColumn("_i", F.explode(F.when(F.col("_d") < F.col("_cut"), F.sequence(F.lit(0), F.col("_d"))).otherwise(F.array(F.lit(-1)))))
-        start, end = (F.floor((F.col("_i") + k) * F.col("_cut") / (F.col("_d") + 1)).cast("int") for k in (0, 1))
-        df = df.withColumns({"_at": F.when(F.col("_i") < 0, 0).otherwise(start), "_size": F.when(F.col("_i") < 0, 0).otherwise(end - start)})
-        if whole:
-            key = F.substring(F.col("_s"), F.col("_at") + 1, F.col("_size"))
-            return df.select(own, F.col("_n").alias("_x"), F.col("_m").alias("_y"), "_i", key.alias("_key"))
-        moves = F.when(F.col("_i") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.greatest(-F.col("_at"), -F.col("_d")), F.least(F.col("_n") - F.col("_at") - F.col("_size"), F.col("_d"))))
-        df = df.where((F.col("_i") < 0) | (F.greatest(-F.col("_at"), -F.col("_d")) <= F.col("_n") - F.col("_at") - F.col("_size"))).withColumn("_move", F.explode(moves))
-        key = F.substring(F.col("_s"), F.col("_at") + F.col("_move") + 1, F.col("_size"))
-        return df.select(own, F.col("_m").alias("_x"), F.col("_n").alias("_y"), "_i", key.alias("_key")).distinct()
-
-    met = keyed(a, "a", False).join(keyed(b, "b", True), ["_x", "_y", "_i", "_key"]).select("a", "b").distinct()
-    return met.where(edit_similarity(F.col("a"), F.col("b")) >= least)
+    out, left = None, unknown
+    for level in [x for x in LEVELS if x > least] + [least]:
+        found = written(top(left, level))
+        out = found if out is None else out.unionByName(found)
+        left = written(left.join(found.select(*keys), keys, "left_anti"))
+        if level == least or left.isEmpty():
+            return out
+    raise AssertionError
 
 
 def best(found: DataFrame) -> DataFrame:
@@ -79,21 +120,22 @@ def best_weighted(unknown: DataFrame, known: DataFrame) -> DataFrame:
     return best(met.withColumn("score", weighted_score()).where("score >= 0.70"))
 
 
-def best_joined(unknown: DataFrame, known: DataFrame, close: float = 0.7, least: float = 0.4) -> DataFrame:
+def best_joined(unknown: DataFrame, known: DataFrame, least: float = 0.4) -> DataFrame:
     """The most alike by make and model as one string.
 
-    Pairs of ``close`` or more, and models that differ in hyphens only, meet by equality joins.  A pair that
-    finds one there has its best; only what is left is compared with every known pair, a product of
-    dictionaries, as nothing prunes at ``least``.
+    Pairs meet level by level (``close_strings``), and models that differ in hyphens only by an equality join.
     """
-    u, k = unknown.withColumn("a", F.concat("make", "model")), known.withColumn("b", F.concat("canonical_make", "canonical_model"))
-    near = u.join(close_strings(u.select("a"), k.select("b"), close), "a").join(k, "b")
+    k = known.withColumn("b", F.concat("canonical_make", "canonical_model"))
     bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
-    hyphens = u.join(k, bare("model") == bare("canonical_model")).where(F.col("model") != F.col("canonical_model"))
     columns = ["make", "model", "canonical_make", "canonical_model"]
-    first = best(near.select(*columns).union(hyphens.select(*columns)).withColumn("score", joined_score()))
-    left = unknown.join(first.select("make", "model"), ["make", "model"], "left_anti").crossJoin(known)
-    return first.unionByName(best(left.withColumn("score", joined_score()).where(F.col("score") >= least)))
+
+    def top(left: DataFrame, level: float) -> DataFrame:
+        u = left.withColumn("a", F.concat("make", "model"))
+        near = u.join(close_strings(u.select("a"), k.select("b"), level), "a").join(k, "b").select(*columns)
+        hyphens = u.join(k, bare("model") == bare("canonical_model")).where(F.col("model") != F.col("canonical_model")).select(*columns)
+        return best(near.union(hyphens).withColumn("score", joined_score()).where(F.col("score") >= level))
+
+    return by_levels(unknown, ["make", "model"], top, least)
 
 
 def best_blocked(unknown: DataFrame, known: DataFrame) -> DataFrame:
@@ -102,15 +144,16 @@ def best_blocked(unknown: DataFrame, known: DataFrame) -> DataFrame:
     return best(candidates(u, k, ("_make", "_canonical"), blocked_score(), 0.75))
 
 
-def standard_makes(unknown: DataFrame, known: DataFrame, close: float = 0.7, least: float = 0.4) -> DataFrame:
-    """The known make that each unknown make is most like: among close ones, which meet by segments, else among all."""
-    def top(found: DataFrame) -> DataFrame:
-        scored = found.withColumn("score", edit_similarity(F.col("make"), F.col("canonical_make"))).where(F.col("score") >= least)
+def standard_makes(unknown: DataFrame, known: DataFrame, least: float = 0.4) -> DataFrame:
+    """The known make that each unknown make is most like, level by level."""
+    k = known.select(F.col("canonical_make").alias("b")).distinct()
+
+    def top(left: DataFrame, level: float) -> DataFrame:
+        met = close_strings(left.select(F.col("make").alias("a")), k, level).select(F.col("a").alias("make"), F.col("b").alias("canonical_make"))
+        scored = met.withColumn("score", edit_similarity(F.col("make"), F.col("canonical_make"))).where(F.col("score") >= level)
         return scored.groupBy("make").agg(F.min(F.struct((-F.col("score")).alias("s"), "canonical_make", "score")).alias("b")).select("make", "b.canonical_make", "b.score")
 
-    u, k = unknown.select("make").distinct(), known.select("canonical_make").distinct()
-    first = top(close_strings(u.select(F.col("make").alias("a")), k.select(F.col("canonical_make").alias("b")), close).withColumnsRenamed({"a": "make", "b": "canonical_make"}))
-    return first.unionByName(top(u.join(first.select("make"), "make", "left_anti").crossJoin(k)))
+    return by_levels(unknown.select("make").distinct(), ["make"], top, least)
 
 
 def _of(decision: str, confidence: float) -> Column:

@@ -65,6 +65,16 @@ _wear = f"(case {_arms} else {coefficient((50.0, 50.0))!r} end) * power(net_mass
 for _kind, _f in (("average", "avg"), ("sum", "sum"), ("median", "median")):
     add(f"wear_{_kind}", chart(NONE, Metric(f"wear_{_kind}", wear=WEAR), 1e9, 3), sql_chart(f"{_f}({_wear})", "net_mass is not null", "1e9", 3))
 
+
+
+def median_by_ranks(metric: Metric, scale: float = 1.0, digits: int = 4) -> Query:
+    """A median for years of any size."""
+    return lambda spark, sf: metrics.median_of_years(reg(NONE, metric)(spark, sf), NONE, metric, YEARS).select("year", F.round(F.col("value") / scale, digits).alias("value"))
+
+
+add("median_by_ranks", median_by_ranks(Metric("median", "net_mass")), ORACLES["median_mass"])
+add("wear_median_by_ranks", median_by_ranks(Metric("wear_median", wear=WEAR), 1e9, 3), ORACLES["wear_median"])
+
 # ---- filters
 FILTERS: dict[str, tuple[FilterSpec, str]] = {
     "years": (FilterSpec(years=(1996, 1998)), "year in (1996, 1998)"),
@@ -87,6 +97,37 @@ for _name, (_spec, _where) in FILTERS.items():
     add(f"f_{_name}", chart(_spec), sql_chart("count(*)", _where))
 
 
+#: Eight series of one chart with their SQL, and two shares of them.
+SERIES: dict[str, tuple[FilterSpec, Metric, str, str]] = {
+    "all": (NONE, Metric(), "count(*)", "true"),
+    "fuel R": (FilterSpec(fuels=("R",)), Metric(), "count(*)", "fuel_type = 'R'"),
+    "Europe": (FilterSpec(regions=("EUROPE",)), Metric(), "count(*)", "admin_region = 'EUROPE'"),
+    "Europe, fuel R": (FilterSpec(regions=("EUROPE",), fuels=("R",)), Metric(), "count(*)", "admin_region = 'EUROPE' and fuel_type = 'R'"),
+    "mass of promo": (FilterSpec(types=("PROMO",)), Metric("average", "net_mass"), "avg(net_mass)", "vehicle_type = 'PROMO' and net_mass is not null"),
+    "oldest": (FilterSpec(years=(1995, 1998)), Metric("maximum", "age"), "max(year - model_year)", "year in (1995, 1998) and model_year is not null"),
+    "axles known": (FilterSpec(classes=("BUILDING", "MACHINERY")), Metric("coverage", "max_axles"), "count(max_axles)::double / count(*) * 100", "vehicle_class in ('BUILDING', 'MACHINERY')"),
+    "young": (FilterSpec(age_ranges=((-1, 5),)), Metric("sum", "cylinder_count"), "sum(cylinder_count)", "year - model_year between -1 and 5 and cylinder_count is not null"),
+}
+SHARES = {"share of R": ("fuel R", "all"), "share of R in Europe": ("Europe, fuel R", "Europe")}
+
+
+def many_series(spark: SparkSession, sf: str) -> DataFrame:
+    """All series of a chart, numerators and baselines too, from one scan of the facts."""
+    columns = set().union(*(spec.columns() | metric.columns() for spec, metric, _, _ in SERIES.values()))
+    points = metrics.many(star.registrations(spark, sf, *sorted(columns)), {k: v[:2] for k, v in SERIES.items()}, YEARS)
+    return points.select("series", "year", F.round("value", 4).alias("value"))
+
+
+def many_shares(spark: SparkSession, sf: str) -> DataFrame:
+    facts = star.registrations(spark, sf, "year", "fuel_type", "admin_region")
+    points = metrics.many(facts, {k: SERIES[k][:2] for k in ("all", "fuel R", "Europe", "Europe, fuel R")}, YEARS)
+    return metrics.percentages(points, SHARES).select("series", "year", F.round("value", 4).alias("value"))
+
+
+add("many_series", many_series, f"with {REG} " + " union all ".join(f"select '{k}' as series, year, round(cast({value} as double), 4) as value from reg where {where} group by year" for k, (_, _, value, where) in SERIES.items()))
+add("many_shares", many_shares, f"with {REG} " + " union all ".join(f"select '{k}' as series, year, round(count(*) filter ({SERIES[a][3]} and {SERIES[b][3]})::double / count(*) filter ({SERIES[b][3]}) * 100, 4) as value from reg group by year having count(*) filter ({SERIES[a][3]}) > 0" for k, (a, b) in SHARES.items()))
+
+
 def f_make_model(spark: SparkSession, sf: str) -> DataFrame:
     facts = star.registrations(spark, sf, "year", "make", "model")
     wanted = facts.where("make = 'Brand#11'").agg(F.min("model").alias("low"), F.max("model").alias("high")).first()

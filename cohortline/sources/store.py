@@ -28,6 +28,15 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base}/work-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Computes ``df`` once: its rows are written to ``spark.checkpoint.dir``, which executors share, and go when nothing refers to them."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(work_dir(df.sparkSession))
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    return df.checkpoint()
+
+
 def _folder(spark: SparkSession, path: str) -> tuple:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
