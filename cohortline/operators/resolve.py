@@ -29,63 +29,84 @@ def candidates(unknown: DataFrame, known: DataFrame, block: tuple[str, str], sco
     return joined.withColumn("score", score).where(F.col("score") >= least)
 
 
-def grams(df: DataFrame, own: str, least: float) -> DataFrame:
-    """``(own, _s, _n, _d, _g)``: a string upper-cased, its length, the edits that it may have at most, and its q-grams with their places."""
-    df = df.select(own).where(F.col(own).isNotNull()).distinct().withColumn("_s", F.upper(own)).withColumn("_n", F.length("_s"))
-    df = df.withColumn("_d", F.floor((1 - least) * F.floor(F.col("_n") / least + 1e-9) + 1e-9).cast("int"))  # of strings that are close the longest
+def spelled(df: DataFrame, text: Column) -> DataFrame:
+    """Rows whose ``text`` is not null, with it upper-cased, its length, and its q-grams with their places."""
+    df = df.where(text.isNotNull()).withColumn("_s", F.upper(text)).withColumn("_n", F.length("_s"))
     places = F.when(F.col("_n") >= Q, F.sequence(F.lit(0), F.col("_n") - Q)).otherwise(F.array().cast("array<int>"))
     return df.withColumn("_g", F.transform(places, lambda i: F.struct(F.substring(F.col("_s"), i + 1, F.lit(Q)).alias("g"), i.alias("p"))))
 
 
-def prefixed(df: DataFrame, own: str, often: DataFrame) -> DataFrame:
-    """Strings of ``grams`` with the rarest of their q-grams: one more than ``_d`` edits can touch, and all that are as the last of these."""
-    each = df.select(own, F.explode("_g").alias("x")).select(own, "x.g", "x.p").join(often, "g")
-    ordered = each.groupBy(own).agg(F.sort_array(F.collect_list(F.struct("f", "g", "p"))).alias("_known"))
-    last = F.get("_known", F.col("_d") * Q)
-    few = F.filter("_known", lambda x: last.isNull() | (F.struct(x["f"], x["g"]) <= F.struct(last["f"], last["g"])))
-    return df.join(ordered, own, "left").withColumn("_few", F.coalesce(few, F.array().cast("array<struct<f:bigint,g:string,p:int>>"))).drop("_known", "_g")
+def indexed(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both lists of ``spelled`` rows with their q-grams from the rarest to the most frequent of both, ``(g, p, r)``: ``r`` are rarer than it."""
+    one = lambda df: df.select(F.explode("_g.g").alias("g"))
+    often = one(x).union(one(y)).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+
+    def ordered(df: DataFrame) -> DataFrame:
+        own = [c for c in df.columns if c != "_g"]
+        each = df.select(*own, F.explode_outer("_g").alias("x")).select(*own, F.col("x.g").alias("g"), F.col("x.p").alias("p")).join(often, "g", "left")
+        known = each.groupBy(*own).agg(F.sort_array(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("f", "g", "p")))).alias("_k"))
+        values = F.transform("_k", lambda z: F.struct(z["f"], z["g"]))
+        rank = lambda z: (F.array_position(values, F.struct(z["f"], z["g"])) - 1).cast("int")
+        return known.select(*own, F.transform("_k", lambda z: F.struct(z["g"].alias("g"), z["p"].alias("p"), rank(z).alias("r"))).alias("_k"))
+
+    return ordered(x), ordered(y)
 
 
-def meeting(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Candidates ``(a, b)`` with ``_x``, ``_y`` (upper-cased) and ``_most`` (edits that they may differ in): all pairs of similarity ``least`` or more are among them.
+def meeting(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """Candidates of two ``indexed`` lists with other names, and ``_x``, ``_y`` (upper-cased) and ``_most`` (edits that they may
+    differ in): all pairs of similarity ``least`` or more are among them, some more than once.
 
-    An edit touches ``Q`` q-grams at most, so of the ``_d * Q + 1`` rarest of a string one is untouched and is among the
-    other's rarest too, moved by as many places as there are edits at most.  Strings that are too short to have as many
+    An edit touches ``Q`` q-grams at most, so of the ``most * Q + 1`` rarest of a string one is untouched and is among the
+    other's rarest too, moved by as many places as there are edits at most; and all but ``most * Q`` are in both.  Strings that are too short to have as many
     meet all that fit in length, by equality of lengths.
     """
-    x, y = grams(a, "a", least), grams(b, "b", least)
-    one = lambda df: df.select(F.explode("_g.g").alias("g"))
-    often = one(x).union(one(y)).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    x, y = prefixed(x, "a", often), prefixed(y, "b", often)
-    by_gram = F.transform("_few", lambda z: F.struct(F.concat(F.lit("~"), z["g"]).alias("k"), z["p"].alias("p")))
-    by_length = lambda n: F.struct(F.concat(F.lit("="), n.cast("string")).alias("k"), F.lit(0).alias("p"))
+    edits = F.floor((1 - least) * F.floor(F.col("_n") / least + 1e-9) + 1e-9).cast("int")  # with the longest that is close
+    by_gram = F.transform(F.filter("_k", lambda z: z["r"] <= edits * Q), lambda z: F.struct(F.concat(F.lit("~"), z["g"]).alias("k"), z["p"].alias("p"), z["r"].alias("r")))
+    by_length = lambda n: F.struct(F.concat(F.lit("="), n.cast("string")).alias("k"), F.lit(0).alias("p"), F.lit(0).alias("r"))
     lengths = F.transform(F.sequence(F.ceil(F.col("_n") * least - 1e-9).cast("int"), F.floor(F.col("_n") / least + 1e-9).cast("int")), by_length)
-    short = F.col("_n") - Q + 1 <= F.col("_d") * Q
-    x = x.select("a", F.col("_s").alias("_x"), F.col("_n").alias("_nx"), F.explode(F.when(short, lengths).otherwise(by_gram)).alias("_k")).select("*", F.col("_k.k").alias("_key"), F.col("_k.p").alias("_px"))
-    y = y.select("b", F.col("_s").alias("_y"), F.col("_n").alias("_ny"), F.explode(F.concat(by_gram, F.array(by_length(F.col("_n"))))).alias("_k")).select("*", F.col("_k.k").alias("_key"), F.col("_k.p").alias("_py"))
-    most = F.floor(F.greatest("_nx", "_ny") * (1 - least) + 1e-9).cast("int")
-    met = x.drop("_k").join(y.drop("_k"), "_key").withColumn("_most", most)
-    return met.where((F.abs(F.col("_nx") - F.col("_ny")) <= F.col("_most")) & (F.abs(F.col("_px") - F.col("_py")) <= F.col("_most"))).select("a", "b", "_x", "_y", "_most").distinct()
+    short = F.col("_n") - Q + 1 <= edits * Q
+
+    def keyed(df: DataFrame, keys: Column, name: str) -> DataFrame:
+        own = [c for c in df.columns if c[0] != "_"]
+        return df.select(*own, F.col("_s").alias(f"_{name}"), F.col("_n").alias(f"_n{name}"), F.array_distinct("_k.g").alias(f"_g{name}"), F.explode(keys).alias("_e")).select(*own, f"_{name}", f"_n{name}", f"_g{name}", F.col("_e.k").alias("_key"), F.col("_e.p").alias(f"_p{name}"), F.col("_e.r").alias(f"_r{name}"))
+
+    met = keyed(x, F.when(short, lengths).otherwise(by_gram), "x").join(keyed(y, F.concat(by_gram, F.array(by_length(F.col("_n")))), "y"), "_key")
+    met = met.withColumn("_most", F.floor(F.greatest("_nx", "_ny") * (1 - least) + 1e-9).cast("int"))
+    near = (F.abs(F.col("_nx") - F.col("_ny")) <= F.col("_most")) & (F.abs(F.col("_px") - F.col("_py")) <= F.col("_most"))
+    met = met.where(near & (F.greatest("_rx", "_ry") <= F.col("_most") * Q))
+    shared = F.size(F.array_intersect("_gx", "_gy")) >= F.greatest(F.size("_gx"), F.size("_gy")) - F.col("_most") * Q
+    return met.where(shared).drop("_key", "_nx", "_ny", "_px", "_py", "_rx", "_ry", "_gx", "_gy")
+
+
+def close_enough(met: DataFrame, least: float) -> DataFrame:
+    """Candidates of ``meeting`` that are as similar as that, without its columns."""
+    met = met.withColumn("_e", F.expr("levenshtein(_x, _y, _most)"))  # stops where there are more
+    longest = F.greatest(F.length("_x"), F.length("_y"))
+    close = F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.col("_e").cast("double") / longest.cast("double"))
+    return met.where((F.col("_e") >= 0) & (close >= least)).drop("_x", "_y", "_most", "_e")
 
 
 def close_strings(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """``(a, b)``: all pairs of two lists of strings (columns ``a`` and ``b``) of an edit similarity of ``least`` or more."""
-    edits = F.expr("levenshtein(_x, _y, _most)")  # stops where there are more
-    longest = F.greatest(F.length("_x"), F.length("_y"))
-    close = F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - edits.cast("double") / longest.cast("double"))
-    return meeting(a, b, least).withColumn("_e", edits).where(F.col("_e") >= 0).where(close >= least).select("a", "b")
+    x, y = indexed(spelled(a.select("a").distinct(), F.col("a")), spelled(b.select("b").distinct(), F.col("b")))
+    return close_enough(meeting(x, y, least).distinct(), least)
 
 
-def by_levels(unknown: DataFrame, keys: list[str], top: Callable[[DataFrame, float], DataFrame], least: float) -> DataFrame:
-    """The best match of each row of ``unknown``: ``top`` finds those of at least a level, and only rows without one go on to the next.
+def by_levels(unknown: DataFrame, known: DataFrame, keys: list[str], top: Callable[[DataFrame], DataFrame], least: float, more: DataFrame | None = None) -> DataFrame:
+    """The best match of each ``spelled`` row of ``unknown``: at each level ``top`` takes the close pairs and scores them, and
+    only rows without one go on to the next.  ``more`` are pairs of the first level besides.
 
-    What is found at a level is written, as a list of codes; where nothing is left, lower levels are not planned at all.
+    Both lists are indexed once.  They and what is found at a level are written, as lists of codes; where nothing is
+    left, lower levels are not planned at all.
     """
-    out, left = None, unknown
-    for level in [x for x in LEVELS if x > least] + [least]:
-        found = written(top(left, level))
+    x, y = indexed(unknown, known)
+    out, left, y = None, written(x), written(y)
+    for level in [k for k in LEVELS if k > least] + [least]:
+        pairs = close_enough(meeting(left, y, level), level)
+        pairs = pairs.unionByName(more) if out is None and more is not None else pairs
+        found = written(top(pairs).where(F.col("score") >= level))
         out = found if out is None else out.unionByName(found)
-        left = written(left.join(found.select(*keys), keys, "left_anti"))
+        left = left.join(found.select(*keys), keys, "left_anti")
         if level == least or left.isEmpty():
             return out
     raise AssertionError
@@ -123,19 +144,12 @@ def best_weighted(unknown: DataFrame, known: DataFrame) -> DataFrame:
 def best_joined(unknown: DataFrame, known: DataFrame, least: float = 0.4) -> DataFrame:
     """The most alike by make and model as one string.
 
-    Pairs meet level by level (``close_strings``), and models that differ in hyphens only by an equality join.
+    Pairs meet level by level (``by_levels``), and models that differ in hyphens only by an equality join.
     """
-    k = known.withColumn("b", F.concat("canonical_make", "canonical_model"))
     bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
-    columns = ["make", "model", "canonical_make", "canonical_model"]
-
-    def top(left: DataFrame, level: float) -> DataFrame:
-        u = left.withColumn("a", F.concat("make", "model"))
-        near = u.join(close_strings(u.select("a"), k.select("b"), level), "a").join(k, "b").select(*columns)
-        hyphens = u.join(k, bare("model") == bare("canonical_model")).where(F.col("model") != F.col("canonical_model")).select(*columns)
-        return best(near.union(hyphens).withColumn("score", joined_score()).where(F.col("score") >= level))
-
-    return by_levels(unknown, ["make", "model"], top, least)
+    hyphens = unknown.join(known, bare("model") == bare("canonical_model")).where(F.col("model") != F.col("canonical_model"))
+    x, y = spelled(unknown, F.concat("make", "model")), spelled(known, F.concat("canonical_make", "canonical_model"))
+    return by_levels(x, y, ["make", "model"], lambda pairs: best(pairs.withColumn("score", joined_score())), least, hyphens)
 
 
 def best_blocked(unknown: DataFrame, known: DataFrame) -> DataFrame:
@@ -146,14 +160,12 @@ def best_blocked(unknown: DataFrame, known: DataFrame) -> DataFrame:
 
 def standard_makes(unknown: DataFrame, known: DataFrame, least: float = 0.4) -> DataFrame:
     """The known make that each unknown make is most like, level by level."""
-    k = known.select(F.col("canonical_make").alias("b")).distinct()
-
-    def top(left: DataFrame, level: float) -> DataFrame:
-        met = close_strings(left.select(F.col("make").alias("a")), k, level).select(F.col("a").alias("make"), F.col("b").alias("canonical_make"))
-        scored = met.withColumn("score", edit_similarity(F.col("make"), F.col("canonical_make"))).where(F.col("score") >= level)
+    def top(pairs: DataFrame) -> DataFrame:
+        scored = pairs.withColumn("score", edit_similarity(F.col("make"), F.col("canonical_make")))
         return scored.groupBy("make").agg(F.min(F.struct((-F.col("score")).alias("s"), "canonical_make", "score")).alias("b")).select("make", "b.canonical_make", "b.score")
 
-    return by_levels(unknown.select("make").distinct(), ["make"], top, least)
+    x, y = spelled(unknown.select("make").distinct(), F.col("make")), spelled(known.select("canonical_make").distinct(), F.col("canonical_make"))
+    return by_levels(x, y, ["make"], top, least)
 
 
 def _of(decision: str, confidence: float) -> Column:

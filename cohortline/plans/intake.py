@@ -158,6 +158,54 @@ add("package_merge", package(True), f"with {REG}, {LIC} select 'registrations' a
 add("package_replace", package(False), f"with {REG}, {LIC} select 'registrations' as name, count(*) as n, 'replace' as mode from reg where year >= 1997 union all select 'licences', count(*), 'replace' from lic union all select 'places', 1, 'replace'")
 
 
+def package_rows(merge: bool) -> Callable[[SparkSession, str], DataFrame]:
+    """The rows of a store after ``package``, by content."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        place = store.work_dir(spark)
+        facts, licences = star.registrations(spark, sf, "year", "sequence", "make"), star.licences(spark, sf).select("year", "sequence", "gender")
+        store.write_years(facts.where("year < 1999"), f"{place}/store/registrations")
+        tables = {"licences": licences} | ({} if merge else {"registrations": facts.where("year >= 1997")})
+        store.export_package(spark, tables, f"{place}/package")
+        store.import_package(spark, f"{place}/package", f"{place}/store", None if merge else "replace")
+        r, l = (spark.read.parquet(f"{place}/store/{n}") for n in ("registrations", "licences"))
+        return r.select(F.lit("registrations").alias("name"), "year", "sequence", F.col("make").alias("value")).union(l.select(F.lit("licences"), "year", "sequence", "gender"))
+
+    return run
+
+
+for _name, _merge, _kept in (("package_merge_rows", True, "year < 1999"), ("package_replace_rows", False, "year >= 1997")):
+    add(_name, package_rows(_merge), f"with {REG}, {LIC} select 'registrations' as name, year, sequence, make as value from reg where {_kept} union all select 'licences', year, sequence, gender from lic")
+
+
+def upserted_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts in buckets, of which a batch changes one make's rows and adds a row."""
+    path = f"{store.work_dir(spark)}/facts"
+    facts = star.registrations(spark, sf).select("year", F.concat_ws("-", *[F.col(c).cast("string") for c in _KEY]).alias("sequence"), "make", "color")
+    store.upsert_buckets(spark, path, facts, buckets=8)
+    changed = facts.where("make = 'Brand#11' and year <= 1996").withColumn("make", F.lit("changed"))
+    store.upsert_buckets(spark, path, changed.union(spark.createDataFrame([(1980, "new", "changed", "x")], facts.schema)), buckets=8)
+    return store.read_buckets(spark, path).groupBy("year", "make").agg(F.count(F.lit(1)).alias("n"))
+
+
+add("upsert_buckets", upserted_buckets, f"with {REG} select year, case when make = 'Brand#11' and year <= 1996 then 'changed' else make end as make, count(distinct {_KEY_SQL}) as n from reg group by all union all select 1980, 'changed', 1")
+
+
+def import_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """All files in one job: what is stored, what is rejected and why; a file with another header does not stop the others."""
+    place = store.work_dir(spark)
+    files = vehicle_files(spark, sf, place, extra="2020,short\n \n")
+    broken = single_file(spark, spark.createDataFrame([("a,b",), ("1,é",)], "value string"), f"{place}/in/file_1990.csv")
+    done = imports.import_all(spark, [*files, broken, f"{place}/in/file_1989.csv"], f"{place}/facts", f"{place}/rejects", f"{place}/log")
+    stored = spark.read.parquet(f"{place}/facts").groupBy("year").agg(F.count(F.lit(1)).alias("stored"))
+    bad = spark.read.parquet(f"{place}/rejects").groupBy("year", "reason", "line").agg(F.count(F.lit(1)).alias("rejected"))
+    log = spark.read.parquet(f"{place}/log").select("year", "record_count", "status")
+    return stored.join(bad, "year").join(log, "year").withColumn("failed", F.lit(len(done.failed)))
+
+
+add("import_rejects", import_rejects, f"with {REG} select year + {LATER} as year, count(distinct {_KEY_SQL}) as stored, '2 fields in place of ' || case when year + {LATER} >= 2017 then 16 else 15 end as reason, '2020,short' as line, 1 as rejected, count(distinct {_KEY_SQL}) as record_count, 'partial' as status, 2 as failed from reg group by year")
+
+
 def later_layout(spark: SparkSession, sf: str) -> DataFrame:
     """Facts under the names of the later layout, damaged, written in the yearly layout and read back."""
     place = store.work_dir(spark)

@@ -62,6 +62,80 @@ def import_files(spark: SparkSession, paths: list[str], table: str, log: str | N
     return out
 
 
+@dataclass(frozen=True)
+class Batch:
+    """What an import of many files did, and the files that it could not take, with reasons."""
+
+    results: list[Result]
+    failed: list[tuple[str, str]]
+
+
+def import_all(spark: SparkSession, paths: list[str], table: str, rejects: str | None = None, log: str | None = None, family: str = "vehicles") -> Batch:
+    """Imports files in one job: each replaces its year, and a broken one does not stop the others.
+
+    The driver reads the heads of files for their dialects alone; files of a dialect are one scan, and all lines are
+    parsed once, to a table beside.  From there good rows go to their years, one for each sequence, and rejected lines
+    with file, year and reason to ``rejects``; one aggregation counts both by file.  Of several files of a year the last
+    is taken, in the order of names.
+    """
+    vehicle, failed, by = family == "vehicles", [], {}
+    last = {year_of(p): p for p in sorted(p for p in paths if _has_year(p))}
+    for path in sorted(paths):
+        year = year_of(path) if _has_year(path) else None
+        if year is None or last[year] != path:
+            failed.append((path, "there is no year in its name" if year is None else "a later file has its year"))
+            continue
+        try:
+            how = readers.dialect(spark, path, readers.vehicle_columns(year) if vehicle else readers.LICENCE_COLUMNS, vehicle)
+        except Exception as e:  # noqa: BLE001  whatever keeps a file from being read is told, and the others go on
+            failed.append((path, str(e).splitlines()[0]))
+            continue
+        by.setdefault(how, []).append(path)
+    if not by:
+        return Batch([], failed)
+    of_file = {_plain(spark, p): y for y, p in last.items()}
+    years = spark.createDataFrame(list(of_file.items()), "_file string, _year int")
+    staged, stage = None, store.work_dir(spark)
+    for how, some in by.items():
+        rows, good = readers.read_dialect(spark, some, how)
+        rows = rows.join(F.broadcast(years), F.regexp_replace("file", "^file:/+", "file:/") == F.col("_file"))  # a row for each file
+        facts = readers.vehicle_facts(F.col("_year"), "TYP_CARBU" in how.names) if vehicle else readers.licence_facts(F.col("_year"))
+        reason = F.when(~good, F.format_string("%d fields in place of %d", F.size("f"), F.lit(len(how.names))))
+        one = rows.select(*facts, F.col("_file"), reason.alias("_reason"), F.when(~good, F.col("line")).alias("_line"))
+        staged = one if staged is None else staged.unionByName(one)
+    try:
+        staged.write.parquet(stage)
+        staged = spark.read.parquet(stage)
+        good = staged.where("_reason is null").drop("_file", "_reason", "_line")
+        of = [c for c in good.columns if c not in ("year", "sequence")]
+        store.write_years(store.last_wins(good, ["year", "sequence"], [F.xxhash64(*of)]), table, dealt=True)
+        counts = {r["_file"]: r for r in staged.groupBy("_file").agg(F.count_if(F.col("_reason").isNull()).alias("good"), F.count("_reason").alias("bad")).collect()}  # a row for each file
+        stored = {r.year: r.n for r in spark.read.parquet(table).groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}  # ... and for each year
+        if rejects:
+            lines = staged.where("_reason is not null").select(F.col("_file").alias("file"), "year", F.col("_reason").alias("reason"), F.col("_line").alias("line"))
+            lines.withColumn("import_date", F.current_timestamp()).write.mode("append").parquet(rejects)
+    finally:
+        store.delete_all(spark, [stage])
+    results = []
+    for year, path in sorted(last.items()):
+        r = counts.get(_plain(spark, path))
+        if any(path in some for some in by.values()):
+            results.append(Result(path, year, stored.get(year, 0) if r and r.good else 0, r.bad if r else 0))
+    if log:
+        store.log_imports(spark, log, [(r.path.rsplit("/", 1)[-1], r.year, r.stored, r.dropped) for r in results], family)
+    return Batch(results, failed)
+
+
+def _has_year(path: str) -> bool:
+    return re.search(r"(?<![0-9])[0-9]{4}(?![0-9])", path.rsplit("/", 1)[-1]) is not None
+
+
+def _plain(spark: SparkSession, path: str) -> str:
+    """A file's name as Spark tells it, with one slash after ``file:``."""
+    place, system = store._folder(spark, path)
+    return re.sub("^file:/+", "file:/", system.makeQualified(place).toUri().toString())
+
+
 def later_layout(raw: DataFrame) -> DataFrame:
     """The columns that ``readers.normalise`` takes, from whichever names a later file has; a missing one is empty.
 

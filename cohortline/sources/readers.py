@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,17 +60,16 @@ def head(spark: SparkSession, path: str, size: int = 1 << 20) -> bytes:
         stream.close()
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Lines of a text file.  Spark decodes UTF-8 and Latin-1 itself; Windows-1252 lines are decoded from bytes that were read as Latin-1."""
-    lines = spark.read.option("encoding", "utf-8" if encoding == "utf-8" else "iso-8859-1").option("header", False).option("sep", "\u0001").option("quote", "").schema("value string").csv(path)
-    if encoding != "cp1252":
-        return lines
+#: What Windows-1252 has in place of the control characters of Latin-1.
+_LATIN = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([pa.array([None if x is None else x.encode("iso-8859-1").decode("cp1252", "replace") for x in b.column(0).to_pylist()], pa.string())], names=["value"])
 
-    return lines.mapInArrow(run, "value string")
+def read_lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """Lines of text files and the file that each is from.  Windows-1252 is read as Latin-1, whose control characters are replaced."""
+    lines = spark.read.option("encoding", "utf-8" if encoding == "utf-8" else "iso-8859-1").option("header", False).option("sep", "\u0001").option("quote", "").schema("value string").csv(path)
+    value = F.translate("value", _LATIN, _WINDOWS) if encoding == "cp1252" else F.col("value")
+    return lines.select(value.alias("value"), F.col("_metadata.file_path").alias("file"))
 
 
 def fields(line: Column, sep: str) -> Column:
@@ -82,24 +80,44 @@ def fields(line: Column, sep: str) -> Column:
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
 
 
-def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], french: bool) -> tuple[DataFrame, Column]:
-    """Rows of a file under its header's names, and the condition that a line has the right number of fields.
+@dataclass(frozen=True)
+class Dialect:
+    """How a file is written: its encoding, separator and header line, and the names in it."""
 
-    Blank lines go.  The header must have exactly the names of ``columns``, in any order.
-    """
+    encoding: str
+    sep: str
+    header: str
+    names: tuple[str, ...]
+
+
+def dialect(spark: SparkSession, path: str, columns: tuple[str, ...], french: bool) -> Dialect:
+    """The dialect of a file by its first bytes; the header must have exactly the names of ``columns``, in any order."""
     start = head(spark, path)
     encoding = decode(start, french)
     lines = [x for x in start.decode(encoding, "replace").splitlines() if x.strip()]
     if len(lines) < 2:
         raise SourceError("the file has no rows")
     sep = delimiter(lines[0])
-    names = [x.strip().strip('"').lstrip("﻿") for x in lines[0].split(sep)]
+    names = tuple(x.strip().strip('"').lstrip("\ufeff") for x in lines[0].split(sep))
     if sorted(names) != sorted(columns):
         raise SourceError(f"the header has {len(names)} columns, or other names than the {len(columns)} of this year")
-    text = read_lines(spark, path, encoding).where(F.length(F.trim("value")) > 0).where(F.replace(F.col("value"), F.lit("﻿"), F.lit("")) != lines[0].lstrip("﻿"))
-    split = text.select(fields(F.col("value"), sep).alias("f"))
-    good = F.size("f") == len(names)
-    return split.select("f", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)]), good
+    return Dialect(encoding, sep, lines[0].lstrip("\ufeff"), names)
+
+
+def read_dialect(spark: SparkSession, path: str | list[str], how: Dialect) -> tuple[DataFrame, Column]:
+    """Rows of files of a dialect under its names, with ``f`` (their fields), ``file`` and ``line``, and the condition that a line has the right number of fields.
+
+    Blank lines go, and headers.
+    """
+    bare = F.replace(F.col("value"), F.lit("\ufeff"), F.lit(""))
+    text = read_lines(spark, path, how.encoding).where(F.length(F.trim("value")) > 0).where(bare != how.header)
+    split = text.select(fields(F.col("value"), how.sep).alias("f"), "file", F.col("value").alias("line"))
+    return split.select("f", "file", "line", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(how.names)]), F.size("f") == len(how.names)
+
+
+def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], french: bool) -> tuple[DataFrame, Column]:
+    """Rows of a file under its header's names, and the condition that a line has the right number of fields."""
+    return read_dialect(spark, path, dialect(spark, path, columns, french))
 
 
 def counted(rows: DataFrame, good: Column, seen: Observation | None) -> DataFrame:
@@ -109,31 +127,41 @@ def counted(rows: DataFrame, good: Column, seen: Observation | None) -> DataFram
     return rows.where(good)
 
 
-def vehicles(spark: SparkSession, path: str, year: int, seen: Observation | None = None) -> DataFrame:
-    """Registrations of a yearly file; lines with another number of fields go."""
-    rows, good = read_csv(spark, path, vehicle_columns(year), french=True)
+def vehicle_facts(year: Column, fuels: bool) -> list[Column]:
+    """The columns of registrations from those of a yearly file."""
     v = lambda c: tx.repair_mojibake(F.col(c))
     blank = lambda c: tx.blank_to_null(v(c))
     mass, size = tx.to_double(F.col("MASSE_NETTE")), tx.to_double(F.col("CYL_VEH"))
-    return counted(rows, good, seen).select(
-        F.lit(year).alias("year"), F.coalesce(blank("NOSEQ_VEH"), F.lit(f"{year}_UNKNOWN")).alias("sequence"), blank("CLAS").alias("vehicle_class"), blank("TYP_VEH_CATEG_USA").alias("vehicle_type"),
+    return [
+        year.alias("year"), F.coalesce(blank("NOSEQ_VEH"), F.concat(year.cast("string"), F.lit("_UNKNOWN"))).alias("sequence"), blank("CLAS").alias("vehicle_class"), blank("TYP_VEH_CATEG_USA").alias("vehicle_type"),
         blank("MARQ_VEH").alias("make"), blank("MODEL_VEH").alias("model"), tx.to_int(F.col("ANNEE_MOD")).alias("model_year"), mass.alias("net_mass"), tx.rounded(mass).alias("net_mass_int"),
         size.alias("displacement"), tx.rounded(size).alias("displacement_int"), tx.to_int(F.col("NB_CYL")).alias("cylinder_count"), tx.to_int(F.col("NB_ESIEU_MAX")).alias("max_axles"), blank("COUL_ORIG").alias("color"),
-        (blank("TYP_CARBU") if year >= FUEL_FROM else F.lit(None).cast("string")).alias("fuel_type"), tx.code_of(v("REG_ADM")).alias("admin_region"), tx.code_of(v("MRC")).alias("mrc"), blank("CG_FIXE").alias("municipality"),
-    )
+        (blank("TYP_CARBU") if fuels else F.lit(None).cast("string")).alias("fuel_type"), tx.code_of(v("REG_ADM")).alias("admin_region"), tx.code_of(v("MRC")).alias("mrc"), blank("CG_FIXE").alias("municipality"),
+    ]
 
 
-def licences(spark: SparkSession, path: str, year: int, seen: Observation | None = None) -> DataFrame:
-    """Licences of a yearly file."""
-    rows, good = read_csv(spark, path, LICENCE_COLUMNS, french=False)
+def vehicles(spark: SparkSession, path: str, year: int, seen: Observation | None = None) -> DataFrame:
+    """Registrations of a yearly file; lines with another number of fields go."""
+    rows, good = read_csv(spark, path, vehicle_columns(year), french=True)
+    return counted(rows, good, seen).select(*vehicle_facts(F.lit(year), year >= FUEL_FROM))
+
+
+def licence_facts(year: Column) -> list[Column]:
+    """The columns of licences from those of a yearly file."""
     blank = lambda c: tx.blank_to_null(F.col(c))
     flags = ("learner_123", "learner_5", "learner_6a6r", "driver_1234", "driver_5", "driver_6abce", "driver_6d", "driver_8", "probationary")
     years = ("exp_1234", "exp_5", "exp_6abce", "exp_global")
-    return counted(rows, good, seen).select(
-        F.lit(year).alias("year"), F.coalesce(blank("NOSEQ_TITUL"), F.lit(f"{year}_UNKNOWN")).alias("sequence"), blank("AGE_1ER_JUIN").alias("age_group"), blank("SEXE").alias("gender"), blank("TYPE_PERMIS").alias("licence_type"),
+    return [
+        year.alias("year"), F.coalesce(blank("NOSEQ_TITUL"), F.concat(year.cast("string"), F.lit("_UNKNOWN"))).alias("sequence"), blank("AGE_1ER_JUIN").alias("age_group"), blank("SEXE").alias("gender"), blank("TYPE_PERMIS").alias("licence_type"),
         tx.blank_to_null(tx.last_code_of(F.col("REG_ADM"))).alias("admin_region"), tx.blank_to_null(tx.last_code_of(F.col("MRC"))).alias("mrc"),
         *[tx.yes(F.col(c)).alias(n) for c, n in zip(LICENCE_COLUMNS[7:16], flags, strict=True)], *[blank(c).alias(n) for c, n in zip(LICENCE_COLUMNS[16:], years, strict=True)],
-    )
+    ]
+
+
+def licences(spark: SparkSession, path: str, year: int, seen: Observation | None = None) -> DataFrame:
+    """Licences of a yearly file."""
+    rows, good = read_csv(spark, path, LICENCE_COLUMNS, french=False)
+    return counted(rows, good, seen).select(*licence_facts(F.lit(year)))
 
 
 def dropped_lines(spark: SparkSession, path: str, columns: tuple[str, ...], french: bool) -> int:

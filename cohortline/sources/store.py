@@ -85,10 +85,9 @@ def delete_year(spark: SparkSession, year: int, tables: list[str], log: str | No
     for path in tables:
         delete_years(spark, path, (year,))
     if log and exists(spark, log):
-        place = work_dir(spark)
-        spark.read.parquet(log).where(~F.col("year").eqNullSafe(F.lit(year))).write.parquet(place)  # what is read may not be written over
-        spark.read.parquet(place).write.mode("overwrite").parquet(log)
-        delete_all(spark, [place])
+        beside = f"{log}-new-{uuid.uuid4().hex}"
+        spark.read.parquet(log).where(~F.col("year").eqNullSafe(F.lit(year))).write.parquet(beside)
+        swap(spark, beside, log)
 
 
 def delete_all(spark: SparkSession, tables: list[str]) -> None:
@@ -108,17 +107,31 @@ STATUSES = {"vehicles": ("success", "partial"), "licences": ("completed", "compl
 
 def log_import(spark: SparkSession, path: str, file_name: str, year: int, good: int, bad: int, family: str = "vehicles") -> None:
     """Appends a row to the import log."""
-    row = spark.createDataFrame([(file_name, year, good, STATUSES[family][bad > 0])], "file_name string, year int, record_count bigint, status string")
-    row.withColumn("import_date", F.current_timestamp()).write.mode("append").parquet(path)
+    log_imports(spark, path, [(file_name, year, good, bad)], family)
+
+
+def log_imports(spark: SparkSession, path: str, done: list[tuple[str, int, int, int]], family: str = "vehicles") -> None:
+    """Appends a row for each import ``(file, year, good, bad)`` to the log."""
+    rows = spark.createDataFrame([(f, y, good, STATUSES[family][bad > 0]) for f, y, good, bad in done], "file_name string, year int, record_count bigint, status string")
+    rows.withColumn("import_date", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def digests(df: DataFrame) -> dict[str, list]:
+    """Of each year (of all rows, without a year): rows, and the sums of two hashes of each row, whatever the order of rows and columns."""
+    by = F.coalesce(F.col("year").cast("string"), F.lit("")) if "year" in df.columns else F.lit("")
+    whole = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)")).cast("string")
+    found = df.groupBy(by.alias("y")).agg(F.count(F.lit(1)).alias("n"), total(*whole).alias("one"), total(F.lit(1), *whole).alias("two"))
+    return {r.y: [r.n, r.one, r.two] for r in found.collect()}  # a row for each year
 
 
 def manifest(tables: dict[str, DataFrame]) -> dict:
-    """Rows, years and columns of tables."""
+    """Rows, years, columns and digests by year of tables."""
     out = {}
     for name, df in tables.items():
         has_year = "year" in df.columns
         r = df.agg(F.count(F.lit(1)).alias("n"), *([F.min("year").alias("a"), F.max("year").alias("b")] if has_year else [])).first()
-        out[name] = {"rows": r.n, "columns": df.dtypes} | ({"from_year": r.a, "to_year": r.b} if has_year else {})
+        out[name] = {"rows": r.n, "columns": df.dtypes, "digests": digests(df)} | ({"from_year": r.a, "to_year": r.b} if has_year else {})
     return out
 
 
@@ -132,7 +145,7 @@ def export_package(spark: SparkSession, tables: dict[str, DataFrame], path: str)
 
 
 def validate_package(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> list[str]:
-    """What is wrong with a package: tables that are missing, or differ from the manifest in columns or rows."""
+    """What is wrong with a package: tables that are missing, or differ from the manifest in columns or in any value (years are named)."""
     found = json.loads(spark.read.text(f"{path}/manifest").first().value)
     wrong = [f"{name} is missing" for name in required if name not in found]
     for name, said in found.items():
@@ -145,6 +158,9 @@ def validate_package(spark: SparkSession, path: str, required: tuple[str, ...] =
             wrong.append(f"{name} has other columns")
         elif df.count() != said["rows"]:
             wrong.append(f"{name} has other rows")
+        elif (now := digests(df)) != (then := said.get("digests", now)):
+            years = sorted(y for y in {*now, *then} if now.get(y) != then.get(y))
+            wrong.append(f"{name} has other values" + (f" in {', '.join(years)}" if years != [""] else ""))
     return wrong
 
 
@@ -164,14 +180,18 @@ def families_in(spark: SparkSession, path: str) -> set[str]:
     return {n for n in FAMILIES if exists(spark, f"{path}/{n}") and not spark.read.parquet(f"{path}/{n}").isEmpty()}
 
 
-def import_package(spark: SparkSession, package: str, store: str, mode: str | None = None) -> str:
+def import_package(spark: SparkSession, package: str, store: str, mode: str | None = None, whole: bool = False) -> str:
     """Takes a package into a store and says how; without a ``mode`` it chooses one by what both have.
 
     ``replace`` puts the package's tables in place of all of the store's.  ``merge`` adds families that the
     store has no rows of, with the package's other tables merged into the store's by row, and is refused where
-    both have rows of a family.  A package that differs from its manifest, or has no rows, is refused.
+    both have rows of a family.  A package that differs from its manifest, or has no rows, is refused; with ``whole``
+    one that lacks any table or column that a package must have, too.
+
+    All tables are written beside the store's before any of these goes, so that a write that fails leaves the store
+    as it was; then they are renamed.
     """
-    wrong = validate_package(spark, package)
+    wrong = validate_package(spark, package) + (lacking(spark, package) if whole else [])
     there, here = families_in(spark, package), families_in(spark, store)
     if wrong or not there:
         raise ValueError(f"the package cannot be imported: {wrong or 'it has no rows'}")
@@ -179,21 +199,37 @@ def import_package(spark: SparkSession, package: str, store: str, mode: str | No
     if mode == "refuse" or mode == "merge" and here & there:
         raise ValueError(f"both sides have {sorted(here & there)}")
     names = json.loads(spark.read.text(f"{package}/manifest").first().value)
-    if mode == "replace":
-        delete_all(spark, [f"{store}/{n}" for n in {*names, *REQUIRED}])
-    for name in names:
-        new = spark.read.parquet(f"{package}/{name}")
-        if mode == "merge" and name in FAMILIES and name not in there:
-            continue
-        if mode == "merge" and name not in FAMILIES and exists(spark, f"{store}/{name}"):
-            place = work_dir(spark)
-            spark.read.parquet(f"{store}/{name}").unionByName(new, allowMissingColumns=True).distinct().write.parquet(place)
-            new = spark.read.parquet(place)
-        writer = new.write.mode("overwrite")
-        (writer.partitionBy("year") if name in FAMILIES else writer).parquet(f"{store}/{name}")
+    beside, taken = f"{store}/_new-{uuid.uuid4().hex}", []
+    try:
+        for name in names:
+            new = spark.read.parquet(f"{package}/{name}")
+            if mode == "merge" and name in FAMILIES and name not in there:
+                continue
+            if mode == "merge" and name not in FAMILIES and exists(spark, f"{store}/{name}"):
+                new = spark.read.parquet(f"{store}/{name}").unionByName(new, allowMissingColumns=True).distinct()
+            writer = new.write.mode("overwrite")
+            (writer.partitionBy("year") if name in FAMILIES else writer).parquet(f"{beside}/{name}")
+            taken.append(name)
+        for name in {*taken, *(REQUIRED if mode == "replace" else ())}:
+            swap(spark, f"{beside}/{name}" if name in taken else None, f"{store}/{name}")
+    finally:
+        delete_all(spark, [beside])
     return mode
 
 
+def swap(spark: SparkSession, new: str | None, path: str) -> None:
+    """Puts a folder in the place of another by renaming; what was there goes last.  Without a new one the place is empty after it."""
+    old = f"{path}-old-{uuid.uuid4().hex}"
+    place, system = _folder(spark, path)
+    system.mkdirs(place.getParent())
+    if system.exists(place) and not system.rename(place, _folder(spark, old)[0]):
+        raise OSError(f"{path} cannot be renamed")
+    if new is not None and not system.rename(_folder(spark, new)[0], place):
+        system.rename(_folder(spark, old)[0], place)  # as it was
+        raise OSError(f"{new} cannot be renamed")
+    delete_all(spark, [old])
+
+
 def default_mode(here: set[str], there: set[str]) -> str:
     """How a package is taken in: ``replace`` if nothing is here, ``merge`` if both sides have no family in common, else ``refuse``."""
     if not here:
@@ -204,3 +240,78 @@ def default_mode(here: set[str], there: set[str]) -> str:
 def merge(here: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both by natural keys; those of ``there`` win."""
     return upsert(here, there, keys)
+
+
+# ---- buckets within years
+def bucket_of(keys: tuple[str, ...], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def bucket_versions(spark: SparkSession, path: str) -> dict[tuple[int, int], str]:
+    """The version of each year's buckets, by the last manifest."""
+    place, system = _folder(spark, f"{path}/manifests")
+    names = sorted(x.getPath().getName() for x in system.listStatus(place) if x.getPath().getName().endswith(".json")) if system.exists(place) else []
+    return {(r.year, r.bucket): r.version for r in spark.read.schema("year int, bucket int, version string").json(f"{path}/manifests/{names[-1]}").collect()} if names else {}
+
+
+def read_buckets(spark: SparkSession, path: str, years: tuple[int, ...] | None = None, only: set[tuple[int, int]] | None = None) -> DataFrame | None:
+    """The rows of one version of a table with buckets: readers of a manifest see all of its write or nothing.  ``years`` limits the folders that are read; None if there are none."""
+    folders = [f"{path}/data/{v}/_y={y}/_b={b}" for (y, b), v in sorted(bucket_versions(spark, path).items()) if (years is None or y in years) and (only is None or (y, b) in only)]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def upsert_buckets(spark: SparkSession, path: str, new: DataFrame, keys: tuple[str, ...] = ("year", "sequence"), buckets: int = 64, ordinal: str | None = None) -> list[tuple[int, int]]:
+    """Puts rows in place of stored ones with the same keys, and says which (year, bucket) it has written.
+
+    A key's bucket within its year follows from the key.  Only buckets that the rows touch are read and written, to
+    a folder of their own; a manifest, put in place by renaming, then names the folder of each bucket.  A write that is
+    killed before leaves the table as it was.  The number of buckets is that of the table: it stays the same.
+    """
+    tagged = written(new.withColumns({"_y": F.col("year"), "_b": bucket_of(keys, buckets)}))
+    touched = sorted((r["_y"], r["_b"]) for r in tagged.select("_y", "_b").distinct().collect())  # of years x buckets at most
+    if not touched:
+        return []
+    known, version = bucket_versions(spark, path), f"v-{uuid.uuid4().hex}"
+    old = read_buckets(spark, path, only=set(touched))
+    rows = tagged.drop("_y", "_b")
+    if old is None:
+        order = [F.desc(ordinal)] if ordinal else [F.desc_nulls_last(c) for c in rows.columns if c not in keys]
+        whole = last_wins(rows, list(keys), order)
+        whole = whole.drop(ordinal) if ordinal else whole
+    else:
+        whole = upsert(old.select(*[c for c in rows.columns if c != ordinal]), rows, list(keys), ordinal)
+    whole = whole.withColumns({"_y": F.col("year"), "_b": bucket_of(keys, buckets)})
+    whole.repartition("_y", "_b").write.partitionBy("_y", "_b").parquet(f"{path}/data/{version}")
+    publish(spark, path, known | dict.fromkeys(touched, version))
+    return touched
+
+
+def publish(spark: SparkSession, path: str, versions: dict[tuple[int, int], str]) -> None:
+    """Writes a manifest and gives it the next number by renaming, which fails if another writer has taken it."""
+    beside = f"{path}/manifests/_new-{uuid.uuid4().hex}"
+    rows = spark.createDataFrame([(y, b, v) for (y, b), v in versions.items()], "year int, bucket int, version string")
+    rows.coalesce(1).write.json(beside)
+    place, system = _folder(spark, f"{path}/manifests")
+    number = 1 + max((int(x.getPath().getName()[:9]) for x in system.listStatus(place) if x.getPath().getName().endswith(".json")), default=0)
+    made, _ = _folder(spark, beside)
+    part = next(x.getPath() for x in system.listStatus(made) if x.getPath().getName().startswith("part-"))
+    target, _ = _folder(spark, f"{path}/manifests/{number:09d}.json")
+    if system.exists(target) or not system.rename(part, target):
+        raise OSError("another writer was first")
+    system.delete(made, True)
+
+
+def vacuum_buckets(spark: SparkSession, path: str) -> int:
+    """Deletes folders of buckets that the last manifest does not name, and older manifests; says how many folders.  For times without readers of old versions."""
+    live = {f"{v}/_y={y}/_b={b}" for (y, b), v in bucket_versions(spark, path).items()}
+    place, system = _folder(spark, f"{path}/data")
+    gone = 0
+    for version in system.listStatus(place):
+        for year in system.listStatus(version.getPath()):
+            for bucket in system.listStatus(year.getPath()) if year.isDirectory() else ():
+                if "/".join((version.getPath().getName(), year.getPath().getName(), bucket.getPath().getName())) not in live:
+                    gone += bool(system.delete(bucket.getPath(), True))
+    manifests, _ = _folder(spark, f"{path}/manifests")
+    for x in sorted(system.listStatus(manifests), key=lambda x: x.getPath().getName())[:-1]:
+        system.delete(x.getPath(), True)
+    return gone

@@ -116,8 +116,9 @@ def test_candidates_are_few(spark):
     known = star.read(spark, "/root/testdata/sf0.01", "part").select(F.concat("p_brand", "p_name").alias("b")).distinct()
     n = known.count()
     unknown = known.select(F.concat(F.substring("b", 1, 12), F.lit("0"), F.substring("b", 14, 99)).alias("a")).distinct()
-    assert resolve.meeting(unknown, known, 0.95).count() < n * unknown.count() / 10
-    assert resolve.meeting(unknown, known, 0.85).count() < n * unknown.count() / 4
+    x, y = resolve.indexed(resolve.spelled(unknown, F.col("a")), resolve.spelled(known, F.col("b")))
+    for level in (0.95, 0.85):
+        assert resolve.meeting(x, y, level).distinct().count() < n * unknown.count() / 10
 
 
 def test_best_match_makes_no_product(spark, sf_dir):
