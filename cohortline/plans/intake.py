@@ -13,8 +13,8 @@ from ..operators import resolve
 from ..operators.filters import EXPERIENCE_COLUMNS, FilterSpec, apply
 from ..operators.metrics import Metric, query
 from ..sources import imports, readers, sinks, store
-from . import star
-from .catalog import add, chart, sql_chart
+from . import kept, star
+from .catalog import ORACLES, add, chart, sql_chart
 from .star import LIC, MAP, REG, YEARS
 
 #: The order tables' years as years of files that have fuel types.
@@ -400,3 +400,21 @@ def value_labels(spark: SparkSession, sf: str) -> DataFrame:
 add("value_labels", value_labels, f"""with {REG}, v as (select year, count(*) as n, sum(net_mass) as mass, count(fuel_type)::double / count(*) * 100 as share from reg group by year)
 select 'count' as kind, year, format('{{:,}}', n) || ' vehicles' as label from v union all select 'sum', year, case when mass > 10000 then format('{{:.1f}} tonnes', mass / 1000) else format('{{:,}}', cast(floor(mass) as bigint)) || ' kg' end from v
 union all select 'coverage', year, case when share < 0.1 then format('{{:.3f}}%', share) when share < 1 then format('{{:.2f}}%', share) when share < 10 then format('{{:.1f}}%', share) else format('{{:.0f}}%', share) end from v""")
+
+# ---- aggregates kept by year, after two imports of which the second replaces two years
+def kept_after_imports(spark: SparkSession, facts: DataFrame) -> DataFrame:
+    """The kept groups of facts whose years 1996 and 2000 were imported by half first, and then whole."""
+    place = store.work_dir(spark)
+    path, log = f"{place}/facts", f"{place}/log"
+    half = facts.where(~F.col("year").isin(1996, 2000) | (F.length("model") % 2 == 0))
+    for part in (half, facts.where(F.col("year").isin(1996, 2000))):
+        store.write_years(part, path)
+        store.log_imports(spark, log, [(f"f_{y}.csv", y, 0, 0) for y in sorted(r.year for r in part.select("year").distinct().collect())])
+        kept.refresh(spark, lambda years: spark.read.parquet(path).where(F.col("year").isin(years)), spark.read.parquet(log), f"{place}/kept")
+    return kept.groups(spark, f"{place}/kept")
+
+
+_groups = lambda s, d: star.registrations(s, d, "year", *kept.GROUPS)
+add("kept_hierarchy", lambda s, d: kept.hierarchy(kept_after_imports(s, _groups(s, d)), YEARS), ORACLES["canonical_hierarchy"])
+add("kept_pairs", lambda s, d: kept.uncurated_pairs(kept_after_imports(s, _groups(s, d)), YEARS).withColumn("share", F.round("share", 8)), ORACLES["uncurated_pairs"])
+add("kept_stats", lambda s, d: kept.detailed_stats(kept_after_imports(s, _groups(s, d)), star.mapping(s, d), YEARS), ORACLES["detailed_stats"])
