@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Spellings of makes, substrings and forms of model codes.
 MAKE_VARIANTS = {"VOLV0": "VOLVO", "HOND": "HONDA", "TOYOT": "TOYOTA", "MERCE": "MERCEDES-BENZ", "CHEVR": "CHEVROLET", "VOLKSW": "VOLKSWAGEN", "MAZD": "MAZDA"}
@@ -21,41 +19,50 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(x, y).cast("double") / longest.cast("double"))
 
 
-def jaro_winkler_of(a: str, b: str) -> float:
-    """Jaro-Winkler similarity of two strings, upper-cased.
+def jaro_winkler(a: Column, b: Column) -> Column:
+    """Jaro-Winkler similarity of two strings, upper-cased, by array functions alone; null if either is.
 
-    Two departures from the textbook form: with a match window of 0 only equal strings are alike, and the
-    prefix always counts, however low the Jaro value is.
+    Letters of ``a`` take the first free equal letter of ``b`` within reach, one after another.  Two departures from the
+    textbook form: with a match window of 0 only equal strings are alike, and the prefix always counts, however low
+    the Jaro value is.
     """
-    a, b = a.upper(), b.upper()
-    if a == b:
-        return 1.0
-    reach = max(len(a), len(b)) // 2 - 1
-    if not a or not b or reach <= 0:
-        return 0.0
-    free = list(b)
-    taken: list[int] = []
-    for i, c in enumerate(a):
-        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if free[j] == c), None)
-        if j is not None:
-            free[j] = ""
-            taken.append(j)
-    if not taken:
-        return 0.0
-    found = len(taken)
-    swapped = sum(b[x] != b[y] for x, y in zip(taken, sorted(taken), strict=True)) / 2
-    jaro = (found / len(a) + found / len(b) + (found - swapped) / found) / 3
-    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + 0.1 * prefix * (1 - jaro)
-
-
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)])
-
-
-def combined_similarity(a: Column, b: Column) -> Column:
-    return 0.4 * edit_similarity(a, b) + 0.6 * jaro_winkler(a, b)
+    x, y = F.upper(a), F.upper(b)
+    n, m = F.length(x), F.length(y)
+    reach = F.floor(F.greatest(n, m) / 2).cast("int") - 1
+    start = F.struct(y.alias("free"), F.array().cast("array<int>").alias("taken"))
+
+    def take(s: Column, i: Column) -> Column:
+        low = F.greatest(i - reach, F.lit(1))
+        at = F.call_function("locate", F.substring(x, i, F.lit(1)), s["free"], low)
+        found = (at > 0) & (at <= i + reach)
+        return F.struct(F.when(found, F.call_function("overlay", s["free"], F.lit("\0"), at, F.lit(1))).otherwise(s["free"]).alias("free"), F.when(found, F.array_append(s["taken"], at)).otherwise(s["taken"]).alias("taken"))
+
+    def value(s: Column) -> Column:
+        found = F.size(s["taken"])
+        letter = lambda k: F.substring(y, k, F.lit(1))
+        moved = F.size(F.filter(F.zip_with(s["taken"], F.array_sort(s["taken"]), lambda p, q: letter(p) != letter(q)), lambda z: z)) / 2
+        jaro = (found / n + found / m + (found - moved) / found) / 3
+        prefix = sum((F.when(F.least(n, m) >= k, F.when(F.substring(x, 1, k) == F.substring(y, 1, k), 1).otherwise(0)).otherwise(0) for k in range(1, 5)), F.lit(0))
+        return F.when(found == 0, 0.0).otherwise(jaro + 0.1 * prefix * (1 - jaro))
+
+    alike = F.aggregate(F.sequence(F.lit(1), n), start, take, value)
+    return F.when(x.isNull() | y.isNull(), F.lit(None).cast("double")).when(x == y, 1.0).when((n == 0) | (m == 0) | (reach <= 0), 0.0).otherwise(alike)
+
+
+def jaro_winkler_most(a: Column, b: Column) -> Column:
+    """What ``jaro_winkler`` can be at most, by lengths and by the letters that only one of two strings has."""
+    x, y = F.upper(a), F.upper(b)
+    n, m = F.length(x), F.length(y)
+    other = lambda p, q: F.length(F.call_function("translate", p, q, F.lit("")))
+    found = F.least(n - other(x, y), m - other(y, x))
+    jaro = F.when(found > 0, (found / F.greatest(n, F.lit(1)) + found / F.greatest(m, F.lit(1)) + 1) / 3).otherwise(0.0)
+    return F.when(x == y, 1.0).otherwise(jaro + 0.4 * (1 - jaro) * (found > 0).cast("int"))
+
+
+def combined_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """0.4 of the edit similarity and 0.6 of Jaro-Winkler; 0 where a bound tells that this is below ``least``."""
+    edit = edit_similarity(a, b)
+    return F.when(0.4 * edit + 0.6 * jaro_winkler_most(a, b) >= least - 1e-9, 0.4 * edit + 0.6 * jaro_winkler(a, b)).when(a.isNotNull() & b.isNotNull(), 0.0)
 
 
 def hyphen_match(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import LICENCE_CLASSES, Years
+from ..sources.store import written
 
 
 def values(facts: DataFrame, column: str) -> DataFrame:
@@ -48,12 +49,47 @@ def resolve(dimension: DataFrame, key: str, value: str, fuzzy: bool = False) ->
 def surrogate_ids(existing: DataFrame, facts: DataFrame, column: str) -> DataFrame:
     """A dimension ``(id, column)`` with an id for each new value, after the largest one, in order of the values.
 
-    The numbers come from a sort of the distinct new values alone; facts keep their natural keys.
+    Distinct new values are sorted over all tasks and written; a value's number is its place in its part after the
+    sizes of the parts before.  Facts keep their natural keys.
     """
-    new = values(facts, column).join(existing, column, "left_anti")
+    new = values(facts, column).join(existing, column, "left_anti").select(F.col(column).alias("_v"), F.lit(0).alias("_all"))
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.orderBy(column))
-    return existing.select("id", column).union(new.join(top).select((F.col("top") + number).cast("int").alias("id"), column))
+    at = numbered_rows(new, "_all", F.col("_v")).crossJoin(top)  # one row
+    return existing.select("id", column).union(at.select((F.col("top") + F.col("_n")).cast("int").alias("id"), F.col("_v").alias(column)))
+
+
+def numbered_rows(rows: DataFrame, by: str, order: Column) -> DataFrame:
+    """Rows with ``_n``, their number from 1 within each value of ``by`` in the order given, by no task alone.
+
+    Rows are sorted over all tasks and written, so that parts stay as they are; a row's number is its place in its
+    part after the rows of its group in the parts before, of which there is a row each.
+    """
+    sorted_ = rows.withColumn("_o", order).repartitionByRange(by, "_o").sortWithinPartitions(by, "_o").drop("_o")
+    parts = written(sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = parts.groupBy(by, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).select(F.col(by).alias("_by"), F.col("_part").alias("_p"), "_first", "_before")
+    joined = parts.join(sizes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("_n", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_by", "_p", "_first", "_before", "_part", "_at")
+
+
+#: Lists of values of a family: the categories that a filter offers.
+VEHICLE_LISTS = ("vehicle_class", "vehicle_type", "make", "color", "fuel_type", "model_year", "max_axles", "admin_region", "mrc", "municipality")
+LICENCE_LISTS = ("licence_type", "age_group", "gender", "admin_region", "mrc", "exp_1234", "exp_5", "exp_6abce", "exp_global")
+
+
+def all_lists(facts: DataFrame, columns: tuple[str, ...], config: Years) -> DataFrame:
+    """``(category, value, curated, uncurated)``: the values of all categories as texts, with their rows in curated and uncurated years, in one scan.
+
+    Each category is a grouping set; rows are counted in the tasks before they are sent, a row for each value.
+    """
+    curated, late = (F.count_if(F.col("year").isin(*y)) for y in (config.curated, config.uncurated))
+    cube = facts.select("year", *[F.col(c).cast("string").alias(c) for c in columns]).groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns])
+    found = cube.agg(F.grouping_id(*columns).alias("_g"), curated.alias("curated"), late.alias("uncurated"))
+    # in a category's own set its bit alone is 0
+    bits = {c: ((1 << len(columns)) - 1) ^ (1 << (len(columns) - 1 - k)) for k, c in enumerate(columns)}
+    name = F.coalesce(*[F.when(F.col("_g") == bit, F.lit(c)) for c, bit in bits.items()])
+    return found.select(name.alias("category"), F.coalesce(*columns).alias("value"), "curated", "uncurated").where("value is not null")
 
 
 def split_years(facts: DataFrame, config: Years) -> tuple[DataFrame, DataFrame]:

@@ -131,7 +131,7 @@ def joined_score() -> Column:
 
 
 def blocked_score() -> Column:
-    return hyphen_boost(F.col("model"), F.col("canonical_model"), combined_similarity(F.col("model"), F.col("canonical_model")))
+    return hyphen_boost(F.col("model"), F.col("canonical_model"), combined_similarity(F.col("model"), F.col("canonical_model"), 0.75))
 
 
 def best_weighted(unknown: DataFrame, known: DataFrame) -> DataFrame:

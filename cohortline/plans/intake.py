@@ -334,7 +334,10 @@ add("curated_models", lambda s, d: dims.curated_models(_three(s, d), star.mappin
 select make, model, model || ' (' || make || ')' as display_name from c where curated > 0 and (make, model) not in (select (uncurated_make, uncurated_model) from map where uncurated_make <> canonical_make or uncurated_model <> canonical_model)""")
 for _name, _columns in {"licence_type": ("licence_type",), "age_group": ("age_group",), "gender": ("gender",), "experience": EXPERIENCE_COLUMNS}.items():
     add(f"dim_{_name}_in_order", (lambda c: lambda s, d: dims.in_order(star.licences(s, d), *c))(_columns), f"with {LIC} select cast(row_number() over (order by value) as int) as place, value from (" + " union ".join(f"select distinct {c} as value from lic where {c} is not null" for c in _columns) + ")")
-add("fuels_unknown_last", lambda s, d: dims.fuels(s.createDataFrame([("U", "Autre"), ("NS", "None"), ("E", "Gasoline"), ("D", "Diesel"), ("L", "Électrique")], "code string, description string")), "select * from (values ('D', 'Diesel', 1), ('E', 'Gasoline', 2), ('L', 'Électrique', 3), ('U', 'Autre', 4)) as t(code, description, place)")
+_fuel_names = lambda s, d: star.read(s, d, "nation").select(F.when(F.col("n_nationkey") == 3, "U").when(F.col("n_nationkey") == 5, "NS").otherwise(F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("description"))
+add("fuels_unknown_last", lambda s, d: dims.fuels(_fuel_names(s, d)), "with t as (select case n_nationkey when 3 then 'U' when 5 then 'NS' else cast(n_nationkey as varchar) end as code, n_name as description from nation) select *, cast(row_number() over (order by code = 'U', description) as int) as place from t where code <> 'NS'")
+add("vehicle_lists", lambda s, d: dims.all_lists(star.registrations(s, d), dims.VEHICLE_LISTS, YEARS), f"with {REG} " + " union all ".join(f"select '{c}' as category, cast({c} as varchar) as value, count(*) filter (year between 1995 and 1999) as curated, count(*) filter (year in (2000, 2001)) as uncurated from reg where {c} is not null group by {c}" for c in dims.VEHICLE_LISTS))
+add("licence_lists", lambda s, d: dims.all_lists(star.licences(s, d), dims.LICENCE_LISTS, YEARS), f"with {LIC} " + " union all ".join(f"select '{c}' as category, cast({c} as varchar) as value, count(*) filter (year between 1995 and 1999) as curated, count(*) filter (year in (2000, 2001)) as uncurated from lic where {c} is not null group by {c}" for c in dims.LICENCE_LISTS))
 add("sorted_points", lambda s, d: query(star.registrations(s, d, "year"), FilterSpec(years=(1999, 1993, 1996)), Metric(), YEARS).orderBy("year").withColumn("place", F.row_number().over(Window.orderBy("year"))), f"with {REG} select year, count(*)::double as value, cast(row_number() over (order by year) as int) as place from reg where year in (1993, 1996, 1999) group by year")
 add("hygiene_for_vehicles", lambda s, d: query(star.registrations(s, d, "year", "fuel_type"), FilterSpec(fuels=("R",), genders=("F",), experience=()).for_vehicles(), Metric(), YEARS), f"with {REG} select year, count(*)::double as value from reg where fuel_type = 'R' group by year")
 add("hygiene_for_licences", lambda s, d: query(star.licences(s, d), FilterSpec(genders=("F",), makes=("x",), age_ranges=((0, 1),)).for_licences(), Metric(), YEARS), f"with {LIC} select year, count(*)::double as value from lic where gender = 'F' group by year")

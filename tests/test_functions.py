@@ -37,8 +37,9 @@ def test_casts_and_flags(spark):
 
 
 @pytest.mark.parametrize("a,b,want", [("VOLV0", "VOLVO", 0.92), ("CX3", "CX-3", 0.933333), ("CIVIC", "CRV", 0.72), ("RAV", "RAV4", 0.941667), ("ACCORD", "CIVIC", 0.577778), ("COROL", "CAMRY", 0.64), ("AB", "AC", 0.0), ("X3", "X4", 0.0), ("", "", 1.0), ("A", "", 0.0), ("cx", "CX", 1.0)])
-def test_jaro_winkler(a, b, want):
-    assert sim.jaro_winkler_of(a, b) == pytest.approx(want, abs=1e-6)
+def test_jaro_winkler(spark, a, b, want):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(sim.jaro_winkler(F.col("a"), F.col("b"))).first()[0] == pytest.approx(want, abs=1e-6)
 
 
 def test_similarity_columns(spark):

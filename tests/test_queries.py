@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from cohortline.functions import similarity
 from cohortline.operators import filters, metrics, resolve
 from cohortline.plans import catalog, star
 
@@ -101,6 +102,25 @@ def test_blocked_matches_against_brute_force(spark, con, sf_dir):
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
 
 
+def test_similarity_runs_no_python(spark, sf_dir):
+    for name in ("jaro_winkler", "best_match_blocked"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_jaro_winkler_of_odd_strings(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcDé", k=rng.randint(0, 12)))
+    rows = [(word(), word()) for _ in range(400)] + [("", ""), ("", "a"), ("ab", "ba"), ("MARTHA", "MARHTA"), ("DIXON", "DICKSONX"), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", similarity.jaro_winkler(F.col("a"), F.col("b")).alias("s"), similarity.jaro_winkler_most(F.col("a"), F.col("b")).alias("most")).collect()
+    for r in got:
+        if r.a is None or r.b is None:
+            assert r.s is None
+        else:
+            assert r.s == pytest.approx(jaro_winkler(r.a.upper(), r.b.upper())) and r.s <= r.most + 1e-9
+
+
 @pytest.mark.parametrize("least", [0.5, 0.7, 0.9])
 def test_no_close_pair_is_missed(spark, least):
     rng = random.Random(2)

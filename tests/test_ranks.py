@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.operators import metrics, ranks
+from cohortline.operators import dims, metrics, ranks
 from cohortline.operators.filters import FilterSpec
 from cohortline.operators.metrics import Metric
 from cohortline.plans import catalog, star
@@ -49,3 +49,22 @@ def test_many_series_with_nulls_and_nothing(spark):
     got = sorted(map(tuple, metrics.many(facts, of, star.YEARS).collect()))
     assert got == [("a", 2000, 1.0), ("a", 2001, 1.0), ("b", 2000, 1.0), ("d", 2000, 1.0), ("d", 2001, 1.0)]
     assert metrics.many(facts.limit(0), of, star.YEARS).count() == 0
+
+
+def test_all_lists_in_one_scan(spark, sf_dir):
+    plan = catalog.QUERIES["licence_lists"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("orders.parquet") == 1
+
+
+def test_ids_are_given_by_all_tasks(spark):
+    facts = spark.range(5000).select(F.format_string("v%05d", F.col("id")).alias("v"))
+    existing = spark.createDataFrame([(7, "v00003"), (2, "v00001")], "id int, v string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = dims.surrogate_ids(existing, facts, "v")
+        rows = {r.v: r.id for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    want = [f"v{k:05d}" for k in range(5000) if k not in (1, 3)]
+    assert rows == {"v00003": 7, "v00001": 2} | {v: 8 + k for k, v in enumerate(want)}
+    assert dims.surrogate_ids(existing, facts.limit(0), "v").count() == 2
