@@ -14,13 +14,19 @@ from ..operators.filters import EXPERIENCE_COLUMNS, FilterSpec, apply
 from ..operators.metrics import Metric, query
 from ..sources import imports, readers, sinks, store
 from . import kept, star
-from .catalog import ORACLES, add, chart, sql_chart
+from .catalog import ORACLES, chart, sql_chart
+from .catalog import add as registered
 from .star import LIC, MAP, REG, YEARS
 
 #: The order tables' years as years of files that have fuel types.
 LATER = 25
 
 
+def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    """Registers a query that deletes the folders it has worked in."""
+    registered(name, lambda spark, sf: store.tidied(spark, lambda: query(spark, sf)), sql)
+
+
 def in_bytes(value: Column, encoding: str) -> Column:
     """A line whose bytes are in an encoding: the text sink writes them as they are."""
     return value if encoding == "utf-8" else F.encode(value, encoding).cast("string")

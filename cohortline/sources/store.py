@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,20 +20,43 @@ FAMILIES = ("registrations", "licences")
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share: in ``spark.checkpoint.dir``; where that is unset, a temporary one on a single machine only."""
+    place = f"{_shared(spark)}/work-{uuid.uuid4().hex}"
+    for made in _made:
+        made.append(place)
+    return place
+
+
+def _shared(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="work-")
-    return f"{base}/work-{uuid.uuid4().hex}"
+    return base
+
+
+#: Lists that each note the work folders made while they are open.
+_made: list[list[str]] = []
+
+
+def tidied(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """What ``run`` returns, without the work folders that it has made: a result that may read them is written before they go."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        out = run()
+        return written(out) if made else out
+    finally:
+        _made.remove(made)
+        delete_all(spark, made)
 
 
 def written(df: DataFrame) -> DataFrame:
     """Computes ``df`` once: its rows are written to ``spark.checkpoint.dir``, which executors share, and go when nothing refers to them."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(work_dir(df.sparkSession))
+        sc.setCheckpointDir(_shared(df.sparkSession))
         sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint()
 

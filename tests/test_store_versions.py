@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cohortline.plans import catalog
 from cohortline.sources import imports, readers, store
 
 HEAD = ",".join(readers.VEHICLE_COLUMNS)
@@ -100,3 +101,11 @@ def test_files_of_all_dialects_in_one_job(spark, tmp_path):
     imports.import_files(spark, [first], str(tmp_path / "u"))
     assert one == {tuple(r) for r in spark.read.parquet(str(tmp_path / "u")).select("sequence", "make", "net_mass").collect()}
     assert imports.import_all(spark, [bad], table).results == []
+
+
+def test_queries_leave_no_work_folders(spark, sf_dir, monkeypatch):
+    made = []
+    work_dir = store.work_dir
+    monkeypatch.setattr(store, "work_dir", lambda s: (made.append(work_dir(s)), made[-1])[1])
+    assert catalog.QUERIES["series_files"](spark, sf_dir).count() and made
+    assert not any(store.exists(spark, p) for p in made)
