@@ -37,7 +37,7 @@ def spelled(df: DataFrame, text: Column) -> DataFrame:
 
 
 def indexed(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both lists of ``spelled`` rows with their q-grams from the rarest to the most frequent of both, ``(g, p, r)``: ``r`` are rarer than it."""
+    """Both lists of ``spelled`` rows with their q-grams ``(f, g, p)`` from the rarest to the most frequent of both."""
     one = lambda df: df.select(F.explode("_g.g").alias("g"))
     often = one(x).union(one(y)).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
 
@@ -45,9 +45,7 @@ def indexed(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = [c for c in df.columns if c != "_g"]
         each = df.select(*own, F.explode_outer("_g").alias("x")).select(*own, F.col("x.g").alias("g"), F.col("x.p").alias("p")).join(often, "g", "left")
         known = each.groupBy(*own).agg(F.sort_array(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("f", "g", "p")))).alias("_k"))
-        values = F.transform("_k", lambda z: F.struct(z["f"], z["g"]))
-        rank = lambda z: (F.array_position(values, F.struct(z["f"], z["g"])) - 1).cast("int")
-        return known.select(*own, F.transform("_k", lambda z: F.struct(z["g"].alias("g"), z["p"].alias("p"), rank(z).alias("r"))).alias("_k"))
+        return known
 
     return ordered(x), ordered(y)
 
@@ -61,21 +59,25 @@ def meeting(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
     meet all that fit in length, by equality of lengths.
     """
     edits = F.floor((1 - least) * F.floor(F.col("_n") / least + 1e-9) + 1e-9).cast("int")  # with the longest that is close
-    by_gram = F.transform(F.filter("_k", lambda z: z["r"] <= edits * Q), lambda z: F.struct(F.concat(F.lit("~"), z["g"]).alias("k"), z["p"].alias("p"), z["r"].alias("r")))
-    by_length = lambda n: F.struct(F.concat(F.lit("="), n.cast("string")).alias("k"), F.lit(0).alias("p"), F.lit(0).alias("r"))
+    last = F.get("_k", edits * Q)
+    rare = F.filter("_k", lambda z: last.isNull() | (F.struct(z["f"], z["g"]) <= F.struct(last["f"], last["g"])))  # all that are as the last one too
+    by_gram = F.transform(rare, lambda z: F.struct(F.concat(F.lit("~"), z["g"]).alias("k"), z["p"].alias("p")))
+    by_length = lambda n: F.struct(F.concat(F.lit("="), n.cast("string")).alias("k"), F.lit(0).alias("p"))
     lengths = F.transform(F.sequence(F.ceil(F.col("_n") * least - 1e-9).cast("int"), F.floor(F.col("_n") / least + 1e-9).cast("int")), by_length)
     short = F.col("_n") - Q + 1 <= edits * Q
 
     def keyed(df: DataFrame, keys: Column, name: str) -> DataFrame:
         own = [c for c in df.columns if c[0] != "_"]
-        return df.select(*own, F.col("_s").alias(f"_{name}"), F.col("_n").alias(f"_n{name}"), F.array_distinct("_k.g").alias(f"_g{name}"), F.explode(keys).alias("_e")).select(*own, f"_{name}", f"_n{name}", f"_g{name}", F.col("_e.k").alias("_key"), F.col("_e.p").alias(f"_p{name}"), F.col("_e.r").alias(f"_r{name}"))
+        return df.select(*own, F.col("_s").alias(f"_{name}"), F.col("_n").alias(f"_n{name}"), F.array_distinct("_k.g").alias(f"_g{name}"), F.explode(keys).alias("_e")).select(*own, f"_{name}", f"_n{name}", f"_g{name}", F.col("_e.k").alias("_key"), F.col("_e.p").alias(f"_p{name}"))
 
-    met = keyed(x, F.when(short, lengths).otherwise(by_gram), "x").join(keyed(y, F.concat(by_gram, F.array(by_length(F.col("_n")))), "y"), "_key")
+    sc = x.sparkSession.sparkContext
+    tasks = max(sc.defaultParallelism, int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # little data, but much to compare
+    keyed_x, keyed_y = keyed(x, F.when(short, lengths).otherwise(by_gram), "x"), keyed(y, F.concat(by_gram, F.array(by_length(F.col("_n")))), "y")
+    met = keyed_x.repartition(tasks, "_key").join(keyed_y.repartition(tasks, "_key"), "_key")
     met = met.withColumn("_most", F.floor(F.greatest("_nx", "_ny") * (1 - least) + 1e-9).cast("int"))
     near = (F.abs(F.col("_nx") - F.col("_ny")) <= F.col("_most")) & (F.abs(F.col("_px") - F.col("_py")) <= F.col("_most"))
-    met = met.where(near & (F.greatest("_rx", "_ry") <= F.col("_most") * Q))
     shared = F.size(F.array_intersect("_gx", "_gy")) >= F.greatest(F.size("_gx"), F.size("_gy")) - F.col("_most") * Q
-    return met.where(shared).drop("_key", "_nx", "_ny", "_px", "_py", "_rx", "_ry", "_gx", "_gy")
+    return met.where(near).where(shared).drop("_key", "_nx", "_ny", "_px", "_py", "_gx", "_gy")
 
 
 def close_enough(met: DataFrame, least: float) -> DataFrame:
@@ -101,14 +103,16 @@ def by_levels(unknown: DataFrame, known: DataFrame, keys: list[str], top: Callab
     """
     x, y = indexed(unknown, known)
     out, left, y = None, written(x), written(y)
+    open_ = left.count()
     for level in [k for k in LEVELS if k > least] + [least]:
         pairs = close_enough(meeting(left, y, level), level)
         pairs = pairs.unionByName(more) if out is None and more is not None else pairs
         found = written(top(pairs).where(F.col("score") >= level))
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(*keys), keys, "left_anti")
-        if level == least or left.isEmpty():
+        open_ -= found.count()  # a row for each that is resolved
+        if level == least or not open_:
             return out
+        left = left.join(found.select(*keys), keys, "left_anti")
     raise AssertionError
 
 
