@@ -69,9 +69,21 @@ class TokenTree:
         pieces = counter.pattern.findall(text)
         self._fill(pieces, counter.count(pieces))
 
+    @classmethod
+    def kept(cls, leaves: list[list[str]], counts: list[list[int]], counter: Counter) -> TokenTree:
+        """The tree of leaves that were counted before; nothing is encoded, and no leaf is touched yet."""
+        tree = cls.__new__(cls)
+        tree.counter, tree.encoded = counter, 0
+        tree._set(leaves, counts)
+        tree.touched = set()
+        return tree
+
     def _fill(self, pieces: list[str], counts: list[int]) -> None:
-        self.leaves = [pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]]
-        self.counts = [counts[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]]
+        self._set([pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]], [counts[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]])
+
+    def _set(self, leaves: list[list[str]], counts: list[list[int]]) -> None:
+        self.leaves, self.counts = leaves, counts
+        self.touched = set(range(len(leaves)))
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         empty = [0] * (self.size - len(self.leaves))
         self.chars = [0] * self.size + [sum(map(len, x)) for x in self.leaves] + empty
@@ -153,6 +165,7 @@ class TokenTree:
         for i in range(n):
             own, k = slice(i * step, (i + 1) * step), self.size + first + i
             self.leaves[first + i], self.counts[first + i] = pieces[own], counts[own]
+            self.touched.add(first + i)
             chars, tokens = sum(map(len, pieces[own])) - self.chars[k], sum(counts[own]) - self.tokens[k]
             while k:
                 self.chars[k] += chars
