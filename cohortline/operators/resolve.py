@@ -17,7 +17,7 @@ BODY_TYPES = (("SEDAN", "SEDAN"), ("VAN", "MINIVAN"), ("SUV", "SUV"), ("HATCH",
 
 #: Letters of the pieces by which strings meet, and the levels that a best match is looked for at, from the highest down.
 Q = 2
-LEVELS = (0.95, 0.85, 0.7)
+LEVELS = (0.85, 0.7)
 
 
 def candidates(unknown: DataFrame, known: DataFrame, block: tuple[str, str], score: Column, least: float) -> DataFrame:
@@ -37,17 +37,17 @@ def spelled(df: DataFrame, text: Column) -> DataFrame:
 
 
 def indexed(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both lists of ``spelled`` rows with their q-grams ``(f, g, p)`` from the rarest to the most frequent of both."""
-    one = lambda df: df.select(F.explode("_g.g").alias("g"))
-    often = one(x).union(one(y)).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    """Both lists of ``spelled`` rows with their q-grams ``(f, g, p)`` from the rarest to the most frequent of both.
 
-    def ordered(df: DataFrame) -> DataFrame:
-        own = [c for c in df.columns if c != "_g"]
-        each = df.select(*own, F.explode_outer("_g").alias("x")).select(*own, F.col("x.g").alias("g"), F.col("x.p").alias("p")).join(often, "g", "left")
-        known = each.groupBy(*own).agg(F.sort_array(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("f", "g", "p")))).alias("_k"))
-        return known
-
-    return ordered(x), ordered(y)
+    They are indexed as one list and written once.
+    """
+    both = x.withColumn("_first", F.lit(True)).unionByName(y.withColumn("_first", F.lit(False)), allowMissingColumns=True)
+    often = both.select(F.explode("_g.g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    own = [c for c in both.columns if c != "_g"]
+    each = both.select(*own, F.explode_outer("_g").alias("x")).select(*own, F.col("x.g").alias("g"), F.col("x.p").alias("p")).join(often, "g", "left")
+    done = written(each.groupBy(*own).agg(F.sort_array(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("f", "g", "p")))).alias("_k")))
+    side = lambda df, first: done.where(F.col("_first") == first).select(*[c for c in df.columns if c != "_g"], "_k")
+    return side(x, True), side(y, False)
 
 
 def meeting(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
@@ -102,7 +102,7 @@ def by_levels(unknown: DataFrame, known: DataFrame, keys: list[str], top: Callab
     left, lower levels are not planned at all.
     """
     x, y = indexed(unknown, known)
-    out, left, y = None, written(x), written(y)
+    out, left = None, x
     open_ = left.count()
     for level in [k for k in LEVELS if k > least] + [least]:
         pairs = close_enough(meeting(left, y, level), level)
