@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortline.llm import catalog, toxicity
 
@@ -91,3 +92,10 @@ def test_flags_few_clean_documents(spark, sf_dir):
     got = catalog.op7_toxicity(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").collect()
     clean = [r for r in got if not r.toxic]
     assert sum(r.predicted for r in clean) <= 0.05 * len(clean)
+
+
+def test_held_out_recall_and_precision(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    got = catalog.op7_toxicity(spark, big).select("doc_id", "held_out", "predicted").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id")
+    held = got.where("held_out and toxic is not null").groupBy().agg(F.sum(F.col("toxic") * F.col("predicted")).alias("hits"), F.sum("toxic").alias("toxic"), F.sum("predicted").alias("found")).first()
+    assert held.hits >= 0.9 * held.toxic and held.hits >= 0.85 * held.found, held
