@@ -34,6 +34,18 @@ def test_a_small_batch_rewrites_few_buckets(spark, tmp_path):
     assert store.upsert_buckets(spark, path, batch.limit(0)) == []
 
 
+def test_an_upsert_keeps_no_second_copy_of_its_rows(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "year int, sequence string, make string, k int"
+    monkeypatch.setattr(store, "written", None)  # a checkpoint of all rows
+    rows = [(2000, str(i), "a", 1) for i in range(50)]
+    assert len(store.upsert_buckets(spark, path, spark.createDataFrame(rows + [(2000, "7", "b", 2)], schema), buckets=4, ordinal="k")) == 4
+    store.upsert_buckets(spark, path, spark.createDataFrame([(2000, "8", "c", 1), (2000, "8", "d", 0), (2001, "x", "e", 0)], schema), buckets=4, ordinal="k")
+    got = {(r.year, r.sequence): r.make for r in store.read_buckets(spark, path).collect()}
+    assert len(got) == store.read_buckets(spark, path).count() == 51
+    assert {k: v for k, v in got.items() if v != "a"} == {(2000, "7"): "b", (2000, "8"): "c", (2001, "x"): "e"}
+    assert sorted(x.name for x in (tmp_path / "t").iterdir()) == ["data", "manifests"]
+
+
 def test_a_killed_write_leaves_the_old_version(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     store.upsert_buckets(spark, path, spark.createDataFrame([(2000, "1", "a", 1), (2000, "1", "z", 2)], "year int, sequence string, make string, k int"), ordinal="k")
