@@ -128,6 +128,15 @@ def test_store(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).first().status == "partial"
 
 
+def test_years_are_written_by_as_many_tasks_as_their_files_ask_for(spark, tmp_path):
+    spark.range(20000).select((F.col("id") % 2 + 2000).cast("int").alias("year"), F.lit("a").alias("make")).withColumn("k", F.rand(1)).write.parquet(str(tmp_path / "in"))
+    facts = spark.read.parquet(str(tmp_path / "in"))
+    store.write_years(facts.select("year", "k"), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out" / "year=2000").glob("part-*"))) > 1  # however small a row is in a shuffle
+    size = sum(x.stat().st_size for x in (tmp_path / "in").glob("part-*.parquet"))
+    assert store.tasks_for(facts, 1000) == -(-size // 1000) > 4 and store.tasks_for(spark.range(5)) == 0
+
+
 def test_packages(spark, tmp_path):
     path = str(tmp_path / "p")
     facts = spark.createDataFrame([(2020, "1"), (2022, "2")], "year int, sequence string")
