@@ -221,7 +221,7 @@ def later_layout(spark: SparkSession, sf: str) -> DataFrame:
     period = F.concat((F.col("year") + LATER).cast("string"), F.lit("03"))
     raw = facts.select(period.alias("AnnÈe civile / mois"), F.col("make").alias("Marque"), F.concat(F.col("sequence"), F.lit(" "), F.col("model")).alias("ModËle du vÈhicule"), F.col("model_year").cast("string").alias("Année de fabrication"), region.alias("Région admin (code)"), F.concat(F.lit("VillÃ© "), "municipality").alias("Municipalité"))
     names = star.read(spark, sf, "supplier").select(F.concat(F.lit("ville "), "s_suppkey").alias("name"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0").alias("code"))
-    order = F.struct("model", "make", "model_year", "region", "municipality")
+    order = [F.col(c) for c in ("model", "make", "model_year", "region", "municipality")]  # a struct of them would carry each twice
     rows = readers.normalise(imports.later_layout(raw), names, order, f"{place}/sorted")
     imports.write_yearly(rows, f"{place}/out")
     back = spark.read.option("header", True).csv(f"{place}/out")

@@ -200,14 +200,15 @@ def places(spark: SparkSession, path: str) -> DataFrame:
     return line.select(cut("code").alias("code"), tx.repair_mojibake(cut("name"), tx.PLACE_MOJIBAKE).alias("name"), F.lit("municipality").alias("type"), cut("mrc").alias("parent_code"), cut("region").alias("region_code"), cut("population").try_cast("int").alias("population"), degrees("lat").alias("latitude"), (-degrees("lon")).alias("longitude"), area("total").alias("area_total"), area("land").alias("area_land"))
 
 
-def numbered(rows: DataFrame, by: str, order: Column, place: str) -> DataFrame:
+def numbered(rows: DataFrame, by: str, order: Column | list[Column], place: str) -> DataFrame:
     """Rows with ``_n``, their number from 1 within each value of ``by`` in the order given, by no task alone.
 
     Rows are sorted over all tasks and written to ``place``, so that parts stay as they are; a row's number is
     its place in its part after the rows of its group in the parts before, of which there is a row each.
     """
     spark = rows.sparkSession
-    sorted_ = rows.withColumn("_o", order).repartitionByRange(by, "_o").sortWithinPartitions(by, "_o").drop("_o")
+    keys = [by, *(order if isinstance(order, list) else [order])]
+    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).write.parquet(place)
     parts = spark.read.parquet(place)
     sizes = parts.groupBy(by, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
@@ -217,22 +218,23 @@ def numbered(rows: DataFrame, by: str, order: Column, place: str) -> DataFrame:
     return joined.withColumn("_n", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_by", "_p", "_first", "_before", "_part", "_at")
 
 
-def normalise(rows: DataFrame, names: DataFrame, order: Column, place: str) -> DataFrame:
+def normalise(rows: DataFrame, names: DataFrame, order: Column | list[Column], place: str) -> DataFrame:
     """Rows of the later layout ``(period, make, model, model_year, region, municipality)`` in the yearly layout.
 
     The year is that of the period (``YYYY`` or ``YYYYMM``), the sequence ``year_`` and the row's number in ten
     digits, a region code becomes ``Name (07)``, and a municipality its code in ``names`` (name, code), compared
-    without accents.  Numbers are given by ``order``, which has no ties, within a year; ``place`` is a new folder
+    without accents.  Numbers are given by ``order``, a column or several, which has no ties, within a year; ``place`` is a new folder
     for the sorted rows.
     """
     regions = F.create_map(*[F.lit(x) for pair in ADMIN_REGIONS.items() for x in pair])
     year = F.regexp_extract("period", r"^(\d{4})", 1).try_cast("int")
+    number = F.when(F.col("_n") < 10**10, F.lpad(F.col("_n").cast("string"), 10, "0")).otherwise(F.col("_n").cast("string"))
     code = F.lpad(F.regexp_extract("region", r"(\d{1,2})\D*$", 1), 2, "0")
     known = names.select(tx.normal_name(F.col("name")).alias("_name"), F.col("code").alias("CG_FIXE")).groupBy("_name").agg(F.min("CG_FIXE").alias("CG_FIXE"))
     joined = numbered(rows.withColumn("AN", year), "AN", order, place).withColumn("_name", tx.normal_name(F.col("municipality"))).join(known, "_name", "left")
     none = F.lit(None).cast("string")
     return joined.select(
-        "AN", F.format_string("%d_%010d", "AN", "_n").alias("NOSEQ_VEH"), none.alias("CLAS"), none.alias("TYP_VEH_CATEG_USA"), F.col("make").alias("MARQ_VEH"), F.col("model").alias("MODEL_VEH"), F.col("model_year").alias("ANNEE_MOD"),
+        "AN", F.concat(F.coalesce(F.col("AN").cast("string"), F.lit("null")), F.lit("_"), number).alias("NOSEQ_VEH"), none.alias("CLAS"), none.alias("TYP_VEH_CATEG_USA"), F.col("make").alias("MARQ_VEH"), F.col("model").alias("MODEL_VEH"), F.col("model_year").alias("ANNEE_MOD"),
         *[none.alias(c) for c in ("MASSE_NETTE", "NB_CYL", "CYL_VEH", "NB_ESIEU_MAX", "COUL_ORIG", "TYP_CARBU")], F.concat(F.try_element_at(regions, code), F.lit(" ("), code, F.lit(")")).alias("REG_ADM"), none.alias("MRC"), "CG_FIXE",
     )
 

@@ -244,3 +244,10 @@ def test_numbers_are_those_of_one_sort(spark, tmp_path):
         own = sorted((r.v, r._n) for r in got if r.g == g)
         assert [n for _, n in own] == list(range(1, len(own) + 1)) and own
     assert len(got) == 5002
+
+
+def test_an_order_of_several_columns(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b", None), (1, "a", "x"), (1, "a", None), (2, None, "y")], "g int, v string, w string")
+    got = readers.numbered(rows, "g", [F.col("v"), F.col("w")], str(tmp_path / "n")).collect()
+    assert {(r.g, r.v, r.w): r._n for r in got} == {(1, "a", None): 1, (1, "a", "x"): 2, (1, "b", None): 3, (2, None, "y"): 1}
+    assert spark.read.parquet(str(tmp_path / "n")).columns == ["g", "v", "w", "_part", "_at"]
