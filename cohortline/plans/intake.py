@@ -48,17 +48,25 @@ def single_file(spark: SparkSession, lines: DataFrame, path: str, encoding: str
 
 
 def delivered(spark: SparkSession, rows: DataFrame, columns: tuple[str, ...], year: str, folder: str, sep: str = ",", encoding: str = "utf-8", extra: str | None = None) -> list[str]:
-    """A file for each year, with a header; values that hold the separator or an accent are quoted, ``extra`` is a line more."""
+    """A source for each year: a folder of compressed parts, the first with the header; values that hold the separator or an accent are quoted, ``extra`` is a line more.
+
+    The tasks that make the lines write them, each to its years: lines are not dealt by year first.
+    """
     quoted = lambda c: F.when(F.contains(c, F.lit(sep)) | F.contains(c, F.lit("é")) | F.contains(c, F.lit("è")), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c)
     texts = rows.select(F.col(year).alias("_y"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
-    lines = texts.select(F.col("_y").alias("y"), F.lit(1).alias("k"), in_bytes(F.concat_ws(sep, *[quoted(F.col(c)) for c in columns]), encoding).alias("value"))
-    heads = spark.createDataFrame([(k, x) for k, x in enumerate((sep.join(columns), extra)) if x], "k int, value string")
-    heads = lines.select("y").distinct().crossJoin(heads).select("y", F.when(F.col("k") == 0, 0).otherwise(2).alias("k"), "value")
+    lines = texts.select(F.col("_y").alias("y"), in_bytes(F.concat_ws(sep, *[quoted(F.col(c)) for c in columns]), encoding).alias("value"))
     place = f"{folder}/parts"
-    lines.union(heads).repartition("y").sortWithinPartitions("y", "k").select("y", "value").write.partitionBy("y").text(place)
+    lines.write.partitionBy("y").option("compression", "gzip").text(place)
     parts, system = store._folder(spark, place)
     years = sorted(int(x.getPath().getName()[2:]) for x in system.listStatus(parts) if x.getPath().getName().startswith("y="))  # by their folders: no line is read
-    return [moved(spark, f"{place}/y={y}", f"{folder}/in/file_{y}.csv") for y in years]
+    heads = [(y, "\n".join(x for x in (sep.join(columns), extra) if x)) for y in years]
+    spark.createDataFrame(heads, "y int, value string").coalesce(1).write.partitionBy("y").text(f"{folder}/heads")
+    out = [f"{folder}/in/file_{y}.csv" for y in years]
+    for y, path in zip(years, out, strict=True):
+        system.mkdirs(store._folder(spark, path)[0].getParent())
+        system.rename(store._folder(spark, f"{place}/y={y}")[0], store._folder(spark, path)[0])
+        moved(spark, f"{folder}/heads/y={y}", f"{path}/a.txt")  # the first by name
+    return out
 
 
 def with_code(name: Column, code: Column) -> Column:

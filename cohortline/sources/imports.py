@@ -73,7 +73,7 @@ class Batch:
 def import_all(spark: SparkSession, paths: list[str], table: str, rejects: str | None = None, log: str | None = None, family: str = "vehicles") -> Batch:
     """Imports files in one job: each replaces its year, and a broken one does not stop the others.
 
-    The driver reads the heads of files for their dialects alone; files of a dialect are one scan, and all lines are
+    A file may be a folder of parts.  The driver reads the heads of files for their dialects alone; files of a dialect are one scan, and all lines are
     parsed once, to a table beside.  From there good rows go to their years, one for each sequence, and rejected lines
     with file, year and reason to ``rejects``; one aggregation counts both by file.  Of several files of a year the last
     is taken, in the order of names.
@@ -90,15 +90,16 @@ def import_all(spark: SparkSession, paths: list[str], table: str, rejects: str |
         except Exception as e:  # noqa: BLE001  whatever keeps a file from being read is told, and the others go on
             failed.append((path, str(e).splitlines()[0]))
             continue
-        by.setdefault(how, []).append(path)
+        by.setdefault((how, readers.is_folder(spark, path)), []).append(path)
     if not by:
         return Batch([], failed)
     of_file = {_plain(spark, p): y for y, p in last.items()}
     years = spark.createDataFrame(list(of_file.items()), "_file string, _year int")
     staged, stage = None, store.work_dir(spark)
-    for how, some in by.items():
+    for (how, folder), some in by.items():
         rows, good = readers.read_dialect(spark, some, how, repaired=vehicle)
-        rows = rows.join(F.broadcast(years), F.regexp_replace("file", "^file:/+", "file:/") == F.col("_file"))  # a row for each file
+        source = F.regexp_replace("file", "/[^/]*$", "") if folder else F.col("file")
+        rows = rows.join(F.broadcast(years), F.regexp_replace(source, "^file:/+", "file:/") == F.col("_file"))  # a row for each file
         facts = readers.vehicle_facts(F.col("_year"), "TYP_CARBU" in how.names) if vehicle else readers.licence_facts(F.col("_year"))
         reason = F.when(~good, F.format_string("%d fields in place of %d", F.size("f"), F.lit(len(how.names))))
         one = rows.select(*facts, F.col("_file"), reason.alias("_reason"), F.when(~good, F.col("line")).alias("_line"))
@@ -108,7 +109,8 @@ def import_all(spark: SparkSession, paths: list[str], table: str, rejects: str |
         staged = spark.read.parquet(stage)
         good = staged.where("_reason is null").drop("_file", "_reason", "_line")
         of = [c for c in good.columns if c not in ("year", "sequence")]
-        store.write_years(store.last_wins(good, ["year", "sequence"], [F.xxhash64(*of)]), table, dealt=True)
+        kept = store.once(good, ["year", "sequence"], [F.xxhash64(*of)])
+        store.write_years(good if kept is None else kept.select(*good.columns), table, dealt=True)
         counts = {r["_file"]: r for r in staged.groupBy("_file").agg(F.count_if(F.col("_reason").isNull()).alias("good"), F.count("_reason").alias("bad")).collect()}  # a row for each file
         stored = {r.year: r.n for r in spark.read.parquet(table).groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}  # ... and for each year
         if rejects:

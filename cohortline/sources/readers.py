@@ -52,13 +52,27 @@ def delimiter(line: str) -> str:
 
 
 def head(spark: SparkSession, path: str, size: int = 1 << 20) -> bytes:
-    """The first bytes of a file in any store that Spark reads."""
+    """The first bytes of a source in any store that Spark reads: a file, or the files of a folder by name; compressed ones are told by their names, as Spark does."""
+    conf, out = spark._jsc.hadoopConfiguration(), b""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
-    try:
-        return bytes(stream.readNBytes(size))
-    finally:
-        stream.close()
+    system, codecs = p.getFileSystem(conf), spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    parts = [s.getPath() for s in system.listStatus(p) if s.isFile() and s.getPath().getName()[0] not in "._"] if is_folder(spark, path) else [p]
+    for part in sorted(parts, key=lambda x: x.getName()):
+        codec, stream = codecs.getCodec(part), system.open(part)
+        stream = codec.createInputStream(stream) if codec else stream
+        try:
+            out += bytes(stream.readNBytes(size - len(out)))
+        finally:
+            stream.close()
+        if len(out) >= size:
+            break
+    return out
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a source is a folder of parts in place of a file; an error if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
 #: What Windows-1252 has in place of the control characters of Latin-1.
