@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -42,8 +43,9 @@ def import_files(spark: SparkSession, paths: list[str], table: str, log: str | N
     """Imports files by year into a table partitioned by year.
 
     A year that is there already is replaced, in this family's table alone.  Of rows with the same sequence
-    one is kept, chosen by their values, so that a second import gives the same.  Each file is parsed once:
-    stored rows and dropped lines are counted while they are written.
+    one is kept, chosen by their values, so that a second import gives the same.  Each file is parsed once, to a
+    folder beside the year's, which takes its place if no sequence is there twice; stored rows and dropped lines are
+    counted while they are written.
     """
     read = readers.vehicles if family == "vehicles" else readers.licences
     out = []
@@ -53,12 +55,22 @@ def import_files(spark: SparkSession, paths: list[str], table: str, log: str | N
         rows = read(spark, path, year, lines)
         of = [c for c in rows.columns if c not in ("year", "sequence")]
         order = F.xxhash64(*of)  # equal rows are one; of others under one sequence any is as good, but always the same
-        kept = store.last_wins(rows, ["year", "sequence"], [order])
-        store.write_years(kept.observe(seen, F.count(F.lit(1)).alias("n")), table, dealt=True)
-        dropped = lines.get["bad"]
-        out.append(Result(path, year, seen.get["n"], dropped))
+        beside = f"{table}/_new-{uuid.uuid4().hex}"
+        try:
+            rows.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("year").parquet(beside)
+            stored, dropped = seen.get["n"], lines.get["bad"]
+            kept = store.once(spark.read.schema(rows.schema).parquet(beside), ["year", "sequence"], [order])
+            if kept is None:
+                store.put_years(spark, beside, table)
+            else:
+                counted = Observation()
+                store.write_years(kept.select(*rows.columns).observe(counted, F.count(F.lit(1)).alias("n")), table, dealt=True)
+                stored = counted.get["n"]
+        finally:
+            store.delete_all(spark, [beside])
+        out.append(Result(path, year, stored, dropped))
         if log:
-            store.log_import(spark, log, path.rsplit("/", 1)[-1], year, seen.get["n"], dropped, family)
+            store.log_import(spark, log, path.rsplit("/", 1)[-1], year, stored, dropped, family)
     return out
 
 

@@ -1,7 +1,30 @@
 import pathlib
 
+from pyspark.sql import functions as F
+
 from cohortline.plans import intake
-from cohortline.sources import readers
+from cohortline.sources import imports, readers, store
+
+from .test_store_versions import HEAD, line, put
+
+
+def test_keys_that_are_there_once_are_not_shuffled_as_rows(spark, tmp_path, monkeypatch):
+    rows = [(2020, str(k % 40 if k < 50 else k), f"m{k}") for k in range(200)]
+    path, order = str(tmp_path / "staged"), [F.col("make")]
+    spark.createDataFrame(rows, "year int, sequence string, make string").write.parquet(path)
+    staged, keys = spark.read.parquet(path), ["year", "sequence"]
+    want = {tuple(r) for r in store.last_wins(staged, keys, order).collect()}
+    for most in (1000, 3):  # few repeated keys, and too many to send
+        assert {tuple(r) for r in store.once(staged, keys, order, most).select(*staged.columns).collect()} == want and len(want) == 190
+    first = str(tmp_path / "v_2020.csv")
+    put(tmp_path / "v_2020.csv", "\n".join([HEAD, *[line(2020, k) for k in range(9)]]))
+    monkeypatch.setattr(store, "last_wins", None)  # whole rows need not be dealt by key
+    table = str(tmp_path / "t")
+    for _ in range(2):
+        assert [(r.stored, r.dropped) for r in imports.import_files(spark, [first], table)] == [(9, 0)]
+    assert [(r.stored, r.dropped) for r in imports.import_all(spark, [first], str(tmp_path / "u")).results] == [(9, 0)]
+    assert spark.read.parquet(table).exceptAll(spark.read.parquet(str(tmp_path / "u"))).count() == 0 and spark.read.parquet(table).count() == 9
+    assert [p.name for p in (tmp_path / "t").iterdir() if p.is_dir()] == ["year=2020"]  # nothing is left beside it
 
 
 def test_delivered_lines_are_written_where_they_are_made(spark, tmp_path):
