@@ -2,7 +2,8 @@
 
 Pairs at 0.8 differ in 10 of 64 bits on average and in up to 20: fingerprints split in so many blocks have none in
 common that is worth a join.  Here MinHash bands take the place of the pigeonhole blocks; what shares one is
-compared by its fingerprint as in ``simhash``, and what is close by the whole sets of shingles.
+compared by its fingerprint as in ``simhash``, and what is close by the whole sets of shingles.  Bands and fingerprints
+find nearly all links, by chance; those between what they have left apart are found by a prefix filter, which misses none.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from .simhash import CHUNK, MOST_IDS, close_pairs, majority
 WIDTH = 5
 #: A pair of similarity 0.8 shares none of the bands with probability (1 - 0.8^6)^40 = 5e-6, one of 0.3 shares some with 0.03.
 BANDS, ROWS = 40, 6
-#: Differing bits of fingerprints that are compared exactly: a pair of 0.8 has more with a probability below 1e-4, chance pairs with 0.95.
+#: Differing bits of fingerprints that are compared at once: a pair of 0.8 has more with a probability below 1e-4, chance pairs with 0.95.
 DISTANCE = 25
+#: The Jaccard of near copies in percent.
+LEAST = 80
 #: Shingles whose minima are taken at once.
 AT_ONCE = 512
 #: Texts and shingles of candidates that one task compares with each other at most, unless two parts are longer.
@@ -167,16 +170,83 @@ def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, crowd:
     return met.repartition("key").sortWithinPartitions("key").mapInArrow(exact_edges, "a long, b long")
 
 
+def prefix(n):
+    """Tokens of a set of ``n`` that are told, and how many of them others must have for it to have a partner.
+
+    Of ``x`` and a partner ``y`` each lacks ``n // 5`` tokens of the other at most.  So the first ``n // 5 + 1`` tokens that they
+    have in common are among the told ones of ``x``, and among those of ``y``, with 2 more than twice ``y``'s spare ones for
+    what rounding takes.
+    """
+    return 2 * (n // 5) + 3, n // 5 + 1
+
+
+def missed(docs: DataFrame, marked: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Edges ``(a, b)`` that join the components ``found`` so far to those of all pairs of sets of a Jaccard of 0.8 or more.
+
+    A component tells the first tokens of its sets, and keeps those that another component tells too.  Where they
+    are enough for a partner of its smallest set, its sets meet those of the others by all their tokens: few, since
+    near copies are in one component already.
+    """
+    from . import ngramjoin  # which builds on this module
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows(batches):
+            sets = [s for s in (shingles(t) for t in texts(b.column(0))) if len(s)]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array(node), pa.array([s[: prefix(len(s))[0]].view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "tokens"])
+
+    own = lambda df: df.join(side(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = own(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, "node long, tokens array<long>"))
+    sent = told.select(F.explode("tokens").alias("token"), "component")  # by Spark: one Python worker a task
+    also = sent.repartition("token").sortWithinPartitions("token", "component").mapInArrow(elsewhere, "component long, c long").groupBy("component").agg(F.sum("c").alias("c"))
+    sets = marked.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct(F.col("id").isNull(), F.col("id").alias("i"), F.col("h").alias("k"))).alias("low"))
+    sets = own(sets).select("node", "component", "n", "low.i", "low.k")
+    least = sets.groupBy("component").agg(F.min("n").alias("n")).select("component", (F.floor(F.col("n") / 5) + 1).alias("least"))
+    open_ = also.join(least, "component").where("c >= least").select("component")
+    wanted = cut(sets.join(open_, "component", "left_semi").select("i", "k", "node"))
+    if wanted.isEmpty():
+        return found.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    whole = cut(ngramjoin.sets_of(docs, wanted, WIDTH, id_col, text_col, lambda s: s).dropDuplicates(["node"]))
+    return ngramjoin.links(cut(ngramjoin.by_frequency(whole, LEAST)), LEAST)
+
+
+def elsewhere(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows ``(token, component)`` sorted by both: ``(component, c)``, how many of its tokens another component has too.
+
+    Equal rows count once.  The last row of a batch is held until the next one tells whether its token goes on.
+    """
+    token, component, follows = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(0, bool)
+
+    def counted(hit: np.ndarray) -> pa.RecordBatch:
+        node, c = np.unique(hit, return_counts=True)
+        return pa.record_batch([pa.array(node), pa.array(c)], names=["component", "c"])
+
+    for b in batches:
+        token, component = np.concatenate((token, b.column(0).to_numpy())), np.concatenate((component, b.column(1).to_numpy()))
+        if not len(token):
+            continue
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (component[1:] != component[:-1])))
+        token, component = token[new], component[new]
+        same = token[1:] == token[:-1]
+        before = np.concatenate((follows if len(follows) else [False], same))
+        yield counted(component[:-1][before[:-1] | same])
+        token, component, follows = token[-1:], component[-1:], before[-1:]
+    yield counted(component[follows])
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near copies; columns stay as they are.
 
     Texts are linked whose sets of five-word shingles have a Jaccard of 0.8 or more, those without words
-    with each other.  Candidates share a MinHash band (at 0.8 a pair is missed with probability 5e-6), the
-    similarity is then checked on whole sets of 64-bit shingle hashes.  The row with the smallest id stays, null
+    with each other.  Candidates share a MinHash band (at 0.8 a pair is missed with probability 5e-6) and have close
+    fingerprints; what these leave apart meets by prefixes of tokens (``missed``), so that no link is lost.  The
+    similarity is checked on whole sets of 64-bit shingle hashes.  The row with the smallest id stays, null
     ids last, of different texts under one id the one with the smaller hash.
     """
     marked = cut(sketches(docs, id_col, text_col))
-    found = components(links(docs, marked, id_col, text_col))
+    quick = cut(links(docs, marked, id_col, text_col))
+    more = cut(missed(docs, marked, components(quick), id_col, text_col))
+    found = components(quick.union(more))
     first = marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("low"))
     first = cut(first.join(side(found), "node", "left").withColumn("component", F.coalesce("component", "node")))
     lowest = first.groupBy("component").agg(F.min("low").alias("low"))
